@@ -1,0 +1 @@
+"""No streaming operators: every input is a finite listing, so all jobs here are batch jobs."""
