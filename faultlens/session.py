@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -22,6 +23,7 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -60,6 +62,20 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan with fewer splits than cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def salted_join(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """Equi-join that spreads each key of `big` over `salts` buckets and copies `side` to each."""
+    other = [F.col(c) for c in big.columns if c not in on] or [F.col(on[0])]
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*other), F.lit(salts)).cast("int"))
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def join_sized(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner",
                max_rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
     """Equi-join with a hot-key plan: broadcast `side` when it is proven small, else salt.
@@ -69,10 +85,7 @@ def join_sized(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner
     """
     if small(side, max_rows):
         return big.join(F.broadcast(side), on, how)
-    other = [F.col(c) for c in big.columns if c not in on] or [F.col(on[0])]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*other), F.lit(salts)).cast("int"))
-    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return salted_join(big, side, on, how, salts)
 
 
 def with_ordinal(df: DataFrame, order: list, name: str = "ordinal") -> DataFrame:
@@ -85,8 +98,7 @@ def with_ordinal(df: DataFrame, order: list, name: str = "ordinal") -> DataFrame
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)))
     counts = parts.groupBy("_pid").agg(F.count("*").alias("_n"))
-    a, b = counts.alias("a"), counts.alias("b")
-    shift = (a.join(b, F.col("b._pid") < F.col("a._pid"), "left")
-             .groupBy(F.col("a._pid").alias("_pid")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before")))
+    ahead = W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    shift = counts.select("_pid", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
     return (parts.join(F.broadcast(shift), "_pid")
             .withColumn(name, F.col("_pos") + F.col("_before") + 1).drop("_pid", "_pos", "_before"))
