@@ -75,6 +75,11 @@ def ends_any(c: Column, suffixes: list[str]) -> Column:
     return out
 
 
+def strip(c: Column) -> Column:
+    """Whitespace of any kind off both ends."""
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+
+
 def non_empty(c: Column) -> Column:
     """Array without null and '' members."""
     return F.filter(c, lambda x: x.isNotNull() & (x != ""))
@@ -240,7 +245,7 @@ def anchor_candidates(c: Column) -> Column:
         matches(text, r"(?U)\b[A-Z]{2,5}\b"))
     kept = F.filter(shapes, lambda s: ~in_list(F.lower(s), V.ANCHOR_STOPLIST)
                     & ~s.rlike(r"(?i)\Av?\d+(?:[._]\d+)*[a-z]{0,3}\z"))
-    found = F.filter(F.transform(F.concat(quoted_spans, ticks, kept), F.trim), lambda s: s != "")
+    found = F.filter(F.transform(F.concat(quoted_spans, ticks, kept), strip), lambda s: s != "")
 
     def first_wins(cands: Column) -> Column:
         return let(F.transform(cands, F.lower), lambda low: F.filter(
