@@ -103,12 +103,12 @@ def shingles(patch: Column, least: int = V.MIN_SHINGLE) -> Column:
                      lambda s: (s != "") & ~s.isin(*V.SHINGLE_SKIP) & ~s.startswith("import "))
 
     def runs(ls: Column) -> Column:
-        every = []
-        for k in (1, 2, 3):
+        def of(k: int) -> Column:
             starts = F.when(F.size(ls) >= k, F.sequence(F.lit(1), F.size(ls) - (k - 1))).otherwise(
                 F.array().cast("array<int>"))
-            every.append(F.transform(starts, lambda i, k=k: F.array_join(F.slice(ls, i, k), " ")))
-        return F.filter(F.array_distinct(F.concat(*every)), lambda s: F.length(s) >= least)
+            return F.transform(starts, lambda i: F.array_join(F.slice(ls, i, k), " "))
+
+        return F.filter(F.array_distinct(F.concat(of(1), of(2), of(3))), lambda s: F.length(s) >= least)
 
     return T.let(lines, runs)
 
@@ -125,9 +125,12 @@ def owner_tokens(namespaces: Column, slugs: Column, sonames: Column, files: Colu
         "METHOD": F.array_union(patch_methods(patch), patch_symbols(patch)),
         "SO": F.filter(sonames, lambda s: ~s.isin(*V.GENERIC_SONAMES)), "PATCH": shingles(patch),
     }
-    return F.concat(*[F.transform(F.array_distinct(T.non_empty(v)),
-                                  lambda t, n=n: F.struct(F.lit(n).alias("family"), t.alias("token")))
-                      for n, v in by_family.items()])
+
+    def tagged(family: str, tokens: Column) -> Column:
+        return F.transform(F.array_distinct(T.non_empty(tokens)),
+                           lambda t: F.struct(F.lit(family).alias("family"), t.alias("token")))
+
+    return F.concat(*[tagged(n, v) for n, v in by_family.items()])
 
 
 NAME_TAIL = r"(?:[./][A-Za-z_$][\w$]*)*"

@@ -72,9 +72,11 @@ def extract_signals(tickets: DataFrame, text_only: bool = False) -> DataFrame:
 
 def signal_rows(signals: DataFrame) -> DataFrame:
     """Long form (case_id, family, pos, token) of a signals struct."""
-    rows = F.flatten(F.array(*[
-        F.transform(F.col(f"signals.{f}"), lambda t, i, f=f: F.struct(F.lit(f).alias("family"), i.alias("pos"), t.alias("token")))
-        for f in V.SIGNAL_FAMILIES]))
+    def family(name: str):
+        return F.transform(F.col(f"signals.{name}"), lambda t, i: F.struct(
+            F.lit(name).alias("family"), i.alias("pos"), t.alias("token")))
+
+    rows = F.concat(*[family(f) for f in V.SIGNAL_FAMILIES])
     return signals.select("case_id", F.explode(rows).alias("r")).select("case_id", "r.family", "r.pos", "r.token")
 
 

@@ -251,7 +251,7 @@ def sql_hybrid(k: int, where: str = "true", p: str = "") -> str:
 
 
 @query("hybrid_search", f"""WITH {HYBRID_SQL}, {sql_hybrid(10)}
-SELECT qid, uid, u.repo, u.kind, u.file, substr(u.text, 1, 400) AS snippet, round(score, 5) AS score, matched_via, rank
+SELECT qid, uid, u.repo, u.kind, u.file, substr(u.text, 1, 400) AS snippet, round_even(score, 5) AS score, matched_via, rank
 FROM top JOIN units u USING (uid)""")
 def hybrid_search(spark, d):
     out = fusion.hybrid_search(hybrid_units(spark, d), hybrid_queries(spark, d), 10)
