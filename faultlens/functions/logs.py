@@ -93,7 +93,7 @@ def without_log_fences(c: Column) -> Column:
     blocks = F.filter(T.matches(F.coalesce(c, F.lit("")), FENCE),
                       lambda m: classify_block(F.regexp_extract(m, FENCE, 1)) != "other")
     return F.aggregate(blocks, F.coalesce(c, F.lit("")),
-                       lambda acc, m: F.concat(F.substring_index(acc, m, 1),
+                       lambda acc, m: F.concat(acc.substr(F.lit(1), F.instr(acc, m) - 1),
                                                acc.substr(F.instr(acc, m) + F.length(m), F.length(acc))))
 
 
