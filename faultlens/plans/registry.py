@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from faultlens.plans import lexical_queries, log_queries, mining_queries, vector_queries
+from faultlens.plans import graph_queries, lexical_queries, log_queries, mining_queries, vector_queries
 
-GROUPS = [lexical_queries, vector_queries, log_queries, mining_queries]
+GROUPS = [lexical_queries, vector_queries, log_queries, mining_queries, graph_queries]
 
 
 def queries() -> dict:
