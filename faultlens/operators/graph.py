@@ -25,11 +25,11 @@ def dependency_graph(components: DataFrame) -> DataFrame:
     return edges.join(known, "dst", "left_semi").select("src", "dst")
 
 
-def _trim(edges: DataFrame, rounds: int = 3) -> DataFrame:
+def _trim(edges: DataFrame, rounds: int = 2) -> DataFrame:
     """Drop edges that cannot lie on a cycle: their source has no way in or their target no way out."""
     for _ in range(rounds):
-        edges = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(
-            edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+        edges = cut(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(
+            edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
     return edges
 
 
@@ -40,7 +40,7 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
     a node reaches (b). f = b names a group. Nodes of one group always share (f, b), so edges between
     different pairs are dropped and the parts shrink until no edge is left.
     """
-    open_edges = cut(_trim(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()))
+    open_edges = _trim(cut(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()))
     done = None
     for _ in range(MAX_ROUNDS):
         if open_edges.isEmpty():
@@ -51,27 +51,32 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
         rest = state.where(F.col("f") != F.col("b"))
         a = rest.select(F.col("id").alias("src"), F.struct("f", "b").alias("sp"))
         z = rest.select(F.col("id").alias("dst"), F.struct("f", "b").alias("dp"))
-        open_edges = cut(_trim(open_edges.join(a, "src").join(z, "dst").where(F.col("sp") == F.col("dp")).select("src", "dst")))
+        open_edges = _trim(cut(open_edges.join(a, "src").join(z, "dst").where(F.col("sp") == F.col("dp")).select("src", "dst")))
     if done is None:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("label")).limit(0)
     sizes = done.groupBy("label").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("label")
     return cut(done.join(sizes, "label", "left_semi").select("id", "label"))
 
 
+def _label_hop(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """One step: rows that moved in the last step pass f along their edges and b against them."""
+    hot = state.where("moved")
+    down = edges.join(hot.select(F.col("id").alias("src"), "f"), "src").select(
+        F.col("dst").alias("id"), "f", F.lit(None).cast(state.schema["b"].dataType).alias("b"))
+    up = edges.join(hot.select(F.col("id").alias("dst"), "b"), "dst").select(
+        F.col("src").alias("id"), F.lit(None).cast(state.schema["f"].dataType).alias("f"), "b")
+    news = down.unionByName(up).groupBy("id").agg(F.min("f").alias("nf"), F.min("b").alias("nb"))
+    lower = F.coalesce(F.col("nf") < F.col("f"), F.lit(False)) | F.coalesce(F.col("nb") < F.col("b"), F.lit(False))
+    return state.join(news, "id", "left").select(
+        "id", F.least("f", "nf").alias("f"), F.least("b", "nb").alias("b"), lower.alias("moved"))
+
+
 def _spread_labels(edges: DataFrame) -> DataFrame:
     """Fixpoint of (id, f, b) over the given edges; stops when a round changes nothing."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     state = cut(nodes.select("id", F.col("id").alias("f"), F.col("id").alias("b"), F.lit(True).alias("moved")))
     for _ in range(MAX_ROUNDS):
-        hot = state.where("moved")
-        down = edges.join(hot.select(F.col("id").alias("src"), "f"), "src").select(
-            F.col("dst").alias("id"), "f", F.lit(None).cast(state.schema["b"].dataType).alias("b"))
-        up = edges.join(hot.select(F.col("id").alias("dst"), "b"), "dst").select(
-            F.col("src").alias("id"), F.lit(None).cast(state.schema["f"].dataType).alias("f"), "b")
-        news = down.unionByName(up).groupBy("id").agg(F.min("f").alias("nf"), F.min("b").alias("nb"))
-        state = cut(state.join(news, "id", "left").select(
-            "id", F.least("f", "nf").alias("f"), F.least("b", "nb").alias("b"),
-            (F.coalesce(F.col("nf") < F.col("f"), F.lit(False)) | F.coalesce(F.col("nb") < F.col("b"), F.lit(False))).alias("moved")))
+        state = cut(_label_hop(edges, state))
         if state.where("moved").isEmpty():
             return state
     raise RuntimeError("label spreading did not settle")
@@ -94,19 +99,16 @@ def break_cycles(edges: DataFrame) -> DataFrame:
 def dependency_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): a node's level is one above its deepest dependency; ordering by (level, id) puts
     dependencies first. Cycles are broken beforehand."""
-    open_edges = cut(break_cycles(edges))
-    pending = cut(nodes.select("id").distinct())
-    out = None
-    for level in range(MAX_ROUNDS):
-        blocked = open_edges.select(F.col("src").alias("id")).distinct()
-        ready = cut(pending.join(blocked, "id", "left_anti"))
-        if ready.isEmpty():
-            break
-        row = ready.withColumn("level", F.lit(level))
-        out = row if out is None else out.unionByName(row)
-        pending = cut(pending.join(blocked, "id", "left_semi"))
-        open_edges = cut(open_edges.join(ready.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    return out if out is not None else nodes.select("id", F.lit(0).alias("level")).limit(0)
+    acyclic = cut(break_cycles(edges))
+    state = nodes.select("id").distinct().select("id", F.lit(0).alias("level"), F.lit(True).alias("moved"))
+    for _ in range(MAX_ROUNDS):
+        hot = state.where("moved").select(F.col("id").alias("dst"), (F.col("level") + 1).alias("up"))
+        news = acyclic.join(hot, "dst").groupBy(F.col("src").alias("id")).agg(F.max("up").alias("up"))
+        state = cut(state.join(news, "id", "left").select(
+            "id", F.greatest("level", "up").alias("level"), F.coalesce(F.col("up") > F.col("level"), F.lit(False)).alias("moved")))
+        if state.where("moved").isEmpty():
+            return state.select("id", "level")
+    raise RuntimeError("levels did not settle")
 
 
 def leaf_nodes(components: DataFrame, edges: DataFrame, limit: int = V.LEAF_LIMIT) -> DataFrame:
