@@ -241,7 +241,7 @@ def clause(guidance: Column, label: str) -> Column:
 
 def seed_items(skills: DataFrame) -> DataFrame:
     """Store items of raw skills(id, guidance, hint_apis, applies_when): clauses lifted, tier candidate."""
-    apis = F.transform(F.filter("hint_apis", lambda a: F.trim(a) != ""), F.trim)
+    apis = F.transform(F.filter("hint_apis", lambda a: F.trim(a) != ""), lambda x: F.trim(x))
     loc, fix = clause(F.col("guidance"), "Localize:"), clause(F.col("guidance"), "Fix:")
     none = F.array().cast("array<string>")
     return skills.select(
@@ -476,5 +476,5 @@ def _blocks(selected: DataFrame, block: Column, head: str) -> DataFrame:
 
 def skill_query(signals: Column, guidance: Column) -> Column:
     """Localize-bias text of one skill: its tags, then the text of its Localize lines."""
-    hints = F.transform(T.groups(guidance, r"(?im)^[^\S\n]*localize:([^\n]*)$"), F.trim)
+    hints = F.transform(T.groups(guidance, r"(?im)^[^\S\n]*localize:([^\n]*)$"), lambda x: F.trim(x))
     return F.array_join(T.non_empty(F.concat(signals, hints)), " ")
