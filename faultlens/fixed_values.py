@@ -178,3 +178,27 @@ JAVA_EXTERNAL = (
     "VirtualMachineError Deprecated FunctionalInterface Override SafeVarargs SuppressWarnings"
 ).split()
 NON_MACRO_UPPER = ["FALSE", "TRUE", "NULL", "EOF", "EXIT_SUCCESS", "EXIT_FAILURE"]
+
+# fixed values: default globs of the source-tree scan
+IGNORE_GLOBS = (
+    ".github .vscode .git .gitignore .gitmodules examples *.pyc *.pyo *.pyd __pycache__ .pytest_cache .coverage .tox .nox "
+    ".mypy_cache .ruff_cache .hypothesis poetry.lock Pipfile.lock node_modules/ node_modules package-lock.json yarn.lock .npm "
+    ".yarn .pnpm-store .next/ .nuxt/ .turbo/ bun.lock bun.lockb *.class *.jar *.war *.ear *.nar .gradle/ .settings/ .classpath "
+    "gradle-app.setting *.gradle .project *.o *.obj *.dll *.dylib *.exe *.lib *.out *.a *.pdb *.suo *.user *.userosscache "
+    "*.sln.docstates *.nupkg bin/ .svn .hg .gitattributes *.svg *.png *.jpg *.jpeg *.gif *.ico *.pdf *.mov *.mp4 *.mp3 *.wav "
+    "venv .venv env .env virtualenv .idea .vs *.swo *.swn *.sublime-* *.log *.bak *.swp *.tmp *.temp .cache .sass-cache "
+    ".DS_Store Thumbs.db desktop.ini *.egg-info *.egg *.whl *.so .docusaurus *.min.js *.min.css *.map .terraform *.tfstate* "
+    "digest.txt *.ini tests test Tests Test Examples"
+).split()
+INCLUDE_GLOBS = (
+    "*.py *.js *.ts *.jsx *.tsx *.java *.cpp *.cc *.cxx *.c++ *.c *.h *.hpp *.hxx *.h++ *.cs *.go *.rs *.php *.rb *.swift "
+    "*.kt *.kts *.scala *.clj *.hs *.ml *.html *.css *.scss *.sass *.json *.yaml *.yml *.xml *.md *.txt *.toml *.cfg *.ini"
+).split()
+
+# fixed values: light symbol index and profile limits
+LITE_EXTENSIONS = ".java .kt .cpp .cc .cxx .c .h .hpp .mm".split()
+LITE_MAX_FILES = 6000
+PROFILE_MAX_CHUNKS = 120
+PROFILE_README_CHARS = 4000
+PROFILE_SKIP = [".git", "build", "node_modules"]
+UNPINNED = "PIN_AT_CLONE"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from faultlens.plans import grading_queries, graph_queries, lexical_queries, log_queries, mining_queries, rule_queries, vector_queries
+from faultlens.plans import grading_queries, graph_queries, io_queries, lexical_queries, log_queries, mining_queries, rule_queries, vector_queries
 
-GROUPS = [lexical_queries, vector_queries, log_queries, mining_queries, graph_queries, grading_queries, rule_queries]
+GROUPS = [lexical_queries, vector_queries, log_queries, mining_queries, graph_queries, grading_queries, rule_queries, io_queries]
 
 
 def queries() -> dict:
