@@ -18,7 +18,7 @@ from faultlens.functions import diffs as X
 from faultlens.functions import logs as L
 from faultlens.functions import text as T
 from faultlens.operators import lexical
-from faultlens.session import join_sized, small, with_ordinal  # noqa: F401
+from faultlens.session import join_sized, small
 
 try:
     import ahocorasick
@@ -139,10 +139,12 @@ def fired(ctx: DataFrame, rules: DataFrame) -> DataFrame:
         return ctx.mapInPandas(scan, schema)
     blocks = math.ceil(rows.count() / RULE_BLOCK)
     shards = max(1, math.ceil(ctx.count() / CONTEXT_BLOCK))
-    left = ctx.withColumn("_shard", F.pmod(F.xxhash64("ctx_id"), F.lit(shards))).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    right = rows.withColumn("_block", F.pmod(F.xxhash64("rule_id"), F.lit(blocks))).withColumn(
-        "_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+
+    def numbers(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = ctx.withColumns({"_shard": F.pmod(F.xxhash64("ctx_id"), F.lit(shards)).cast("int"), "_block": numbers(blocks)})
+    right = rows.withColumns({"_block": F.pmod(F.xxhash64("rule_id"), F.lit(blocks)).cast("int"), "_shard": numbers(shards)})
 
     def meet(c: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         return _fire_frame(_Matcher(r[["rule_id", "key", "value"]]), c)
