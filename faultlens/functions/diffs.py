@@ -37,9 +37,13 @@ def added_lines(diff: Column) -> Column:
     return F.transform(plus, lambda s: s.substr(F.lit(2), F.length(s)))
 
 
+def code_lines(added: Column) -> Column:
+    """Lines that are neither blank nor whole-line comments."""
+    return F.filter(added, lambda s: ~F.trim(s).rlike(r"\A(?:\z|//|#|\*|/\*)"))
+
+
 def code_added_lines(diff: Column) -> Column:
-    """Added lines that are neither blank nor whole-line comments."""
-    return F.filter(added_lines(diff), lambda s: ~F.trim(s).rlike(r"\A(?:\z|//|#|\*|/\*)"))
+    return code_lines(added_lines(diff))
 
 
 def _names(lines: Column, api: Column) -> Column:
@@ -56,7 +60,7 @@ def references_api_code(diff: Column, api: Column) -> Column:
 
 
 def references_all(lines: Column, apis: Column) -> Column:
-    return F.forall(apis, lambda a: _names(lines, a))
+    return T.let(lines, lambda ls: F.forall(apis, lambda a: _names(ls, a)))
 
 
 def required_apis(diff: Column, cap: int = 5) -> Column:
@@ -198,41 +202,42 @@ PLAN = ("struct<root_cause:string,targets:array<struct<file:string,symbol:string
 
 
 def plan_text(c: Column) -> Column:
-    """The JSON span of a plan reply, null when there is none."""
+    """The JSON span of a plan reply, '' when there is none."""
     text = F.coalesce(c, F.lit(""))
     fence = r"(?s)```(?:json)?\s*\n(.*?)\n```"
-    fenced = F.regexp_extract(text, fence, 1)
     bare = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.nullif(F.when(text.rlike(fence), fenced).otherwise(bare), F.lit(""))
+    return F.when(text.rlike(fence), F.regexp_extract(text, fence, 1)).otherwise(bare)
 
 
 def parse_plan(c: Column) -> Column:
-    """Tolerant plan struct: bad JSON gives null, list members that are bare strings become targets."""
-    raw = plan_text(c)
-    # fields are decoded one by one so that one malformed field cannot void the others
-    valid = F.from_json(raw, "map<string,string>").isNotNull() & raw.rlike(r"\A\s*\{")
-
-    def field(name: str) -> Column:
-        return F.get_json_object(raw, f"$.{name}")
-
-    def strings(name: str) -> Column:
-        return F.coalesce(T.non_empty(F.from_json(field(name), "array<string>")), F.array().cast("array<string>"))
-
-    def target(t: Column) -> Column:
-        is_obj = t.rlike(r"\A\s*\{")
-        file = F.when(is_obj, F.get_json_object(t, "$.file")).otherwise(F.trim(t))
-        return F.struct(file.alias("file"),
-                        F.when(is_obj, F.nullif(F.get_json_object(t, "$.symbol"), F.lit(""))).alias("symbol"),
-                        F.when(is_obj, F.coalesce(F.get_json_object(t, "$.why"), F.lit(""))).otherwise(F.lit("")).alias("why"))
-
-    targets = F.filter(F.transform(strings("targets"), target), lambda t: F.coalesce(t["file"], F.lit("")) != "")
-
-    def words(name: str) -> Column:
-        return F.trim(F.coalesce(field(name), F.lit("")))
-
-    plan = F.struct(
-        words("root_cause").alias("root_cause"), targets.alias("targets"), strings("required_apis").alias("required_apis"),
-        words("strategy").alias("strategy"), strings("citations").alias("citations"), words("risks").alias("risks"),
-        F.coalesce(field("confidence").try_cast("double"), F.lit(0.0)).alias("confidence"),
-        F.coalesce(field("abstain") == "true", F.lit(False)).alias("abstain"))
-    return F.when(valid, plan)
+    """Tolerant plan struct: bad JSON gives null, list members that are bare strings become targets.
+
+    The reply is decoded once into field texts, so one malformed field cannot void the others.
+    """
+    none = F.array().cast("array<string>")
+
+    def build(m: Column) -> Column:
+        def strings(name: str) -> Column:
+            return F.coalesce(T.non_empty(F.from_json(m[name], "array<string>")), none)
+
+        def words(name: str) -> Column:
+            return F.trim(F.coalesce(m[name], F.lit("")))
+
+        return F.when(m.isNotNull(), F.struct(
+            words("root_cause").alias("root_cause"),
+            F.filter(F.transform(strings("targets"), _plan_target), lambda t: F.coalesce(t["file"], F.lit("")) != "").alias("targets"),
+            strings("required_apis").alias("required_apis"), words("strategy").alias("strategy"), strings("citations").alias("citations"),
+            words("risks").alias("risks"), F.coalesce(m["confidence"].try_cast("double"), F.lit(0.0)).alias("confidence"),
+            F.coalesce(m["abstain"] == "true", F.lit(False)).alias("abstain")))
+
+    fields = T.let(plan_text(c), lambda raw: F.when(raw.rlike(r"\A\s*\{"), F.from_json(raw, "map<string,string>")))
+    return T.let(fields, build)
+
+
+def _plan_target(t: Column) -> Column:
+    """A target object or bare path as struct<file, symbol, why>."""
+    def pick(m: Column) -> Column:
+        return F.struct(F.when(m.isNotNull(), m["file"]).otherwise(F.trim(t)).alias("file"), F.nullif(m["symbol"], F.lit("")).alias("symbol"),
+                        F.coalesce(m["why"], F.lit("")).alias("why"))
+
+    return T.let(F.when(t.rlike(r"\A\s*\{"), F.from_json(t, "map<string,string>")), pick)

@@ -49,8 +49,9 @@ def blocks(parsed: DataFrame, found: DataFrame, size: int = V.BLOCK_LINES) -> Da
 
 def fault_records(parsed: DataFrame, size: int = V.BLOCK_LINES) -> DataFrame:
     """One record per case with an anchor and at least one frame."""
-    rows = blocks(parsed, anchors(parsed), size).withColumn("frames", L.frames(F.col("block")))
-    rows = rows.withColumn("blame", L.blame(F.col("frames"))).where(F.col("blame.top").isNotNull())
+    # the cheap test first: a filter on the frames themselves would be pushed down and parse them twice
+    framed = blocks(parsed, anchors(parsed), size).where(L.any_match(F.col("block"), [L.JAVA_FRAME, L.NATIVE_FRAME]))
+    rows = framed.withColumn("frames", L.frames(F.col("block"))).withColumn("blame", L.blame(F.col("frames")))
     return rows.select(
         "case_id", "family", F.regexp_extract("block", L.EXCEPTION, 1).alias("exception"), "frames",
         F.col("blame.top").alias("top_frame"), L.frame_key(F.col("blame.top")).alias("top_frame_key"),

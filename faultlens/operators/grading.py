@@ -94,20 +94,24 @@ def fix_rows(records: DataFrame, labels: DataFrame) -> DataFrame:
     """Per-case fix facts: recall, api pass, resolved loose and strict; null where not gradeable."""
     lab = labels.select("case_id", F.coalesce("is_answerable", F.lit(True)).alias("answerable"), "expected_files",
                         "required_apis")
-    r = records.join(lab, "case_id")
-    gold, apis = F.array_distinct(paths(F.col("expected_files"))), F.col("required_apis")
-    has_files, has_apis = F.size("expected_files") > 0, F.size("required_apis") > 0
-    loc = paths(F.col("locations"))
-    api_pass = diffs.references_all(diffs.added_lines(F.col("patch_diff")), apis)
-    api_code = diffs.references_all(diffs.code_added_lines(F.col("patch_diff")), apis)
-    touched = F.size(F.array_intersect(diffs.touched_files(F.col("patch_diff")), gold)) > 0
+    none = F.array().cast("array<string>")
+    # each derived array is its own column, so it is built once per row and not once per metric
+    r = records.join(lab, "case_id").withColumns({
+        "_gold": F.array_distinct(paths(F.col("expected_files"))), "_loc": paths(F.col("locations")), "_added": diffs.added_lines(F.col("patch_diff")),
+        "_touched": diffs.touched_files(F.col("patch_diff")), "_planned": paths(F.coalesce(F.col("plan.targets.file"), none)),
+        "_named": F.transform(F.coalesce(F.col("plan.required_apis"), none), F.lower)})
+    r = r.withColumns({
+        "_pass": diffs.references_all(F.col("_added"), F.col("required_apis")),
+        "_pass_code": diffs.references_all(diffs.code_lines(F.col("_added")), F.col("required_apis")),
+        "_r1": metrics.recall_at_k(F.col("_loc"), F.col("_gold"), 1)})
+    gold, loc, apis = F.col("_gold"), F.col("_loc"), F.col("required_apis")
+    has_files, has_apis = F.size("expected_files") > 0, F.size(apis) > 0
+    api_pass, api_code, r1 = F.col("_pass"), F.col("_pass_code"), F.col("_r1")
+    touched = F.arrays_overlap("_touched", gold)
     gradeable = has_files & has_apis
-    r1 = metrics.recall_at_k(loc, gold, 1)
     planned = F.col("plan").isNotNull()
-    plan_files = paths(F.transform(F.coalesce(F.col("plan.targets.file"), F.array().cast("array<string>")), lambda x: x))
-    named = F.transform(F.coalesce(F.col("plan.required_apis"), F.array().cast("array<string>")), F.lower)
-    lowered = F.transform(apis, F.lower)
-    api_match = F.size(F.filter(lowered, lambda a: F.array_contains(named, a))) / F.nullif(F.size(apis), F.lit(0))
+    plan_files = F.col("_planned")
+    api_match = F.size(F.filter(apis, lambda a: F.array_contains("_named", F.lower(a)))) / F.nullif(F.size(apis), F.lit(0))
     cols = [F.when(has_files, metrics.recall_at_k(loc, gold, k)).alias(f"file_recall_{k}") for k in KS]
     plan_cols = [F.when(planned & has_files, metrics.recall_at_k(plan_files, gold, k)).alias(f"plan_recall_{k}") for k in (1, 5)]
     return r.select(
@@ -159,8 +163,10 @@ def run_cases(runs: DataFrame, labels: DataFrame, isolated: DataFrame | None = N
     r = runs.join(lab, "case_id")
     r = r.join(isolated, "case_id", "left") if isolated is not None else r.withColumn(
         "retrieved", F.lit(None).cast("array<string>"))
-    gold, has = F.array_distinct(paths(F.col("expected_files"), True)), F.size("expected_files") > 0
-    run_loc, iso_loc = paths(F.col("locations"), True), paths(F.coalesce("retrieved", F.array().cast("array<string>")), True)
+    has = F.size("expected_files") > 0
+    r = r.withColumns({"_gold": F.array_distinct(paths(F.col("expected_files"), True)), "_run": paths(F.col("locations"), True),
+                       "_iso": paths(F.coalesce("retrieved", F.array().cast("array<string>")), True)})
+    gold, run_loc, iso_loc = F.col("_gold"), F.col("_run"), F.col("_iso")
     rank = metrics.rank_of(F.col("ranked"), F.col("owning_repo"))
     fix = (F.when(~F.col("source_present"), F.lit("ungradeable(no_source)"))
            .when(F.col("patch_applies"), F.lit("applies")).otherwise(F.lit("unappliable")))

@@ -63,7 +63,13 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan with fewer splits than cores; larger scans stay as they are."""
+    """Use all cores for a plain scan with fewer splits than cores; larger scans stay as they are.
+
+    Plans with a shuffle are left alone: asking for their partition count would run them.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(op in plan for op in ("Join", "Aggregate", "Repartition", "Window", "Sort")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
