@@ -10,7 +10,7 @@ from faultlens import fixed_values as V
 from faultlens.functions import logs as L
 from faultlens.functions import text as T
 from faultlens.operators.lexical import top_k
-from faultlens.session import join_sized
+from faultlens.session import cut, join_sized
 
 
 def log_lines(attachments: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def blocks(parsed: DataFrame, found: DataFrame, size: int = V.BLOCK_LINES) -> Da
 def fault_records(parsed: DataFrame, size: int = V.BLOCK_LINES) -> DataFrame:
     """One record per case with an anchor and at least one frame."""
     # the cheap test first: a filter on the frames themselves would be pushed down and parse them twice
-    framed = blocks(parsed, anchors(parsed), size).where(L.any_match(F.col("block"), [L.JAVA_FRAME, L.NATIVE_FRAME]))
+    framed = blocks(parsed, cut(anchors(parsed)), size).where(L.any_match(F.col("block"), [L.JAVA_FRAME, L.NATIVE_FRAME]))
     rows = framed.withColumn("frames", L.frames(F.col("block"))).withColumn("blame", L.blame(F.col("frames")))
     return rows.select(
         "case_id", "family", F.regexp_extract("block", L.EXCEPTION, 1).alias("exception"), "frames",

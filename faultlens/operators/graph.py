@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from faultlens import fixed_values as V
 from faultlens.functions import text as T
 from faultlens.operators.lexical import top_k
-from faultlens.session import cut, join_sized
+from faultlens.session import cut, join_sized, with_ordinal
 
 MAX_ROUNDS = 10_000
 
@@ -181,8 +180,7 @@ def module_tree(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
 
 def processing_order(tree: DataFrame) -> DataFrame:
     """Children before parents: deepest level first, then by path."""
-    w = W.partitionBy("depth").orderBy("module_path")
-    return tree.select("module", "module_path", "depth", F.row_number().over(w).alias("pos"))
+    return with_ordinal(tree.select("module", "module_path", "depth"), [F.col("depth").desc(), F.col("module_path")], "pos")
 
 
 def module_entries(components: DataFrame) -> DataFrame:
@@ -263,7 +261,7 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
         step(~dotted & (package != ""), 6, "exact", F.concat(package, F.lit("."), callee)), step(F.lit(True), 7, "simple", callee)))
     tries = asked.select("callee", "package", F.explode(ladder).alias("t")).select("callee", "package", "t.*")
     hits = tries.join(_key_table(functions), ["kind", "key"])
-    best = hits.groupBy("callee", "package").agg(F.min_by("id", "step").alias("resolved"))
+    best = cut(hits.groupBy("callee", "package").agg(F.min_by("id", "step").alias("resolved")))
     out = join_sized(named, best, ["callee", "package"], "left")
     return out.select("caller", "callee", "pos", "resolved", F.col("resolved").isNotNull().alias("is_resolved"))
 

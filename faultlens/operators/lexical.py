@@ -173,5 +173,5 @@ def rare_anchors(units: DataFrame, anchors: DataFrame, max_files: int = 10, max_
               .agg(F.countDistinct("file").alias("n_files"))
               .where(F.col("n_files").between(1, max_files)))
     kept = asked.join(spread, "qid").select("repo_name", F.col("query").alias("anchor"), "n_files")
-    found = join_sized(anchors, kept, ["repo_name", "anchor"])
+    found = join_sized(kept, anchors, ["repo_name", "anchor"])
     return top_k(found, max_anchors, ["qid"], [F.col("n_files"), F.col("pos")])

@@ -243,6 +243,6 @@ def identifier_table(files: DataFrame) -> DataFrame:
 def identifiers_exist(idents: DataFrame, names: DataFrame) -> DataFrame:
     """(repo, name, exists) by the last :: segment; an empty name never exists."""
     asked = names.withColumn("ident", F.substring_index("name", "::", -1))
-    hit = join_sized(asked.select("repo", "ident").distinct(), idents, ["repo", "ident"], "left_semi").withColumn("exists", F.lit(True))
+    hit = join_sized(idents, asked.select("repo", "ident").distinct(), ["repo", "ident"]).withColumn("exists", F.lit(True))
     return asked.join(hit, ["repo", "ident"], "left").select(
         "repo", "name", (F.coalesce("exists", F.lit(False)) & (F.col("name") != "")).alias("exists"))

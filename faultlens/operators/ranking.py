@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from faultlens import fixed_values as V
 from faultlens.functions import text as T
 from faultlens.operators import lexical
-from faultlens.session import join_sized
+from faultlens.session import cut, join_sized
 
 
 def candidates(cases: DataFrame, catalog: DataFrame, case_catalog: DataFrame | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def _fill(cands: DataFrame, scores: DataFrame) -> DataFrame:
 def membership(units: DataFrame, tokens: DataFrame, cands: DataFrame, k: int = V.TOKEN_TOP_K) -> DataFrame:
     """Distinct signal tokens whose best-k hits include the repo; tokens is (case_id, token)."""
     hits = lexical.token_hits(units, tokens, k).select("token", "repo").distinct()
-    votes = join_sized(tokens.select("case_id", "token").distinct(), hits, ["token"])
+    votes = join_sized(hits, tokens.select("case_id", "token").distinct(), ["token"])
     scores = votes.groupBy("case_id", "repo").agg(
         F.count("*").cast("double").alias("score"), F.array_sort(F.collect_list("token")).alias("evidence"))
     return rank_scores(_fill(cands, scores))
@@ -90,7 +90,7 @@ def prefix_overlap(tokens: DataFrame, dictionary: DataFrame, cands: DataFrame) -
                  lambda i: F.substring(F.col("token"), i, F.col("size")))).alias("seg")).distinct())
     holds = grams.join(firsts, "seg").select("token", "repo")
     pairs = extends.unionByName(begins).unionByName(holds).distinct()
-    votes = join_sized(toks, pairs, ["token"])
+    votes = join_sized(pairs, toks, ["token"])
     scores = votes.groupBy("case_id", "repo").agg(
         F.count("*").cast("double").alias("score"), F.array_sort(F.collect_list("token")).alias("evidence"))
     return rank_scores(_fill(cands, scores))
@@ -166,7 +166,7 @@ def affinity_counts(cases: DataFrame, labels: DataFrame) -> DataFrame:
 def affinity_weights(counts: DataFrame) -> DataFrame:
     """Counts normalised to 1 per component."""
     total = counts.groupBy("component").agg(F.sum("n").alias("total"))
-    return (join_sized(counts, total, ["component"]).where((F.col("n") > 0) & (F.col("total") > 0))
+    return (counts.join(total, "component").where((F.col("n") > 0) & (F.col("total") > 0))
             .select("component", "repo", (F.col("n") / F.col("total")).alias("w")))
 
 
@@ -181,7 +181,7 @@ def affinity_leave_one_out(counts: DataFrame, cases: DataFrame) -> DataFrame:
     total = left.groupBy("component", "owner").agg(F.sum("n").alias("total"))
     loo = left.join(total, ["component", "owner"]).select(
         "component", "owner", "repo", (F.col("n") / F.col("total")).alias("w"))
-    return join_sized(cases.select("case_id", "component", "owner"), loo, ["component", "owner"]).select(
+    return join_sized(cases.select("case_id", "component", "owner"), cut(loo), ["component", "owner"]).select(
         "case_id", "repo", "w")
 
 

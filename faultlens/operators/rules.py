@@ -18,7 +18,7 @@ from faultlens.functions import diffs as X
 from faultlens.functions import logs as L
 from faultlens.functions import text as T
 from faultlens.operators import lexical
-from faultlens.session import join_sized, small
+from faultlens.session import cut, join_sized, small
 
 try:
     import ahocorasick
@@ -189,7 +189,7 @@ def resolve_refs(units: DataFrame, refs: DataFrame, k: int = 20) -> DataFrame:
     whole = F.concat(F.lit("(?i)(?<![A-Za-z0-9_])"), T.quoted(F.col("qid")), F.lit("(?![A-Za-z0-9_])"))
     found = hits.join(hay, "uid").groupBy("qid").agg(F.bool_or(F.regexp_like("hay", whole)).alias("resolved"))
     out = refs.select("ref", F.trim("ref").alias("qid")).distinct()
-    return join_sized(out, found, ["qid"], "left").select("ref", F.coalesce("resolved", F.lit(False)).alias("resolved"))
+    return out.join(found, "qid", "left").select("ref", F.coalesce("resolved", F.lit(False)).alias("resolved"))
 
 
 def _haystack() -> Column:
@@ -213,7 +213,7 @@ def check_grounded(items: DataFrame, resolved: DataFrame, denylist: DataFrame) -
     resolved is resolve_refs output. Ill-formed, unresolved or leaking items are not grounded.
     """
     refs = items.select("id", F.posexplode("refs").alias("pos", "ref"))
-    seen = join_sized(refs, resolved, ["ref"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    seen = join_sized(refs, cut(resolved), ["ref"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
     per = seen.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "ref", "resolved"))).alias("r"))
     rows = items.join(per, "id", "left").join(leaking(items, _haystack(), denylist), "id", "left")
     none = F.array().cast("array<string>")

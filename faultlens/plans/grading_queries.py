@@ -311,10 +311,10 @@ def entities(spark, d):
 
 
 def doc_sections(spark, d):
-    return D.load(spark, d, "documents").select(F.lit("r").alias("repo"), D.cat("=mod", F.col("doc_id") % 12).alias("module"), F.col("doc_id").alias("ord"), "text")
+    return D.load(spark, d, "documents").select(F.lit("r").alias("repo"), D.cat("=mod", F.floor(F.col("doc_id") / 12)).alias("module"), F.col("doc_id").alias("ord"), "text")
 
 
-@query("module_docs", """SELECT 'mod' || (doc_id % 12) AS module, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS doc_md5 FROM documents WHERE text <> '' GROUP BY 1""")
+@query("module_docs", """SELECT 'mod' || (doc_id // 12) AS module, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS doc_md5 FROM documents WHERE text <> '' GROUP BY 1""")
 def module_docs(spark, d):
     return context.module_docs(doc_sections(spark, d)).select("module", F.md5("doc").alias("doc_md5"))
 
@@ -352,7 +352,7 @@ def context_blocks(spark, d):
 
 
 @query("file_documents", f"""WITH {ENT_SQL}, fm AS (SELECT file, arg_min(module, ord) AS module FROM ent GROUP BY 1),
-ds AS (SELECT 'mod' || (doc_id % 12) AS module, trim(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS doc FROM documents GROUP BY 1),
+ds AS (SELECT 'mod' || (doc_id // 12) AS module, trim(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS doc FROM documents GROUP BY 1),
 fl AS (SELECT o_custkey AS case_id, o_orderkey AS pos, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'x/' END || 'src/P' || (o_orderkey % 50) || '.java' AS file,
    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
 j AS (SELECT case_id, pos, fl.file, doc, row_number() OVER (PARTITION BY case_id, doc ORDER BY pos) AS k FROM fl JOIN fm ON split_part(fm.file, '/', -1) = split_part(fl.file, '/', -1)

@@ -256,7 +256,7 @@ def module_tree(spark, d):
     return tree(spark, d).select("module", "depth", "path", "module_path")
 
 
-@query("module_order", f"WITH {TREE_SQL} SELECT module, depth, row_number() OVER (PARTITION BY depth ORDER BY module_path) AS pos FROM tree")
+@query("module_order", f"WITH {TREE_SQL} SELECT module, depth, row_number() OVER (ORDER BY depth DESC, module_path) AS pos FROM tree")
 def module_order(spark, d):
     return graph.processing_order(tree(spark, d)).select("module", "depth", F.col("pos").cast("long").alias("pos"))
 
@@ -293,10 +293,10 @@ def reconciled_ids(spark, d):
     return graph.reconcile(f.select(leaf.alias("leaf")), f)
 
 
-@query("component_listing", f"""WITH {FUNC_SQL}, g AS (SELECT 'src/' || pk AS file, id, qualified_name FROM funcs)
+@query("component_listing", f"""WITH {FUNC_SQL}, g AS (SELECT 'src/' || pk || '/G' || (k // 10) AS file, id, qualified_name FROM funcs)
 SELECT file, md5('# ' || file || chr(10) || string_agg(chr(9) || id || chr(10) || qualified_name || chr(10), '' ORDER BY id)) AS listing_md5 FROM g GROUP BY 1""")
 def component_listing(spark, d):
-    f = functions(spark, d).select(F.regexp_replace("file_path", "/P.*$", "").alias("file"), "id", F.col("qualified_name").alias("source_code"))
+    f = functions(spark, d).select(D.cat(F.regexp_replace("file_path", "/P.*$", ""), "=/G", F.floor(F.col("k") / 10)).alias("file"), "id", F.col("qualified_name").alias("source_code"))
     return graph.component_listing(f, True).select("file", F.md5("listing").alias("listing_md5"))
 
 

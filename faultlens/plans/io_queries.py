@@ -188,8 +188,7 @@ def text_profiles(spark, d):
 WHERE page_id % 20 < 5 OR (page_id % 20) * 1000 + page_id IN (SELECT (page_id % 20) * 1000 + page_id FROM pages WHERE page_id % 3 = 0)""")
 def listed_wiki_docs(spark, d):
     docs = page_docs(spark, d)
-    manifests = docs.where(F.col("page_id") % 20 >= 5).groupBy("repo").agg(
-        F.collect_list(F.when(F.col("page_id") % 3 == 0, F.col("file"))).alias("files_generated"))
+    manifests = docs.where((F.col("page_id") % 20 >= 5) & (F.col("page_id") % 3 == 0)).select("repo", F.array("file").alias("files_generated"))
     return records.listed_docs(docs.select("repo", "file", "text"), manifests).select("repo", "file")
 
 
@@ -269,11 +268,11 @@ def markdown_rules(spark, d):
     return out.select("id", "provenance", F.md5("guidance").alias("guidance_md5"), F.array_join("signals", ",").alias("signals"), F.array_join(pairs, ",").alias("match"))
 
 
-@query("entity_maps", """SELECT p_brand AS repo, 'mod' || (p_size % 12) AS module, 'S' || p_partkey AS symbol, 'src/P' || (p_partkey % 40) || '.java' AS file, 0.5::DOUBLE AS confidence FROM part""")
+@query("entity_maps", """SELECT 'repo' || (p_partkey // 50) AS repo, 'mod' || (p_size % 12) AS module, 'S' || p_partkey AS symbol, 'src/P' || (p_partkey % 40) || '.java' AS file, 0.5::DOUBLE AS confidence FROM part""")
 def entity_maps(spark, d):
     p = D.load(spark, d, "part")
     k, size = F.col("p_partkey"), F.col("p_size") % 12
-    flat = p.select(F.col("p_brand").alias("repo"), k.alias("ord"), D.cat("=mod", size).alias("module"), D.cat("=mod", size, "=.md").alias("wiki_page"),
+    flat = p.select(D.cat("=repo", F.floor(k / 50)).alias("repo"), k.alias("ord"), D.cat("=mod", size).alias("module"), D.cat("=mod", size, "=.md").alias("wiki_page"),
                     D.cat("=S", k).alias("symbol"), D.cat("=src/P", k % 40, "=.java").alias("file"), F.lit("file_only").alias("match_strategy"), F.lit(0.5).alias("confidence"))
     where = scratch_path(spark, "maps")
     records.nest_entity_map(flat).write.json(where)
