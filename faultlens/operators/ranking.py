@@ -49,7 +49,7 @@ def rank_scores(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w))
 
 
-def _fill(cands: DataFrame, scores: DataFrame) -> DataFrame:
+def fill_catalog(cands: DataFrame, scores: DataFrame) -> DataFrame:
     """Catalog rows with their score, 0 where nothing matched."""
     got = cands.join(scores, ["case_id", "repo"], "left")
     return got.withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -61,7 +61,7 @@ def membership(units: DataFrame, tokens: DataFrame, cands: DataFrame, k: int = V
     votes = join_sized(hits, tokens.select("case_id", "token").distinct(), ["token"])
     scores = votes.groupBy("case_id", "repo").agg(
         F.count("*").cast("double").alias("score"), F.array_sort(F.collect_list("token")).alias("evidence"))
-    return rank_scores(_fill(cands, scores))
+    return rank_scores(fill_catalog(cands, scores))
 
 
 def prefix_overlap(tokens: DataFrame, dictionary: DataFrame, cands: DataFrame) -> DataFrame:
@@ -93,13 +93,13 @@ def prefix_overlap(tokens: DataFrame, dictionary: DataFrame, cands: DataFrame) -
     votes = join_sized(pairs, toks, ["token"])
     scores = votes.groupBy("case_id", "repo").agg(
         F.count("*").cast("double").alias("score"), F.array_sort(F.collect_list("token")).alias("evidence"))
-    return rank_scores(_fill(cands, scores))
+    return rank_scores(fill_catalog(cands, scores))
 
 
 def vector_ranking(hits: DataFrame, cands: DataFrame) -> DataFrame:
     """Best cosine per repo over vector hits(case_id, repo, score), floored at 0."""
     best = hits.groupBy("case_id", "repo").agg(F.greatest(F.lit(0.0), F.max("score")).alias("score"))
-    return rank_scores(_fill(cands, best))
+    return rank_scores(fill_catalog(cands, best))
 
 
 def base_rank_terms(base: DataFrame) -> DataFrame:

@@ -225,7 +225,7 @@ def event_base(spark, d):
     cases = e.select(F.col("user_id").alias("case_id")).distinct()
     cands = ranking.candidates(cases, e.select("repo").distinct())
     n = e.where("event_type = 'view'").groupBy(F.col("user_id").alias("case_id"), "repo").agg(F.count("*").cast("double").alias("score"))
-    return ranking.rank_scores(ranking._fill(cands, n))
+    return ranking.rank_scores(ranking.fill_catalog(cands, n))
 
 
 @query("routing_fusion", f"""WITH {SIGNAL_SQL}, {ROUTES_SQL}, {BASE_SQL},
@@ -290,7 +290,7 @@ def component_prior(spark, d):
     nations = D.load(spark, d, "nation").select(D.cat("=N", "n_nationkey").alias("repo"))
     n = D.load(spark, d, "orders").groupBy(F.col("o_custkey").alias("case_id"), D.cat("=N", F.col("o_orderkey") % 25).alias("repo")).agg(
         F.count("*").cast("double").alias("score"))
-    base = ranking.rank_scores(ranking._fill(ranking.candidates(cases, nations), n))
+    base = ranking.rank_scores(ranking.fill_catalog(ranking.candidates(cases, nations), n))
     out = ranking.component_prior(base, cases, loo_weights(spark, d))
     return out.select("case_id", "repo", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
