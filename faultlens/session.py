@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +46,25 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once, for sessions whose executors can't import it from their own path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_faultlens_shipped", False):
+        return
+    sc._faultlens_shipped = True
+    top = os.path.dirname(os.path.abspath(__file__))
+    tmp = os.path.realpath(tempfile.mkdtemp(prefix="spark-"))  # on the driver, whose file server hands it out
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    path = os.path.join(tmp, f"{os.path.basename(top)}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    at = os.path.join(folder, n)
+                    z.write(at, os.path.relpath(at, os.path.dirname(top)))
+    sc.addPyFile(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")

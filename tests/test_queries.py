@@ -11,6 +11,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 import __spark_entry__ as entry  # noqa: E402
+from faultlens.plans import registry  # noqa: E402
 from check import TABLES, rows_of  # noqa: E402
 
 DATA = os.environ.get("FAULTLENS_DATA", "/root/testdata/sf0.001")
@@ -20,7 +21,8 @@ NAMES = list(entry.queries()) if os.environ.get("FAULTLENS_ALL") else SOME
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert registry.queries().keys() == registry.oracle_sql().keys()
+    assert registry.queries().items() <= entry.queries().items()
 
 
 @pytest.mark.parametrize("name", NAMES)
