@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faultlens.llm import simhash
+from faultlens.llm import simhash, substrings
 from faultlens.llm.common import table
 
 
@@ -12,5 +13,21 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup,)}
-ORACLE: dict[str, str] = {}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeated(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20),
+seqs AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS seq FROM starts),
+firsts AS (SELECT seq, min({'d': doc_id, 's': s}) AS f FROM seqs GROUP BY seq HAVING count(*) > 1),
+late AS (SELECT DISTINCT q.doc_id, q.s FROM seqs q JOIN firsts USING (seq) WHERE f < {'d': q.doc_id, 's': q.s}),
+covered AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(s, s + 20)) AS i FROM late) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(list_filter(ws, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM w LEFT JOIN covered USING (doc_id)"""
+
+QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op8_substring_dedup)}
+ORACLE = {"op8_substring_dedup": OP8_SQL}
