@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import packing, simhash, substrings
+from faultlens.llm import mixing, packing, simhash, substrings
 from faultlens.llm.common import table
 
 
+def op2_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,5 +39,5 @@ SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
        sha256(array_to_string(list_filter(ws, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
 FROM w LEFT JOIN covered USING (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op5_best_fit_packing, op8_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_cube_mixing, op3_simhash_dedup, op5_best_fit_packing, op8_substring_dedup)}
 ORACLE = {"op8_substring_dedup": OP8_SQL}
