@@ -87,14 +87,13 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _fly(final: bool):
-    """One flight over a chunk: its rows come back with p moved; a final one keeps documents of all sizes back for the landing, and lands."""
+    """One flight over a chunk: its rows come back with p moved, but for a few of all sizes kept back for the landing; a final one lands."""
     def run(chunk: pd.DataFrame) -> pd.DataFrame:
         chunk = chunk.sort_values(["size", "_h", "_row"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         size, p = chunk["size"].to_numpy(float), chunk["p"].to_numpy(float)
         draws = (chunk["_h"].to_numpy(np.int64).view(np.uint64) >> np.uint64(11)) / float(1 << 53)
         fly = np.ones(len(chunk), bool)
-        if final:
-            fly[np.unique(np.linspace(0, len(chunk) - 1, min(len(chunk), LANDING - 2)).round().astype(int))] = False
+        fly[np.unique(np.linspace(0, len(chunk) - 1, min(len(chunk), LANDING - 2)).round().astype(int))] = False
         p[fly] = flight(p[fly], size[fly], draws[fly])
         return chunk.assign(p=landing(p, size) if final else p)[["_group", "_row", "_h", "size", "p"]]
     return run
@@ -130,7 +129,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     open_ = rows.where(inside).select(*names, "_n")
     settled = []
     parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / chunk)).cast("long")
-    # the number of chunks follows from the documents of a source; what a flight leaves over is two of each chunk
+    # the number of chunks follows from the documents of a source; a flight leaves at most LANDING of each chunk
     state = (open_.withColumn("_part", F.pmod(F.col("_h"), parts)).groupBy("_group", "_part")
              .applyInPandas(_fly(False), schema))
     while True:
