@@ -31,6 +31,20 @@ def bucket(col: str | Column, n: int = 5) -> Column:
     return F.crc32(c.cast("string")) % n
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of at most `rows` labelled rows for training, none of them from the held-out fifth (bucket 0).
+
+    The sample goes by a hash of the id, so reruns agree. It is taken from the labels first; the few ids are then sent to the documents, whose
+    texts are not shuffled. Null ids, null labels and repeated labels are left out.
+    """
+    few = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (bucket("doc_id") != 0))
+           .groupBy("doc_id").agg(F.max(label).alias("_y"), F.min(label).alias("_z")).where("_y = _z")
+           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "_y"))
+    got = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.first("_y").alias("y")).orderBy("doc_id").toPandas()
+    return got["text"].tolist(), got["y"].to_numpy(np.int64)
+
+
 def raw(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """UTF-8 bytes of a text column. bytes.split() cuts at exactly the six ASCII blanks, bytes.lower() folds only A-Z."""
     return batch.column(name).cast(pa.binary()).to_pylist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import mixing, packing, simhash, substrings
+from faultlens.llm import mixing, packing, quality, simhash, substrings
 from faultlens.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP8_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20),
@@ -39,5 +43,5 @@ SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
        sha256(array_to_string(list_filter(ws, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
 FROM w LEFT JOIN covered USING (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op2_cube_mixing, op3_simhash_dedup, op5_best_fit_packing, op8_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_cube_mixing, op3_simhash_dedup, op5_best_fit_packing, op8_substring_dedup, op9_quality_classifier)}
 ORACLE = {"op8_substring_dedup": OP8_SQL}
