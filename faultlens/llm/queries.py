@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import mixing, packing, quality, simhash, substrings
+from faultlens.llm import embedding_dedup, mixing, neighbours, packing, quality, simhash, substrings
 from faultlens.llm.common import table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -23,6 +27,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substrings.remove_repeated(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -43,5 +51,6 @@ SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
        sha256(array_to_string(list_filter(ws, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
 FROM w LEFT JOIN covered USING (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op2_cube_mixing, op3_simhash_dedup, op5_best_fit_packing, op8_substring_dedup, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_cube_mixing, op3_simhash_dedup, op5_best_fit_packing, op6_nearest_neighbours, op8_substring_dedup,
+                                   op9_quality_classifier)}
 ORACLE = {"op8_substring_dedup": OP8_SQL}
