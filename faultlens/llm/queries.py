@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import embedding_dedup, mixing, neighbours, packing, quality, simhash, substrings, toxicity
+from faultlens.llm import embedding_dedup, lm, mixing, neighbours, packing, quality, simhash, substrings, toxicity
 from faultlens.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20),
@@ -56,5 +60,5 @@ SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
 FROM w LEFT JOIN covered USING (doc_id)"""
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_cube_mixing, op3_simhash_dedup, op5_best_fit_packing, op6_nearest_neighbours, op7_toxicity, op8_substring_dedup,
-                                   op9_quality_classifier)}
+                                   op9_quality_classifier, op10_lm_scores)}
 ORACLE = {"op8_substring_dedup": OP8_SQL}
