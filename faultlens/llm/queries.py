@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import embedding_dedup, lm, mixing, neighbours, packing, quality, simhash, substrings, toxicity
+from faultlens.llm import embedding_dedup, licenses, lm, mixing, neighbours, packing, quality, simhash, substrings, toxicity
 from faultlens.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -59,6 +63,6 @@ SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
        sha256(array_to_string(list_filter(ws, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
 FROM w LEFT JOIN covered USING (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_cube_mixing, op3_simhash_dedup, op5_best_fit_packing, op6_nearest_neighbours, op7_toxicity, op8_substring_dedup,
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_cube_mixing, op3_simhash_dedup, op4_license_scan, op5_best_fit_packing, op6_nearest_neighbours, op7_toxicity, op8_substring_dedup,
                                    op9_quality_classifier, op10_lm_scores)}
 ORACLE = {"op8_substring_dedup": OP8_SQL}
