@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +16,7 @@ from faultlens.llm.common import bucket, labelled_sample, raw
 from faultlens.llm.substrings import text_batches
 from faultlens.session import ship
 
-SAMPLE = 8_000  # labelled documents to learn from
+SAMPLE = 4_000  # labelled documents to learn from
 DIM, SPARSE = 48, 6
 WIDTH = DIM + 3
 VOCABULARY, LEAST = 30_000, 5
@@ -107,39 +106,33 @@ class Pool:
 
 def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Unit context vectors of the frequent tokens: sums of their own and their neighbours' index vectors."""
-    seen: dict[bytes, list[str]] = {}
-    words = [t.encode().split() for t in texts]
-    for w in set().union(*words) if words else ():
-        seen[w] = features_of(w.decode(errors="replace"))
-    counts: Counter[str] = Counter()
-    for w, n in Counter(x for ws in words for x in ws).items():
-        for t in seen[w]:
-            counts[t] += n
-    rows = {t: i for i, (t, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if n >= LEAST}
-    index = np.stack([_index_vector(t) for t in rows]) if rows else np.zeros((0, DIM), np.float32)
-    # one vector for each word form: what its neighbours see of it
-    form = {w: i for i, w in enumerate(sorted(seen))}
+    form: dict[bytes, int] = {}
+    ids = [np.fromiter((form.setdefault(w, len(form)) for w in t.encode().split()), np.int32) for t in texts]
+    often = np.bincount(np.concatenate(ids), minlength=len(form)) if form else np.empty(0, np.int64)
+    token: dict[str, int] = {}
+    pairs = [np.array([(i, token.setdefault(t, len(token))) for t in features_of(w.decode(errors="replace"))], np.int32) for w, i in form.items()]
+    of, has = np.concatenate(pairs).T if pairs else np.empty((2, 0), np.int32)
+    counts = np.bincount(has, weights=often[of], minlength=len(token))
+    top = sorted(((-int(counts[i]), t, i) for t, i in token.items() if counts[i] >= LEAST))[:VOCABULARY]
+    row = np.full(len(token) + 1, -1)
+    row[[i for _, _, i in top]] = np.arange(len(top))
+    of, has = of[row[has] >= 0], row[has][row[has] >= 0]
+    index = np.stack([_index_vector(t) for _, t, _ in top]) if top else np.zeros((0, DIM), np.float32)
+    # what the neighbours of a word form see of it; the last form is a gap between texts
     shown = np.zeros((len(form) + 1, DIM), np.float32)
-    members: list[tuple[int, int]] = []
-    for w, i in form.items():
-        at = [rows[t] for t in seen[w] if t in rows]
-        shown[i] = index[at].sum(axis=0)
-        members += [(i, r) for r in at]
+    np.add.at(shown, of, index[has])
     around = np.zeros_like(shown)
-    gap = [len(form)] * SPAN
-    for lo in range(0, len(words), 1000):
-        ids = np.array([x for ws in words[lo:lo + 1000] for x in (*map(form.__getitem__, ws), *gap)], np.int64)
-        near = sum(np.pad(shown[ids], ((SPAN, SPAN), (0, 0)))[SPAN + k:len(ids) + SPAN + k] for k in range(-SPAN, SPAN + 1))
-        order = np.argsort(ids, kind="stable")
-        cut = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0]) if len(ids) else np.empty(0, np.int64)
-        if len(cut):
-            around[ids[order][cut]] += np.add.reduceat(near[order], cut, axis=0)
-    vectors = np.zeros((len(rows), DIM), np.float32)
-    if members:
-        i, r = np.array(members).T
-        np.add.at(vectors, r, around[i])
+    gap = np.full(SPAN, len(form), np.int32)
+    for lo in range(0, len(ids), 250):
+        run = np.concatenate([x for t in ids[lo:lo + 250] for x in (t, gap)])
+        near = sum(np.pad(shown[run], ((SPAN, SPAN), (0, 0)))[SPAN + k:len(run) + SPAN + k] for k in range(-SPAN, SPAN + 1))
+        order = np.argsort(run, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(run[order]) > 0])
+        around[run[order][cut]] += np.add.reduceat(near[order], cut, axis=0)
+    vectors = np.zeros((len(top), DIM), np.float32)
+    np.add.at(vectors, has, around[of])
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return rows, vectors / np.maximum(norm, 1e-9)
+    return {t: i for i, (_, t, _) in enumerate(top)}, vectors / np.maximum(norm, 1e-9)
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
