@@ -58,11 +58,11 @@ def _segments(data: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(text of each word, two independent 64-bit hashes of each word), words being runs of bytes other than ASCII blanks."""
+def word_hashes(texts: list[bytes], many: int = 2) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(text of each word, `many` independent 64-bit hashes of each word), words being runs of bytes other than ASCII blanks."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-    of, hashes = [], [[], []]
+    of, hashes = [], [[] for _ in range(many)]
     for lo, hi in _segments(joined):
         data = joined[lo:hi]
         ink = np.r_[False, ~_BLANK[data], False]
@@ -117,7 +117,7 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 def selected(texts: list[bytes]) -> np.ndarray:
     """The anchors of all windows, once for each place that serves as one: an anchor's count is at least that of any window that has it."""
-    of, (h1, _) = word_hashes(texts)
+    of, (h1,) = word_hashes(texts, 1)
     if len(of) < WINDOW:
         return np.empty(0, _U)
     grams = _mix(_runs(h1, GRAM, _BASES[1]))
@@ -168,6 +168,8 @@ def sketch(docs: DataFrame, bits: int) -> np.ndarray:
                     continue
                 cells, n = np.unique(np.concatenate(held[k]), return_counts=True)
                 held[k] = []
+                if not len(cells):
+                    continue
                 block = (cells >> _U(BLOCK_BITS)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(block)) + 1
                 low = (cells & _U((1 << BLOCK_BITS) - 1)).astype(np.uint32)
@@ -240,7 +242,7 @@ def repeated(docs: DataFrame) -> DataFrame:
             new = np.r_[True, (k1[first][1:] != k1[first][:-1]) | (k2[first][1:] != k2[first][:-1])]
             lead = place[first][np.flatnonzero(new)][np.cumsum(new) - 1]
             late = place[first] > lead
-            out = first[~late]
+            out = np.sort(first[~late])  # in document order ids and starts compress well
             n = len(out)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k1[out].view(np.int64)), pa.array(k2[out].view(np.int64)), doc_id.take(pa.array(doc[out])), pa.array(th[doc[out]]), pa.array(start[out]),
@@ -295,21 +297,15 @@ def repeated(docs: DataFrame) -> DataFrame:
         F.collect_list(F.expr("nullif(start, -1)")).alias("starts"), F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, kept, n_words, n_removed): every row of docs with its words that no repeated window covers.
-
-    A window is WINDOW consecutive words (`[^\\x20\\x09-\\x0D]+`, unchanged) of one document. A word goes if a window over it has a
-    word sequence that also starts earlier: in a smaller doc_id, or earlier in the same document; windows are judged on the input.
-    kept is the words left, joined by one space. Null and blank texts have no words and kept ''. Rows without a doc_id come after
-    all others. Rows that share a doc_id count as one place, so equal rows do not remove each other. Other columns are not looked at.
-    """
+def _cut(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest, kept, n_words, n_removed) for every row of docs; rest is a struct of its other columns."""
     marks = repeated(docs)
-    own = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    own = docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("rest"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     m = marks.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "starts", "spans").hint("shuffle_hash")
-    both = own.join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    both = own.join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").select("doc_id", "text", "rest", "starts", "spans")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches):
             kept, total, gone = [], [], []
             for text, starts, spans in zip(raw(b, "text"), b.column("starts"), b.column("spans")):
@@ -317,10 +313,9 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
                 total.append(len(words))
                 if starts.is_valid:
                     edge = np.zeros(len(words) + 1, np.int32)
-                    s = starts.values.to_numpy() if starts.values is not None else np.empty(0, np.int32)
-                    p = spans.values.to_numpy() if spans.values is not None else np.empty(0, np.int32)
-                    np.add.at(edge, np.r_[s, p[::2]].astype(np.int64), 1)
-                    np.add.at(edge, np.r_[s + WINDOW, p[1::2]].astype(np.int64), -1)
+                    s, p = (x.values.to_numpy().astype(np.int64) for x in (starts, spans))
+                    np.add.at(edge, np.r_[s, p[::2]], 1)
+                    np.add.at(edge, np.r_[s + WINDOW, p[1::2]], -1)
                     stays = np.cumsum(edge[:-1]) == 0
                     gone.append(len(words) - int(stays.sum()))
                     words = [w for w, ok in zip(words, stays.tolist()) if ok]
@@ -328,7 +323,29 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
                     gone.append(0)
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
-                ["doc_id", "text", "kept", "n_words", "n_removed"])
+                [*(b.column(c) for c in ("doc_id", "text", "rest")), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
+                ["doc_id", "text", "rest", "kept", "n_words", "n_removed"])
+
+    schema = own.drop("text_hash").schema.add("kept", "string").add("n_words", "long").add("n_removed", "long")
+    return both.mapInArrow(run, schema)
+
+
+def remove_repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, kept, n_words, n_removed): every row of docs with its words that no repeated window covers.
+
+    A window is WINDOW consecutive words (`[^\\x20\\x09-\\x0D]+`, unchanged) of one document. A word goes if a window over it has a
+    word sequence that also starts earlier: in a smaller doc_id, or earlier in the same document; windows are judged on the input.
+    kept is the words left, joined by one space. Null and blank texts have no words and kept ''. Rows without a doc_id come after
+    all others. Rows that share a doc_id count as one place, so equal rows do not remove each other. Other columns are not looked at.
+    An empty table gives an empty table.
+    """
+    return _cut(docs.select("doc_id", "text")).select("doc_id", "text", "kept", "n_words", "n_removed")
+
 
-    return both.select("doc_id", "text", "starts", "spans").mapInArrow(cut, f"doc_id {kind}, text string, kept string, n_words long, n_removed long")
+def without_repeated(docs: DataFrame) -> DataFrame:
+    """docs with repeated passages cut out of the texts; a text that loses nothing stays as it is. n_chars, if there, follows the text."""
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    got = _cut(docs).withColumn("text", text)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return got.select(*[F.col(c) if c in ("doc_id", "text") else F.when(F.col("n_removed") > 0, length).otherwise(F.col("rest.n_chars")).alias(c) if c == "n_chars"
+                        else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
