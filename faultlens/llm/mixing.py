@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from faultlens.llm.common import WORD, store
 from faultlens.session import ship, with_ordinal
@@ -99,8 +100,12 @@ def _fly(final: bool):
     return run
 
 
+def _row_hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "source", "text")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeat: float = REPEAT, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source, source_size, target, times, taken): how often the mix takes each whole document.
+    """(doc_id, size, source, source_size, target, times, taken, row_hash): how often the mix takes each whole document.
 
     size is the number of words of the text, 0 for a null text. A source's share of its size, target / source_size, gives each document a whole number of
     copies and a chance of one more; flights balance the words and the documents of those chances, in chunks of one source, then over what
@@ -110,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """
     ship(docs.sparkSession)
     sized = store(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                              F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("_h")), "sizes")
+                              _row_hash(seed).alias("_h")), "sizes")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     goal = store(targets(per.select("source", "source_size"), weights, share, repeat)
                  .join(per.select(F.col("source").alias("_s"), "_n"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "targets")
@@ -149,4 +154,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     extra = chosen.where("p > 0.5").select(F.col("_row"), F.lit(1).alias("_extra"))
     times = F.col("times") + F.coalesce("_extra", F.lit(0))
     return (rows.join(extra, "_row", "left").withColumn("times", times)
-            .select("doc_id", "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken")))
+            .select("doc_id", "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), F.col("_h").alias("row_hash")))
+
+
+def repeat(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """docs as the mix takes them: each row as often as it is taken, with its columns as they are.
+
+    Rows meet their numbers by a hash of id, source and text. Equal rows share theirs: the first of them give the larger ones.
+    """
+    taken = mix(docs, seed=seed).groupBy("row_hash").agg(F.count("*").alias("_rows"), F.sum("times").alias("_times"))
+    rows = docs.withColumn("_hash", _row_hash(seed)).join(taken.withColumnRenamed("row_hash", "_hash"), "_hash").where("_times > 0")
+    one = rows.where("_rows = 1").withColumn("_n", F.lit(1))
+    more = rows.where("_rows > 1").withColumn("_n", F.row_number().over(W.partitionBy("_hash").orderBy("_hash")))
+    n = F.expr("_times div _rows + if(_n <= _times % _rows, 1, 0)").cast("int")
+    return (one.unionByName(more).withColumn("_n", n).where("_n > 0")
+            .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns]))
