@@ -18,7 +18,7 @@ from faultlens.llm.vectors import dimension, matrix, usable
 from faultlens.session import ship
 
 COSINE = 0.95
-SAMPLE = 10_000  # vectors that the rotation is learned from
+SAMPLE = 6_000  # vectors that the rotation is learned from
 BITS = 64
 TURNS = 30
 BUCKET = 512  # vectors wanted in a bucket
@@ -53,16 +53,27 @@ class Codes:
         return [sum(1 << b for b in c) for r in range(1, self.radius + 1) for c in combinations(range(self.width), r)]
 
 
+def thinned(sample: np.ndarray, cosine: float) -> np.ndarray:
+    """The unit vectors that have no earlier one within the threshold: a group of copies counts once, whatever its share of the rows."""
+    kept = sample[:0]
+    for at in range(0, len(sample), 1000):
+        part = sample[at:at + 1000]
+        part = part[~(part @ kept.T >= cosine).any(axis=1)]
+        kept = np.concatenate([kept, part[~np.tril(part @ part.T >= cosine, -1).any(axis=1)]])
+    return kept
+
+
 def learn(sample: np.ndarray, rows: int, cosine: float = COSINE, seed: int = 3) -> Codes:
     """A rotation of the centred sample's principal axes that brings it near the corners of a cube, cut at medians so that each bit is balanced.
 
-    The tables' keys are as wide as buckets of BUCKET vectors need for `rows` vectors; their radius is the least that finds pairs just at the
+    Groups of near copies in the sample count once, so that no cut runs through a group for its mass. The tables' keys are as wide as buckets of BUCKET vectors need for `rows` vectors; their radius is the least that finds pairs just at the
     threshold but for MISSED of them, by the share of bits that differ between sample vectors and vectors turned to that cosine.
     """
     rng = np.random.default_rng(seed)
-    dim = sample.shape[1]
+    sample, dim = thinned(sample, cosine), sample.shape[1]
     bits = min(BITS, dim)
-    mean = sample.mean(axis=0)
+    few = len(sample) < 4 * dim  # too few directions to balance: cuts go through the origin
+    mean = sample.mean(axis=0) * (not few)
     axes = np.linalg.eigh(np.cov(sample.T).reshape(dim, dim) if len(sample) > 1 else np.eye(dim))[1][:, ::-1][:, :bits]
     v = (sample - mean) @ axes
     turn = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
@@ -71,7 +82,7 @@ def learn(sample: np.ndarray, rows: int, cosine: float = COSINE, seed: int = 3)
         a, _, b = np.linalg.svd(np.where(z - np.median(z, axis=0) > 0, 1.0, -1.0).T @ v)
         turn = (a @ b).T
     rotation = axes @ turn
-    middle = np.median((sample - mean) @ rotation, axis=0)
+    middle = np.median((sample - mean) @ rotation, axis=0) * (not few)
     width = min(bits, max(min(8, bits), math.ceil(math.log2(max(1, rows / BUCKET)))))
     codes = Codes(mean, rotation, middle, width, 0)
     side = rng.normal(size=sample.shape)
