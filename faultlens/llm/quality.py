@@ -33,7 +33,7 @@ def features_of(word: str) -> list[str]:
     before, core, after = _PARTS.match(word).groups()
     out = [f"<{before[:4]} {after[:4]}>"]
     if core:
-        out.append("<9>" if any(c.isdigit() for c in core) else "<AA>" if len(core) > 1 and core.isupper() else "<aa>" if core.islower() else "<Aa>")
+        out.append("<9>" if not core.isalpha() and any(map(str.isdigit, core)) else "<AA>" if len(core) > 1 and core.isupper() else "<aa>" if core.islower() else "<Aa>")
         out.append(core.lower())
     return out
 
@@ -120,7 +120,8 @@ def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     index = np.stack([_index_vector(t) for _, t, _ in top]) if top else np.zeros((0, DIM), np.float32)
     # what the neighbours of a word form see of it; the last form is a gap between texts
     shown = np.zeros((len(form) + 1, DIM), np.float32)
-    np.add.at(shown, of, index[has])
+    for lo in range(0, len(of), 50_000):
+        np.add.at(shown, of[lo:lo + 50_000], index[has[lo:lo + 50_000]])
     around = np.zeros_like(shown)
     gap = np.full(SPAN, len(form), np.int32)
     for lo in range(0, len(ids), 250):
@@ -130,7 +131,8 @@ def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
         cut = np.flatnonzero(np.r_[True, np.diff(run[order]) > 0])
         around[run[order][cut]] += np.add.reduceat(near[order], cut, axis=0)
     vectors = np.zeros((len(top), DIM), np.float32)
-    np.add.at(vectors, has, around[of])
+    for lo in range(0, len(of), 50_000):
+        np.add.at(vectors, has[lo:lo + 50_000], around[of[lo:lo + 50_000]])
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return {t: i for i, (_, t, _) in enumerate(top)}, vectors / np.maximum(norm, 1e-9)
 
