@@ -39,7 +39,7 @@ def added_lines(diff: Column) -> Column:
 
 def code_lines(added: Column) -> Column:
     """Lines that are neither blank nor whole-line comments."""
-    return F.filter(added, lambda s: ~F.trim(s).rlike(r"\A(?:\z|//|#|\*|/\*)"))
+    return F.filter(added, lambda s: ~T.strip(s).rlike(r"\A(?:\z|//|#|\*|/\*)"))
 
 
 def code_added_lines(diff: Column) -> Column:
@@ -221,7 +221,7 @@ def parse_plan(c: Column) -> Column:
             return F.coalesce(T.non_empty(F.from_json(m[name], "array<string>")), none)
 
         def words(name: str) -> Column:
-            return F.trim(F.coalesce(m[name], F.lit("")))
+            return T.strip(F.coalesce(m[name], F.lit("")))
 
         return F.when(m.isNotNull(), F.struct(
             words("root_cause").alias("root_cause"),
@@ -237,7 +237,7 @@ def parse_plan(c: Column) -> Column:
 def _plan_target(t: Column) -> Column:
     """A target object or bare path as struct<file, symbol, why>."""
     def pick(m: Column) -> Column:
-        return F.struct(F.when(m.isNotNull(), m["file"]).otherwise(F.trim(t)).alias("file"), F.nullif(m["symbol"], F.lit("")).alias("symbol"),
+        return F.struct(F.when(m.isNotNull(), m["file"]).otherwise(T.strip(t)).alias("file"), F.nullif(m["symbol"], F.lit("")).alias("symbol"),
                         F.coalesce(m["why"], F.lit("")).alias("why"))
 
     return T.let(F.when(t.rlike(r"\A\s*\{"), F.from_json(t, "map<string,string>")), pick)

@@ -50,7 +50,7 @@ def logcat_fields(raw: Column) -> Column:
     hit = raw.rlike(LOGCAT)
     names = ["ts", "pid", "tid", "level", "tag", "msg"]
     got = [F.regexp_extract(raw, LOGCAT, i + 1) for i in range(6)]
-    got[4] = F.trim(got[4])
+    got[4] = T.strip(got[4])
     cols = [F.when(hit, g).alias(n) for n, g in zip(names[:5], got[:5])]
     return F.struct(*cols, F.when(hit, got[5]).otherwise(raw).alias("msg"))
 

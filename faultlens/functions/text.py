@@ -97,7 +97,8 @@ def fold(c: Column) -> Column:
 
 def split_identifier(c: Column) -> Column:
     """Camel, acronym and digit parts of an identifier, lowered, distinct, in order."""
-    return F.array_distinct(F.transform(matches(F.coalesce(c, F.lit("")), SUBWORD), F.lower))
+    words = matches(F.coalesce(c, F.lit("")), "[A-Za-z0-9]+")  # an acronym ends at its word's end
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(matches(w, SUBWORD), F.lower))))
 
 
 def index_terms(c: Column) -> Column:
@@ -155,7 +156,9 @@ def markdown_sections(c: Column) -> Column:
 
 
 def hash_embedding(c: Column, dim: int = 16) -> Column:
-    """L2-normalised bucket counts of whitespace tokens by sha1; dim is a power of two up to 65536."""
+    """L2-normalised bucket counts of whitespace tokens by sha1; dim must be a power of two up to 65536."""
+    if dim < 1 or dim > 65536 or dim & (dim - 1):
+        raise ValueError(f"dim must be a power of two up to 65536, not {dim}")
     toks = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda t: t != "")
     buckets = F.transform(toks, lambda t: F.conv(F.substring(F.sha1(t), 37, 4), 16, 10).cast("int") % dim)
     counts = let(buckets, lambda bs: F.transform(
@@ -181,7 +184,7 @@ def stable_pick(case_id: Column, n: Column | int) -> Column:
 
 def norm_path(c: Column) -> Column:
     """Bare repo-relative path: one a/ or b/ stripped, then ./, slashes collapsed."""
-    p = F.regexp_replace(F.trim(c), r"\A[ab]/", "")
+    p = F.regexp_replace(strip(c), r"\A[ab]/", "")
     return F.regexp_replace(F.regexp_replace(p, r"\A\./", ""), "/+", "/")
 
 
@@ -291,7 +294,7 @@ def symbol_source(src: Column, name: Column, start: Column, end: Column, max_cha
         above, run = F.lit(0), F.lit(True)
         for back in range(1, doc_lines + 1):
             pos = F.greatest(r["at"] - back, F.lit(1)).cast("int")
-            line = F.trim(F.coalesce(F.try_element_at(r["lines"], pos), F.lit("")))
+            line = strip(F.coalesce(F.try_element_at(r["lines"], pos), F.lit("")))
             run = run & (r["at"] - back >= 1) & (starts_any(line, ["//", "/*", "*"]) | line.endswith("*/"))
             above = F.when(run, F.lit(back)).otherwise(above)
         begin = F.greatest(r["at"] - above, F.lit(1)).cast("int")

@@ -41,9 +41,11 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
     """
     open_edges = _trim(cut(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()))
     done = None
-    for _ in range(MAX_ROUNDS):
-        if open_edges.isEmpty():
-            break
+    rounds = 0
+    while not open_edges.isEmpty():
+        rounds += 1
+        if rounds > MAX_ROUNDS:
+            raise RuntimeError(f"cycle groups not complete after {MAX_ROUNDS} rounds")
         state = _spread_labels(open_edges)
         found = state.where(F.col("f") == F.col("b")).select("id", F.col("f").alias("label"))
         done = found if done is None else done.unionByName(found)
@@ -110,8 +112,8 @@ def dependency_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     raise RuntimeError("levels did not settle")
 
 
-def leaf_nodes(components: DataFrame, edges: DataFrame, limit: int = V.LEAF_LIMIT) -> DataFrame:
-    """Component ids of leaf types; with `limit` or more of them, depended-on ids are dropped.
+def leaf_nodes(components: DataFrame, edges: DataFrame, drop_depended: bool) -> DataFrame:
+    """Component ids of leaf types; drop_depended leaves out those that others depend on.
 
     Functions count only when there is no class, interface or struct at all.
     """
@@ -122,7 +124,7 @@ def leaf_nodes(components: DataFrame, edges: DataFrame, limit: int = V.LEAF_LIMI
         (F.trim("id") != "") & ~T.has_any(low, V.LEAF_JUNK)
         & (F.col("component_type").isin(*V.LEAF_TYPES) | (~F.col("typed") & (F.col("component_type") == "function"))))
     kept = rows.select("id")
-    if kept.limit(limit).count() < limit:
+    if not drop_depended:
         return kept
     return kept.join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
 
@@ -160,21 +162,26 @@ def distinct_nodes(rows: DataFrame) -> DataFrame:
     return keyed.groupBy("node_id").agg(F.max_by(F.struct(*rows.columns), "seq").alias("r")).select("node_id", "r.*")
 
 
-def module_tree(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(module, parent, depth, path, module_path) of tree rows (module, parent, path); a child without
-    a path inherits its parent's."""
+def module_tree(nodes: DataFrame) -> DataFrame:
+    """(module, parent, depth, path, module_path) of tree rows (module, parent, path), to any depth; a child without
+    a path inherits its parent's. Rows below no root (orphans, parents in a circle) fail the job."""
     level = cut(nodes.where(F.col("parent").isNull()).select(
         "module", "parent", F.lit(0).alias("depth"), F.coalesce("path", F.lit("")).alias("path"), F.col("module").alias("module_path")))
     out = level
     kids = nodes.where(F.col("parent").isNotNull())
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
+        if depth > MAX_ROUNDS:
+            raise RuntimeError(f"module tree deeper than {MAX_ROUNDS}")
         up = level.select(F.col("module").alias("parent"), F.col("path").alias("pp"), F.col("module_path").alias("mp"))
         level = cut(kids.join(up, "parent").select(
             "module", "parent", F.lit(depth).alias("depth"), F.coalesce(F.nullif("path", F.lit("")), "pp").alias("path"),
             F.concat("mp", F.lit("/"), "module").alias("module_path")))
-        if level.isEmpty():
-            break
         out = out.unionByName(level)
+    lost = kids.join(out.select("module", "parent"), ["module", "parent"], "left_anti").limit(5).collect()
+    if lost:
+        raise ValueError(f"modules below no root: {[r.module for r in lost]}")
     return out
 
 
@@ -188,7 +195,7 @@ def module_entries(components: DataFrame) -> DataFrame:
     comp = F.col("component")
     at = F.instr(comp, F.lit("::"))
     rows = components.where(at > 0).select(
-        "module", F.trim(F.substring_index(comp, "::", 1)).alias("file"), F.trim(comp.substr(at + 2, F.length(comp))).alias("symbol"))
+        "module", T.strip(F.substring_index(comp, "::", 1)).alias("file"), T.strip(comp.substr(at + 2, F.length(comp))).alias("symbol"))
     return rows.where((F.col("file") != "") & (F.col("symbol") != "")).distinct()
 
 

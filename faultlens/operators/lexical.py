@@ -115,14 +115,19 @@ def filter_units(units: DataFrame, repos: list[str] | None = None, kinds: list[s
     return units
 
 
-def token_hits(units: DataFrame, tokens: DataFrame, k: int = V.TOKEN_TOP_K) -> DataFrame:
+def token_hits(units: DataFrame, tokens: DataFrame, k: int = V.TOKEN_TOP_K, catalogs: DataFrame | None = None) -> DataFrame:
     """Best k units of every distinct token: (token, uid, repo, kind, file, score, rank).
 
-    Equal tokens of different cases are searched once.
+    Equal tokens of different cases are searched once. With catalogs(cat, repo), tokens is (token, cat) and the k best are those within the
+    token's catalog: every token is scored once, hits are then kept by (catalog, repo), and cut last. Result rows carry cat.
     """
     asked = tokens.select("token").distinct().select(F.col("token").alias("qid"), F.col("token").alias("query"))
     index = build_index(units, query_vocabulary(asked))
-    return keyword_search(index, asked, k).withColumnRenamed("qid", "token")
+    if catalogs is None:
+        return keyword_search(index, asked, k).withColumnRenamed("qid", "token")
+    scored = bm25(index, query_vocabulary(asked)).join(units.select("uid", "repo", "kind", "file"), "uid").withColumnRenamed("qid", "token")
+    within = join_sized(scored, tokens.select("token", "cat").distinct(), ["token"]).join(catalogs.select("cat", "repo").distinct(), ["cat", "repo"], "left_semi")
+    return top_k(within, k, ["token", "cat"], [F.col("score"), F.col("uid")])
 
 
 def search(units: DataFrame, queries: DataFrame, k: int = 20, **filters) -> DataFrame:

@@ -55,10 +55,21 @@ def fill_catalog(cands: DataFrame, scores: DataFrame) -> DataFrame:
     return got.withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def catalogs_of(cands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(case_id, cat) and (cat, repo): cases whose candidates are the same repos share a catalog, so that each is searched once."""
+    sums = cands.groupBy("case_id").agg(F.struct(
+        F.count("repo").alias("n"), F.bit_xor(F.xxhash64("repo")).alias("x"), F.sum(F.xxhash64(F.lit(1), "repo").cast("decimal(20,0)")).alias("s")).alias("_c"))
+    of = cut(sums.select("case_id", F.xxhash64("_c").alias("cat")))
+    one = of.groupBy("cat").agg(F.min("case_id").alias("case_id"))
+    return of, cut(cands.join(one, "case_id").select("cat", "repo").distinct())
+
+
 def membership(units: DataFrame, tokens: DataFrame, cands: DataFrame, k: int = V.TOKEN_TOP_K) -> DataFrame:
-    """Distinct signal tokens whose best-k hits include the repo; tokens is (case_id, token)."""
-    hits = lexical.token_hits(units, tokens, k).select("token", "repo").distinct()
-    votes = join_sized(hits, tokens.select("case_id", "token").distinct(), ["token"])
+    """Distinct signal tokens whose best-k hits among the case's candidates include the repo; tokens is (case_id, token)."""
+    of, catalogs = catalogs_of(cands)
+    asked = tokens.select("case_id", "token").distinct().join(of, "case_id")
+    hits = lexical.token_hits(units, asked, k, catalogs).select("token", "cat", "repo").distinct()
+    votes = join_sized(hits, asked, ["token", "cat"])
     scores = votes.groupBy("case_id", "repo").agg(
         F.count("*").cast("double").alias("score"), F.array_sort(F.collect_list("token")).alias("evidence"))
     return rank_scores(fill_catalog(cands, scores))
@@ -97,7 +108,7 @@ def prefix_overlap(tokens: DataFrame, dictionary: DataFrame, cands: DataFrame) -
 
 
 def vector_ranking(hits: DataFrame, cands: DataFrame) -> DataFrame:
-    """Best cosine per repo over vector hits(case_id, repo, score), floored at 0."""
+    """Best cosine per repo over vector hits(case_id, repo, score), floored at 0; hits are searched among the case's candidates."""
     best = hits.groupBy("case_id", "repo").agg(F.greatest(F.lit(0.0), F.max("score")).alias("score"))
     return rank_scores(fill_catalog(cands, best))
 

@@ -183,12 +183,12 @@ def select_rules(hits: DataFrame, meta: DataFrame, tier_floor: str, k: int = 2,
 
 def resolve_refs(units: DataFrame, refs: DataFrame, k: int = 20) -> DataFrame:
     """(ref, resolved): does one of the best k fleet-wide hits carry the whole identifier?"""
-    asked = refs.select(F.trim("ref").alias("query")).where(F.col("query") != "").distinct().withColumn("qid", F.col("query"))
+    asked = refs.select(T.strip(F.col("ref")).alias("query")).where(F.col("query") != "").distinct().withColumn("qid", F.col("query"))
     hits = lexical.search(units, asked, k).select("qid", "uid")
     hay = units.select("uid", F.concat_ws(" ", "name", "qualified_name", "text").alias("hay"))
     whole = F.concat(F.lit("(?i)(?<![A-Za-z0-9_])"), T.quoted(F.col("qid")), F.lit("(?![A-Za-z0-9_])"))
     found = hits.join(hay, "uid").groupBy("qid").agg(F.bool_or(F.regexp_like("hay", whole)).alias("resolved"))
-    out = refs.select("ref", F.trim("ref").alias("qid")).distinct()
+    out = refs.select("ref", T.strip(F.col("ref")).alias("qid")).distinct()
     return out.join(found, "qid", "left").select("ref", F.coalesce("resolved", F.lit(False)).alias("resolved"))
 
 
@@ -238,12 +238,12 @@ def check_grounded(items: DataFrame, resolved: DataFrame, denylist: DataFrame) -
 
 def clause(guidance: Column, label: str) -> Column:
     """Text of the first 'Label: ...' line, '' without one."""
-    return F.trim(F.regexp_extract(guidance, rf"(?m)^[^\S\n]*{label}([^\n]*)$", 1))
+    return T.strip(F.regexp_extract(guidance, rf"(?m)^[^\S\n]*{label}([^\n]*)$", 1))
 
 
 def seed_items(skills: DataFrame) -> DataFrame:
     """Store items of raw skills(id, guidance, hint_apis, applies_when): clauses lifted, tier candidate."""
-    apis = F.transform(F.filter("hint_apis", lambda a: F.trim(a) != ""), lambda x: F.trim(x))
+    apis = F.transform(F.filter("hint_apis", lambda a: T.strip(a) != ""), lambda x: T.strip(x))
     loc, fix = clause(F.col("guidance"), "Localize:"), clause(F.col("guidance"), "Fix:")
     none = F.array().cast("array<string>")
     return skills.select(
@@ -478,5 +478,5 @@ def _blocks(selected: DataFrame, block: Column, head: str) -> DataFrame:
 
 def skill_query(signals: Column, guidance: Column) -> Column:
     """Localize-bias text of one skill: its tags, then the text of its Localize lines."""
-    hints = F.transform(T.groups(guidance, r"(?im)^[^\S\n]*localize:([^\n]*)$"), lambda x: F.trim(x))
+    hints = F.transform(T.groups(guidance, r"(?im)^[^\S\n]*localize:([^\n]*)$"), lambda x: T.strip(x))
     return F.array_join(T.non_empty(F.concat(signals, hints)), " ")

@@ -13,6 +13,8 @@ from pyspark.sql import types as Ty
 from faultlens import fixed_values as V
 from faultlens.functions import text as T
 from faultlens.operators.lexical import filter_units, top_k
+from faultlens.operators.ranking import catalogs_of
+from faultlens.session import ship
 
 UNIT_BLOCK = 8192
 QUERY_BLOCK = 1024
@@ -30,7 +32,7 @@ def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return m, ok
 
 
-def _block_top_k(k: int, scoped: bool, skip_self: bool):
+def _block_top_k(k: int, skip_self: bool):
     """Cogroup function: the k best units of one shard for each query of one block."""
 
     def run(units: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -47,9 +49,6 @@ def _block_top_k(k: int, scoped: bool, skip_self: bool):
                     s, keep = score[row], None
                     if skip_self:
                         keep = np.asarray(units["uid"] != key)
-                    if scoped:
-                        same = np.asarray(units["repo"] == part["_scope"].iloc[row])
-                        keep = same if keep is None else keep & same
                     at = np.arange(len(s)) if keep is None else np.flatnonzero(keep)
                     if not len(at):
                         continue
@@ -69,34 +68,47 @@ def _block_top_k(k: int, scoped: bool, skip_self: bool):
 
 
 def vector_search(units: DataFrame, queries: DataFrame, k: int = 20, repos: list[str] | None = None,
-                  kinds: list[str] | None = None, scope: str | None = None, skip_self: bool = False) -> DataFrame:
+                  kinds: list[str] | None = None, scope: str | None = None, skip_self: bool = False, catalogs: DataFrame | None = None) -> DataFrame:
     """Best k units by cosine per query: (qid, uid, repo, kind, file, score, rank).
 
     units is (uid, repo, kind, file, vec), queries is (qid, vec). Vectors of another size, empty or of
     zero norm score -1. Both sides are cut into hash blocks of bounded size and paired by an
     equi-join on (shard, block), so no side has to fit anywhere and a hot repo is spread over all
-    shards. scope names a query column with the one repo it may see; skip_self drops uid = qid.
+    shards. scope names a query column with the one repo it may see; catalogs is (cat, repo), and a query with a column cat sees the repos of
+    its catalog: units then meet only the queries of their repo or catalog. skip_self drops uid = qid.
     """
     kept = filter_units(units, repos, kinds)
+    part = None  # what a unit and a query must have in common
+    if scope:
+        kept = kept.withColumn("_part", F.col("repo"))
+        part = F.col(scope)
+    elif catalogs is not None:
+        kept = kept.join(catalogs.select("repo", F.col("cat").alias("_part")), "repo")
+        part = F.col("cat")
+    if part is None:
+        kept, part = kept.withColumn("_part", F.lit(0)), F.lit(0)
+    else:
+        kept = kept.join(queries.select(part.alias("_part")).distinct(), "_part", "left_semi")
     shards = max(1, math.ceil(kept.count() / UNIT_BLOCK))
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     left = kept.select(
-        "uid", "repo", F.col("vec").cast("array<double>").alias("vec"),
+        "uid", "_part", F.col("vec").cast("array<double>").alias("vec"),
         F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("_shard"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
     asked = queries.select(
         "qid", F.col("vec").cast("array<double>").alias("qvec"),
         F.col("qid").alias("_key") if skip_self else F.lit(None).cast("string").alias("_key"),
-        F.col(scope).alias("_scope") if scope else F.lit(None).cast("string").alias("_scope"),
+        part.alias("_part"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"),
         F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("_block"))
     schema = Ty.StructType([Ty.StructField("qid", queries.schema["qid"].dataType),
                             Ty.StructField("uid", units.schema["uid"].dataType),
                             Ty.StructField("score", Ty.DoubleType())])
-    partial = (left.groupBy("_shard", "_block").cogroup(asked.groupBy("_shard", "_block"))
-               .applyInPandas(_block_top_k(k, bool(scope), skip_self), schema))
+    ship(units.sparkSession)
+    partial = (left.groupBy("_part", "_shard", "_block").cogroup(asked.groupBy("_part", "_shard", "_block"))
+               .applyInPandas(_block_top_k(k, skip_self), schema))
     best = top_k(partial, k, ["qid"], [F.col("score").desc(), F.col("uid")])
-    return best.join(kept.select("uid", "repo", "kind", "file"), "uid")
+    return best.join(filter_units(units, repos, kinds).select("uid", "repo", "kind", "file"), "uid")
 
 
 def check_dim(units: DataFrame, queries: DataFrame) -> DataFrame:
@@ -122,7 +134,11 @@ def embed(df: DataFrame, text: str, dim: int = 16) -> DataFrame:
     return df.withColumn("vec", T.hash_embedding(F.col(text), dim))
 
 
-def case_hits(units: DataFrame, cases: DataFrame, k: int = V.VECTOR_TOP_K, skip_self: bool = False) -> DataFrame:
-    """Vector hits keyed by case: cases is (case_id, vec)."""
+def case_hits(units: DataFrame, cases: DataFrame, k: int = V.VECTOR_TOP_K, skip_self: bool = False, cands: DataFrame | None = None) -> DataFrame:
+    """Vector hits keyed by case: cases is (case_id, vec). With cands(case_id, repo) the k best are those among a case's candidates."""
     q = cases.select(F.col("case_id").alias("qid"), "vec")
-    return vector_search(units, q, k, skip_self=skip_self).withColumnRenamed("qid", "case_id")
+    if cands is None:
+        return vector_search(units, q, k, skip_self=skip_self).withColumnRenamed("qid", "case_id")
+    of, catalogs = catalogs_of(cands)
+    q = q.join(of.withColumnRenamed("case_id", "qid"), "qid")
+    return vector_search(units, q, k, skip_self=skip_self, catalogs=catalogs).withColumnRenamed("qid", "case_id")

@@ -203,7 +203,9 @@ SELECT id FROM c WHERE (SELECT count(*) FROM c) < 400 OR id NOT IN (SELECT dst F
 def leaf_components(spark, d):
     f = functions(spark, d)
     dst = D.load(spark, d, "lineitem").select(F.col("l_suppkey").alias("k")).distinct().join(f.select("k", "id"), "k").select(F.col("id").alias("dst"))
-    return graph.leaf_nodes(f.select("id", "component_type"), dst)
+    rows = f.select("id", "component_type")
+    many = graph.leaf_nodes(rows, dst, False).limit(V.LEAF_LIMIT).count() == V.LEAF_LIMIT  # then what others depend on is left out
+    return graph.leaf_nodes(rows, dst, many)
 
 
 @query("call_neighbours", f"""WITH {EDGE_SQL}, b AS (SELECT src AS a, dst AS z FROM ed UNION SELECT dst, src FROM ed),

@@ -160,6 +160,27 @@ def owner_ranking(spark, d):
     return owner_ranking_of(spark, d).select("case_id", "repo", "score", F.col("rank").cast("long").alias("rank"))
 
 
+HELD_SQL = f"""WITH {D.UNITS_SQL}, {TOKENS_SQL}, {D.CATALOG_SQL},
+own AS (SELECT item_id AS case_id, repo FROM benchmark, catalog WHERE repo <> 'src' || (item_id % 20)),
+qterms AS (SELECT token AS qid, unnest({D.sql_query_terms('token')}) AS term FROM (SELECT DISTINCT token FROM tokens)),
+{D.sql_bm25()},
+r AS (SELECT t.case_id, t.token, u.repo, row_number() OVER (PARTITION BY t.case_id, t.token ORDER BY score, s.uid) AS rn
+      FROM tokens t JOIN scored s ON s.qid = t.token JOIN units u USING (uid) JOIN own o ON o.case_id = t.case_id AND o.repo = u.repo),
+votes AS (SELECT case_id, repo, count(DISTINCT token) AS n FROM r WHERE rn <= 20 GROUP BY 1, 2)
+SELECT case_id, repo, CAST(coalesce(n, 0) AS DOUBLE) AS score,
+  row_number() OVER (PARTITION BY case_id ORDER BY coalesce(n, 0) DESC, repo) AS rank
+FROM own LEFT JOIN votes USING (case_id, repo)"""
+
+
+@query("owner_ranking_held_out", HELD_SQL)
+def owner_ranking_held_out(spark, d):
+    """Each case brings its own catalog: the fleet without one repo, which must not use up places among the hits."""
+    cases = D.load(spark, d, "benchmark").select(F.col("item_id").alias("case_id"))
+    own = cases.join(D.catalog(spark, d), F.col("repo") != D.cat("=src", F.col("case_id") % 20))
+    out = ranking.membership(D.units(spark, d), case_tokens(spark, d), ranking.candidates(cases, D.catalog(spark, d), own))
+    return out.select("case_id", "repo", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("owner_decision", MEMBER_SQL + """,
 d AS (SELECT case_id, max(repo) FILTER (WHERE rank = 1) AS top1, max(score) FILTER (WHERE rank = 1) AS top1_score,
         coalesce(max(score) FILTER (WHERE rank = 2), 0) AS runner FROM ranked GROUP BY 1)

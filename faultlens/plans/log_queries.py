@@ -304,7 +304,7 @@ pr AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, re
 def prose_of(spark, d):
     units, cases = vec_units(spark, d), vec_cases(spark, d)
     cands = ranking.candidates(cases, units.select("repo").distinct())
-    hits = vectors.case_hits(units, cases, V.VECTOR_TOP_K, skip_self=True)
+    hits = vectors.case_hits(units, cases, V.VECTOR_TOP_K, skip_self=True, cands=cands)
     logs = vec_ranking(spark, d, 10)
     return ranking.prose_ranking(hits, cands, logs), logs
 

@@ -74,8 +74,8 @@ def sql_vec_ranking(k: int, name: str) -> str:
 
 def vec_ranking(spark, d, k: int):
     units, cases = vec_units(spark, d), vec_cases(spark, d)
-    hits = vectors.case_hits(units, cases, k, skip_self=True)
-    return ranking.vector_ranking(hits, ranking.candidates(cases, units.select("repo").distinct()))
+    cands = ranking.candidates(cases, units.select("repo").distinct())
+    return ranking.vector_ranking(vectors.case_hits(units, cases, k, skip_self=True, cands=cands), cands)
 
 
 @query("vector_owner_ranking", f"WITH {sql_vec_ranking(50, 'r')} SELECT case_id, repo, round(score, 6) AS score, rank FROM r")
@@ -84,6 +84,22 @@ def vector_owner_ranking(spark, d):
         "case_id", "repo", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("vector_ranking_held_out", f"""WITH {sql_near(50, "u.label <> q.label")}
+SELECT c.case_id, r.repo, round(greatest(0.0, coalesce(max(score), 0.0)), 6) AS score,
+  row_number() OVER (PARTITION BY c.case_id ORDER BY greatest(0.0, coalesce(max(score), 0.0)) DESC, r.repo) AS rank
+FROM (SELECT vec_id AS case_id, 'repo' || label AS owner FROM embeddings) c JOIN (SELECT DISTINCT 'repo' || label AS repo FROM embeddings) r ON r.repo <> c.owner
+LEFT JOIN near n ON n.case_id = c.case_id AND n.repo = r.repo GROUP BY c.case_id, r.repo""")
+def vector_ranking_held_out(spark, d):
+    """Each case's own catalog is the fleet without its owner."""
+    units, cases = vec_units(spark, d), vec_cases(spark, d)
+    fleet = units.select("repo").distinct()
+    owners = units.select(F.col("uid").alias("case_id"), F.col("repo").alias("_owner"))
+    own = owners.join(fleet, F.col("repo") != F.col("_owner")).select("case_id", "repo")
+    cands = ranking.candidates(cases, fleet, own)
+    out = ranking.vector_ranking(vectors.case_hits(units, cases, V.VECTOR_TOP_K, skip_self=True, cands=cands), cands)
+    return out.select("case_id", "repo", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 ARMS_SQL = f"""{sql_vec_ranking(50, 'a1')}, {sql_vec_ranking(10, 'a2')},
 arms AS (SELECT 'semantic' AS arm, * FROM a1 UNION ALL SELECT 'semantic_narrow' AS arm, * FROM a2),
 recs AS (SELECT arm, case_id, list(repo ORDER BY rank) AS ranked_names, max(score) FILTER (WHERE rank = 1) AS top1_score,

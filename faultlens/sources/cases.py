@@ -31,8 +31,13 @@ def load_cases(spark: SparkSession, root: str) -> DataFrame:
         _or("v.logs", none.cast("array<struct<path:string,kind:string,content:string>>")))
 
 
-def load_tickets(spark: SparkSession, root: str, log_glob: str = "logs/*") -> DataFrame:
-    """Cases with their attachments resolved to text, in ticket order, and all log text joined."""
+def load_tickets(spark: SparkSession, root: str, log_glob: str = "logs/*", missing: str = "fail") -> DataFrame:
+    """Cases with their attachments resolved to text, in ticket order, and all log text joined.
+
+    A listed attachment that is neither a file nor given in the ticket fails the job; missing='null' keeps it with a null content.
+    """
+    if missing not in ("fail", "null"):
+        raise ValueError(f"missing must be 'fail' or 'null', not {missing!r}")
     cases = load_cases(spark, root)
     texts = whole_texts(spark, f"{root}/*/{log_glob}")
     depth = log_glob.count("/") + 1
@@ -40,7 +45,8 @@ def load_tickets(spark: SparkSession, root: str, log_glob: str = "logs/*") -> Da
                          F.col("text").alias("disk"))
     asked = cases.select("case_id", F.posexplode("logs").alias("pos", "g")).select(
         "case_id", "pos", F.col("g.path").alias("path"), F.coalesce("g.kind", F.lit("other")).alias("kind"), F.col("g.content").alias("inline"))
-    found = asked.join(files, ["case_id", "path"], "left").withColumn("content", F.coalesce("disk", "inline", F.lit("")))
+    lost = F.raise_error(F.concat_ws(" ", F.lit("missing attachment"), "case_id", "path")).cast("string") if missing == "fail" else F.lit(None).cast("string")
+    found = asked.join(files, ["case_id", "path"], "left").withColumn("content", F.coalesce("disk", "inline", lost))
     logs = found.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("pos", "path", "kind", "content"))).alias("l")).select(
         "case_id", F.transform("l", lambda x: F.struct(x["path"].alias("path"), x["kind"].alias("kind"), x["content"].alias("content"))).alias("logs"))
     out = cases.drop("logs").join(logs, "case_id", "left")

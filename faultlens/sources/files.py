@@ -27,9 +27,11 @@ def whole_texts(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def json_files(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """(path, v) of JSON files decoded with an explicit schema; malformed files are dropped."""
-    rows = whole_texts(spark, glob).withColumn("v", F.from_json("text", schema, {"mode": "PERMISSIVE"}))
-    return rows.where(F.col("v").isNotNull()).select("path", "v")
+    """(path, v) of JSON files decoded with an explicit schema; files that are not JSON, or not of its shape, are dropped."""
+    whole = whole_texts(spark, glob).where(F.try_parse_json("text").isNotNull())
+    rows = whole.withColumn("v", F.from_json("text", schema, {"mode": "PERMISSIVE"}))
+    shape = "{" if schema.startswith("struct") else "["  # another value would be a struct of nulls
+    return rows.where(F.col("v").isNotNull() & T.strip(F.col("text")).startswith(shape)).select("path", "v")
 
 
 def segment(path: Column, back: int) -> Column:

@@ -113,10 +113,10 @@ def rules_from_markdown(texts: DataFrame, triggers: DataFrame) -> DataFrame:
     body = T.strip(F.regexp_replace("text", r"(?s)\A---[^\S\n]*\n.*?\n---[^\S\n]*(?:\n|\z)", ""))
 
     def meta(name: str):
-        return F.trim(F.regexp_extract("head", rf"(?m)^[^\S\n]*{name}[^\S\n]*:([^\n]*)$", 1))
+        return T.strip(F.regexp_extract("head", rf"(?m)^[^\S\n]*{name}[^\S\n]*:([^\n]*)$", 1))
 
     rows = texts.withColumns({"head": head, "guidance": body})
-    rows = rows.select(meta("id").alias("id"), F.filter(F.transform(F.split(meta("triggers"), ","), lambda s: F.trim(s)), lambda s: s != "").alias("signals"),
+    rows = rows.select(meta("id").alias("id"), F.filter(F.transform(F.split(meta("triggers"), ","), lambda s: T.strip(s)), lambda s: s != "").alias("signals"),
                        F.coalesce(F.nullif(meta("provenance"), F.lit("")), F.concat(F.lit("md:"), T.basename(F.col("path")))).alias("provenance"), "guidance")
     n = rows.groupBy("id").agg(F.count("*").alias("_n"))
     fail = F.raise_error(F.concat(F.lit("duplicate skill id "), "id")).cast("string")

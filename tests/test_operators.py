@@ -229,11 +229,11 @@ def test_cycles_order_and_breaking(spark, seed):
     assert len(level) == 25 and all(level[a] > level[b] for a, b in kept)
 
 
-def test_leaf_rule_switches_at_limit(spark):
+def test_leaf_rule(spark):
     comp = spark.createDataFrame([("A", "class"), ("B", "class"), ("ErrorX", "class"), ("f", "function")], "id string, component_type string")
     e = spark.createDataFrame([("A", "B")], "src string, dst string")
-    assert {r.id for r in graph.leaf_nodes(comp, e).collect()} == {"A", "B"}
-    assert {r.id for r in graph.leaf_nodes(comp, e, 2).collect()} == {"A"}
+    assert {r.id for r in graph.leaf_nodes(comp, e, False).collect()} == {"A", "B"}
+    assert {r.id for r in graph.leaf_nodes(comp, e, True).collect()} == {"A"}
 
 
 def ctx_rows(spark):
