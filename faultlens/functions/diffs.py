@@ -63,11 +63,12 @@ def references_all(lines: Column, apis: Column) -> Column:
     return T.let(lines, lambda ls: F.forall(apis, lambda a: _names(ls, a)))
 
 
-def required_apis(diff: Column, cap: int = 5) -> Column:
-    """First call-like names on added code lines that are no keyword or short word."""
+def required_apis(diff: Column, cap: int | None = None) -> Column:
+    """Call-like names (the first `cap`) on added code lines that are no keyword or short word."""
     names = F.flatten(F.transform(code_added_lines(diff), lambda s: T.groups(s, CALL_NAME)))
     kept = F.filter(names, lambda n: (F.length(n) >= 3) & ~F.lower(n).isin(*V.API_STOPWORDS))
-    return F.slice(F.array_distinct(kept), 1, cap)
+    names = F.array_distinct(kept)
+    return names if cap is None else F.slice(names, 1, cap)
 
 
 def assemble_diff(files: Column) -> Column:

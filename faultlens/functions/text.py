@@ -80,6 +80,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
+def first_chars(c: Column, n: int | None) -> Column:
+    """The first n characters; None keeps the whole text."""
+    return c if n is None else F.substring(c, 1, n)
+
+
 def non_empty(c: Column) -> Column:
     """Array without null and '' members."""
     return F.filter(c, lambda x: x.isNotNull() & (x != ""))
@@ -270,9 +275,9 @@ def parse_source_path(path: Column) -> Column:
         F.when(is_jvm, basename(jvm)).when(is_native, native).alias("class"))
 
 
-def symbol_source(src: Column, name: Column, start: Column, end: Column, max_chars: int = 500,
+def symbol_source(src: Column, name: Column, start: Column, end: Column, max_chars: int | None = None,
                   doc_lines: int = 6, body_lines: int = 3) -> Column:
-    """Doc comment above a symbol plus its signature lines, capped.
+    """Doc comment above a symbol plus its signature lines, whole unless max_chars cuts it.
 
     Uses the given 1-based line span, else the first line that names the symbol with a definition
     mark, else the first line that names it.
@@ -300,7 +305,7 @@ def symbol_source(src: Column, name: Column, start: Column, end: Column, max_cha
         begin = F.greatest(r["at"] - above, F.lit(1)).cast("int")
         picked = F.slice(r["lines"], begin, F.greatest(r["stop"] - begin + 1, F.lit(0)).cast("int"))
         body = F.regexp_replace(F.array_join(picked, "\n"), r"\A\s+|\s+\z", "")
-        return F.when(r["at"] < 1, F.lit("")).otherwise(F.substring(body, 1, max_chars))
+        return F.when(r["at"] < 1, F.lit("")).otherwise(first_chars(body, max_chars))
 
     lines = F.split(F.regexp_replace(src, r"\r\n?", "\n"), "\n")
     blank = (F.coalesce(src, F.lit("")) == "") | (F.coalesce(name, F.lit("")) == "")

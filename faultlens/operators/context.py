@@ -43,8 +43,8 @@ def candidate_pool(hits: DataFrame, lut: DataFrame, k: int = 20) -> DataFrame:
     return top_k(pool, k, ["qid"], [F.col("at"), F.col("file")]).drop("at")
 
 
-def context_blocks(pool: DataFrame, sources: DataFrame, graph_bits: DataFrame, max_chars: int = 800) -> DataFrame:
-    """(qid, file, context) of pool(qid, repo, file, snippet, wiki): source, module and graph text, each cut.
+def context_blocks(pool: DataFrame, sources: DataFrame, graph_bits: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """(qid, file, context) of pool(qid, repo, file, snippet, wiki): source, module and graph text, each cut to max_chars and all to three times that.
 
     sources is (repo, file, text); graph_bits is (qid, file, bits).
     """
@@ -52,11 +52,11 @@ def context_blocks(pool: DataFrame, sources: DataFrame, graph_bits: DataFrame, m
         graph_bits, ["qid", "file"], "left")
 
     def part(label: str, c) -> F.Column:
-        return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}:\n"), F.substring(c, 1, max_chars)))
+        return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}:\n"), T.first_chars(c, max_chars)))
 
     src = F.coalesce(F.nullif("source", F.lit("")), "snippet")
     text = F.concat_ws("\n", part("SOURCE", src), part("WIKI", F.col("wiki")), part("GRAPH", F.col("bits")))
-    return rows.select("qid", "file", F.substring(text, 1, 3 * max_chars).alias("context"))
+    return rows.select("qid", "file", T.first_chars(text, max_chars and 3 * max_chars).alias("context"))
 
 
 def module_docs(docs: DataFrame) -> DataFrame:
@@ -65,8 +65,8 @@ def module_docs(docs: DataFrame) -> DataFrame:
     return rows.select("repo", "module", F.array_join(F.transform("d", lambda x: x["text"]), "\n\n").alias("doc"))
 
 
-def file_docs(files: DataFrame, entries: DataFrame, docs: DataFrame, max_chars: int = 800, max_files: int = 6) -> DataFrame:
-    """(case_id, block) rows: the first files of a case with their module's document, equal documents once.
+def file_docs(files: DataFrame, entries: DataFrame, docs: DataFrame, max_chars: int | None = None, max_files: int | None = None) -> DataFrame:
+    """(case_id, block) rows: the (first) files of a case with their module's document, equal documents once.
 
     files is (case_id, repo, pos, file); entries is (repo, ord, module, file). A file is looked up by
     its path, then by its basename.
@@ -83,11 +83,11 @@ def file_docs(files: DataFrame, entries: DataFrame, docs: DataFrame, max_chars:
     texts = join_sized(named, module_docs(docs), ["repo", "module"]).withColumn("doc", F.trim("doc")).where(F.col("doc") != "")
     once = texts.groupBy("case_id", "doc").agg(F.min(F.struct("pos", "file")).alias("f"))
     return once.select("case_id", F.col("f.pos").alias("pos"), F.concat(
-        F.lit("## "), "f.file", F.lit("\n"), F.substring("doc", 1, max_chars)).alias("block"))
+        F.lit("## "), "f.file", F.lit("\n"), T.first_chars(F.col("doc"), max_chars)).alias("block"))
 
 
-def symbol_context(symbols: DataFrame, snippets: DataFrame, edges: DataFrame, max_chars: int = 800, max_symbols: int = 4,
-                   max_neighbours: int = 8) -> DataFrame:
+def symbol_context(symbols: DataFrame, snippets: DataFrame, edges: DataFrame, max_chars: int | None = None, max_symbols: int | None = None,
+                   max_neighbours: int | None = None) -> DataFrame:
     """(case_id, rank, block): source and first neighbours of the first symbols that have either.
 
     symbols is (case_id, pos, symbol); snippets is (symbol, snippet); edges is (caller, callee).
@@ -98,7 +98,7 @@ def symbol_context(symbols: DataFrame, snippets: DataFrame, edges: DataFrame, ma
         F.array_join(F.array_sort(F.collect_list("n")), ", ").alias("calls"))
     asked = symbols.groupBy("case_id", "symbol").agg(F.min("pos").alias("pos"))
     rows = join_sized(join_sized(asked, snippets, ["symbol"], "left"), near, ["symbol"], "left")
-    text = F.concat_ws("\n", F.when(F.coalesce("snippet", F.lit("")) != "", F.concat(F.lit("source:\n"), F.substring("snippet", 1, max_chars))),
+    text = F.concat_ws("\n", F.when(F.coalesce("snippet", F.lit("")) != "", F.concat(F.lit("source:\n"), T.first_chars(F.col("snippet"), max_chars))),
                        F.concat(F.lit("calls: "), "calls"))
     found = rows.withColumn("body", text).where(F.col("body") != "")
     return top_k(found, max_symbols, ["case_id"], [F.col("pos")]).select(

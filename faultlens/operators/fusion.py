@@ -34,8 +34,8 @@ def rrf_tiers(rows: DataFrame, by: list[str], item: str, tier: str, k: int | Non
 
 
 def hybrid_search(units: DataFrame, queries: DataFrame, k: int = 20, repos: list[str] | None = None,
-                  kinds: list[str] | None = None, scope: str | None = None) -> DataFrame:
-    """2k keyword hits and 2k vector hits fused to k: adds matched_via and a 400-character snippet.
+                  kinds: list[str] | None = None, scope: str | None = None, snippet: int | None = None) -> DataFrame:
+    """2k keyword hits and 2k vector hits fused to k: adds matched_via and the text as a snippet, cut to `snippet` characters.
 
     queries is (qid, query, vec); units carry text and vec.
     """
@@ -46,7 +46,7 @@ def hybrid_search(units: DataFrame, queries: DataFrame, k: int = 20, repos: list
         near.select("qid", "uid", F.lit("semantic").alias("lane"), F.lit(1).alias("tier"), "rank"))
     fused = rrf_tiers(lanes, ["qid"], "uid", "tier", k)
     via = lanes.groupBy("qid", "uid").agg(F.array_join(F.sort_array(F.collect_set("lane")), "+").alias("matched_via"))
-    show = units.select("uid", "repo", "kind", "name", "qualified_name", "file", F.substring("text", 1, 400).alias("snippet"))
+    show = units.select("uid", "repo", "kind", "name", "qualified_name", "file", T.first_chars(F.col("text"), snippet).alias("snippet"))
     return (fused.join(via, ["qid", "uid"]).join(show, "uid")
             .withColumn("score", F.bround("score", 5)))
 

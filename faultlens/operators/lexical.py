@@ -83,10 +83,11 @@ def bm25(index: Index, terms: DataFrame) -> DataFrame:
     return hits.groupBy("qid", "uid").agg(F.round(-F.sum(part), 9).alias("score"))
 
 
-def top_k(scored: DataFrame, k: int, by: list, order: list, name: str = "rank") -> DataFrame:
-    """First k rows per key; each partition keeps only its own first k before the shuffle."""
+def top_k(scored: DataFrame, k: int | None, by: list, order: list, name: str = "rank") -> DataFrame:
+    """First k rows per key, None for all ranked; each partition keeps only its own first k before the shuffle."""
     w = W.partitionBy(*by).orderBy(*order)
-    return scored.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+    ranked = scored.withColumn(name, F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col(name) <= k)
 
 
 def keyword_search(index: Index, queries: DataFrame, k: int = 20, repos: list[str] | None = None,

@@ -71,13 +71,14 @@ def vector_search(units: DataFrame, queries: DataFrame, k: int = 20, repos: list
                   kinds: list[str] | None = None, scope: str | None = None, skip_self: bool = False, catalogs: DataFrame | None = None) -> DataFrame:
     """Best k units by cosine per query: (qid, uid, repo, kind, file, score, rank).
 
-    units is (uid, repo, kind, file, vec), queries is (qid, vec). Vectors of another size, empty or of
+    units is (uid, repo, kind, file, vec), queries is (qid, vec). Rows without a vector take no part; vectors of another size, empty or of
     zero norm score -1. Both sides are cut into hash blocks of bounded size and paired by an
     equi-join on (shard, block), so no side has to fit anywhere and a hot repo is spread over all
     shards. scope names a query column with the one repo it may see; catalogs is (cat, repo), and a query with a column cat sees the repos of
     its catalog: units then meet only the queries of their repo or catalog. skip_self drops uid = qid.
     """
-    kept = filter_units(units, repos, kinds)
+    kept = filter_units(units, repos, kinds).where(F.col("vec").isNotNull())
+    queries = queries.where(F.col("vec").isNotNull())
     part = None  # what a unit and a query must have in common
     if scope:
         kept = kept.withColumn("_part", F.col("repo"))

@@ -348,7 +348,7 @@ def context_blocks(spark, d):
     sf = D.cat("=src/P", F.col("p_partkey") % 40, "=.java")
     sources = part.select(F.lit("r").alias("repo"), sf.alias("file"), D.cat("=code of ", sf).alias("text")).distinct()
     bits = o.where(C() % 2 == 0).select(K().alias("qid"), file.alias("file"), D.cat("=calls: C", C()).alias("bits"))
-    return context.context_blocks(pool, sources, bits)
+    return context.context_blocks(pool, sources, bits, 800)
 
 
 @query("file_documents", f"""WITH {ENT_SQL}, fm AS (SELECT file, arg_min(module, ord) AS module FROM ent GROUP BY 1),
@@ -362,7 +362,7 @@ def file_documents(spark, d):
     o = D.load(spark, d, "orders")
     file = D.cat(F.when(K() % 2 == 0, "").otherwise("x/"), "=src/P", K() % 50, "=.java")
     files = o.select(C().alias("case_id"), F.lit("r").alias("repo"), K().alias("pos"), file.alias("file"))
-    return context.file_docs(files, entities(spark, d), doc_sections(spark, d)).select("case_id", "pos", F.md5("block").alias("block_md5"))
+    return context.file_docs(files, entities(spark, d), doc_sections(spark, d), 800, 6).select("case_id", "pos", F.md5("block").alias("block_md5"))
 
 
 @query("symbol_contexts", """
@@ -379,4 +379,4 @@ def symbol_contexts(spark, d):
     edges = c.where(F.col("c_custkey") % 2 == 0).select(name.alias("caller"), D.cat("=N", "c_nationkey").alias("callee"))
     snippets = c.select(name.alias("symbol"), F.when(F.col("c_acctbal") > 5000, F.col("c_name")).alias("snippet"))
     symbols = D.load(spark, d, "orders").select((C() % 300).alias("case_id"), K().alias("pos"), D.cat("=C", C()).alias("symbol"))
-    return context.symbol_context(symbols, snippets, edges).withColumn("rank", F.col("rank").cast("long"))
+    return context.symbol_context(symbols, snippets, edges, 800, 4, 8).withColumn("rank", F.col("rank").cast("long"))

@@ -130,7 +130,7 @@ def symbol_snippets(spark, d):
     lines = F.size(F.split("src", "\n"))
     start = F.when(v == 2, lines - 2).cast("int")
     end = F.when(v == 2, lines - 1).cast("int")
-    return docs.select("doc_id", T.symbol_source(F.col("src"), name, start, end).alias("snippet"))
+    return docs.select("doc_id", T.symbol_source(F.col("src"), name, start, end, 500).alias("snippet"))
 
 
 def source_files(spark, d):
@@ -167,7 +167,7 @@ q AS (SELECT repo, path, unnest([0, 1, 2, 3]) AS pos, unnest(['com.' || ty, 'com
 b AS (SELECT repo, qn, min(path) AS file, arg_min(kind, path || pos) AS kind FROM q GROUP BY 1, 2)
 SELECT repo, kind, split_part(qn, '.', -1) AS name, qn AS qualified_name, file FROM b""")
 def lite_units(spark, d):
-    return files.lite_units(source_files(spark, d)).select("repo", "kind", "name", "qualified_name", "file")
+    return files.lite_units(source_files(spark, d), V.LITE_MAX_FILES).select("repo", "kind", "name", "qualified_name", "file")
 
 
 @query("text_profiles", f"""WITH {SRC_SQL}, s AS (SELECT *, folder || name AS path FROM src WHERE folder <> 'node_modules/x/'),
@@ -181,7 +181,7 @@ SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY tier, depth, path) AS
 def text_profiles(spark, d):
     src = source_files(spark, d)
     repos = src.select("repo").union(src.select(F.lit("bare"))).distinct()
-    return files.text_profiles(src, repos).select("repo", F.col("rank").cast("long").alias("rank"), F.md5("chunk").alias("chunk_md5"))
+    return files.text_profiles(src, repos, V.PROFILE_MAX_CHUNKS, V.PROFILE_README_CHARS).select("repo", F.col("rank").cast("long").alias("rank"), F.md5("chunk").alias("chunk_md5"))
 
 
 @query("listed_wiki_docs", """SELECT 'w' || (page_id % 20) AS repo, 'page' || page_id || '.md' AS file FROM pages
@@ -340,3 +340,44 @@ def pinned_corpus(spark, d):
     rows = D.load(spark, d, "supplier").select(D.cat("=S", s).alias("repo"), F.when(s % 5 != 0, D.cat("=http://r/", s)).otherwise("").alias("url"),
                                                F.when(n % 2 == 0, F.lit(V.UNPINNED)).otherwise(D.cat("=sha", n)).alias("sha"))
     return records.pinned_corpus(rows)
+
+
+def ticket_texts(spark, d):
+    """Ticket files of the conversations as (path, text): every fifth attachment comes in the ticket, every seventh ticket is broken."""
+    turns = D.load(spark, d, "conversations").select("conv_id", "turn", F.struct(
+        "turn", D.cat("=logs/t", "turn", "=.txt").alias("path"), F.col("role").alias("kind"), F.when(F.col("turn") % 5 == 4, F.col("text")).alias("content")).alias("log"))
+    logs = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("log")).alias("logs"))
+    ticket = F.to_json(F.struct(D.cat("=T-", "conv_id").alias("id"), D.cat("=Conversation ", "conv_id").alias("summary"),
+                                F.transform("logs", lambda x: x.dropFields("turn")).alias("logs")))
+    return logs.select(D.cat("=cases/c", "conv_id", "=/ticket.json").alias("path"),
+                       F.when(F.col("conv_id") % 7 == 6, F.concat(F.lit("{bad "), ticket)).otherwise(ticket).alias("text"))
+
+
+@query("case_tickets", """SELECT 'c' || conv_id AS case_id, 'T-' || conv_id AS ticket_id, 'Conversation ' || conv_id AS summary, 'Open' AS status, count(*) AS n_logs
+FROM conversations WHERE conv_id % 7 <> 6 GROUP BY conv_id""")
+def case_tickets(spark, d):
+    return cases.cases_of(ticket_texts(spark, d)).select("case_id", "ticket_id", "summary", "status", F.size("logs").cast("long").alias("n_logs"))
+
+
+@query("ticket_attachments", """SELECT 'c' || conv_id AS case_id, turn AS ord, role AS kind, CASE WHEN turn % 5 = 3 THEN NULL ELSE md5(text) END AS content_md5
+FROM conversations WHERE conv_id % 7 <> 6""")
+def ticket_attachments(spark, d):
+    """Each ticket's attachments as text: those in the ticket, those in files, and null for every fifth, which is listed but missing."""
+    turns = D.load(spark, d, "conversations").where(~(F.col("turn") % 5).isin(3, 4))
+    files_ = turns.select(D.cat("=cases/c", "conv_id", "=/logs/t", "turn", "=.txt").alias("path"), "text")
+    got = cases.with_attachments(cases.cases_of(ticket_texts(spark, d)), files_, missing="null")
+    log = got.select("case_id", F.explode("logs").alias("l"))
+    return log.select("case_id", F.regexp_extract("l.path", "t([0-9]+)", 1).cast(D.load(spark, d, "conversations").schema["turn"].dataType).alias("ord"), F.col("l.kind").alias("kind"),
+                      F.md5("l.content").alias("content_md5"))
+
+
+@query("case_labels", """SELECT 'c' || doc_id AS case_id, 'src' || (doc_id % 20) AS owning_repo, toxic = 0 AS is_answerable, CASE WHEN toxic = 1 THEN 'not_a_defect' END AS negative_class,
+  CAST(CASE WHEN quality = 1 THEN 1 ELSE 0 END AS INTEGER) AS n_files FROM labels WHERE doc_id % 9 <> 8""")
+def case_labels(spark, d):
+    """Hidden labels of cases; every ninth file is broken, defaults fill what a label leaves out."""
+    label = F.to_json(F.struct(D.cat("=src", F.col("doc_id") % 20).alias("owning_repo"), F.when(F.col("toxic") == 1, F.lit(False)).alias("is_answerable"),
+                               F.when(F.col("toxic") == 1, F.lit("not_a_defect")).alias("negative_class"),
+                               F.when(F.col("quality") == 1, F.array(F.lit("a/B.java"))).alias("expected_files")))
+    texts = D.load(spark, d, "labels").select(D.cat("=cases/c", "doc_id", "=/_oracle/oracle.json").alias("path"),
+                                              F.when(F.col("doc_id") % 9 == 8, F.lit("[1, 2")).otherwise(label).alias("text"))
+    return cases.labels_of(texts).select("case_id", "owning_repo", "is_answerable", "negative_class", F.size("expected_files").alias("n_files"))

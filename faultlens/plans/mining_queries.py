@@ -148,7 +148,7 @@ def production_files(spark, d):
 
 @query("required_apis", f"""WITH {ISSUE_SQL} SELECT slug, number, 'computeWidth,render' || turn || ',warn' AS apis FROM iss""")
 def required_apis(spark, d):
-    return issues(spark, d).select("slug", "number", F.array_join(X.required_apis(F.col("fix_patch")), ",").alias("apis"))
+    return issues(spark, d).select("slug", "number", F.array_join(X.required_apis(F.col("fix_patch"), 5), ",").alias("apis"))
 
 
 @query("diff_fields", f"""WITH {ISSUE_SQL},

@@ -235,22 +235,22 @@ def recall_per_case(spark, d):
         metrics.rank_of(F.col("ranked"), F.get("gold", F.lit(0))).alias("owner_rank")))
 
 
-# hybrid search: documents that have a vector, asked by benchmark texts that have one
+# hybrid search: all documents, asked by all benchmark texts; those without a vector only miss the vector lane
 HYBRID_SQL = f"""{D.UNITS_SQL.replace('units AS', 'all_units AS')},
-units AS (SELECT a.*, e.embedding::DOUBLE[] AS vec FROM all_units a JOIN embeddings e ON e.vec_id = a.uid),
-asked AS (SELECT item_id AS qid, text, e.embedding::DOUBLE[] AS qvec FROM benchmark JOIN embeddings e ON e.vec_id = item_id),
+units AS (SELECT a.*, e.embedding::DOUBLE[] AS vec FROM all_units a LEFT JOIN embeddings e ON e.vec_id = a.uid),
+asked AS (SELECT item_id AS qid, text, e.embedding::DOUBLE[] AS qvec FROM benchmark LEFT JOIN embeddings e ON e.vec_id = item_id),
 qterms AS (SELECT qid, unnest({D.sql_query_terms('text')}) AS term FROM asked),
 {D.sql_bm25()}, {SCOPE_SQL}"""
 
 
 def hybrid_units(spark, d):
     e = D.load(spark, d, "embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").alias("vec"))
-    return D.units(spark, d).join(e, "uid")
+    return D.units(spark, d).join(e, "uid", "left")
 
 
 def hybrid_queries(spark, d):
     e = D.load(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
-    return D.queries(spark, d).join(e, "qid")
+    return D.queries(spark, d).join(e, "qid", "left")
 
 
 def sql_hybrid(k: int, where: str = "true", p: str = "") -> str:
@@ -258,7 +258,7 @@ def sql_hybrid(k: int, where: str = "true", p: str = "") -> str:
     return f"""{p}kw AS (SELECT * FROM (SELECT s.qid, s.uid, row_number() OVER (PARTITION BY s.qid ORDER BY s.score, s.uid) AS rank
     FROM scored s JOIN units u USING (uid) WHERE {where}) WHERE rank <= {2 * k}),
 {p}vs AS (SELECT * FROM (SELECT qid, uid, row_number() OVER (PARTITION BY qid ORDER BY
-    round(list_cosine_similarity(qvec, vec), 9) DESC, uid) AS rank FROM asked, units u WHERE {where}) WHERE rank <= {2 * k}),
+    round(list_cosine_similarity(qvec, vec), 9) DESC, uid) AS rank FROM asked, units u WHERE vec IS NOT NULL AND qvec IS NOT NULL AND {where}) WHERE rank <= {2 * k}),
 {p}lanes AS (SELECT qid, uid, 'keyword' AS lane, 0 AS tier, rank FROM {p}kw UNION ALL SELECT qid, uid, 'semantic', 1, rank FROM {p}vs),
 {p}fused AS (SELECT qid, uid, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(tier * 1000 + rank) AS seen,
     string_agg(lane, '+' ORDER BY lane) AS matched_via FROM {p}lanes GROUP BY 1, 2),
@@ -270,7 +270,7 @@ def sql_hybrid(k: int, where: str = "true", p: str = "") -> str:
 SELECT qid, uid, u.repo, u.kind, u.file, substr(u.text, 1, 400) AS snippet, round_even(score, 5) AS score, matched_via, rank
 FROM top JOIN units u USING (uid)""")
 def hybrid_search(spark, d):
-    out = fusion.hybrid_search(hybrid_units(spark, d), hybrid_queries(spark, d), 10)
+    out = fusion.hybrid_search(hybrid_units(spark, d), hybrid_queries(spark, d), 10, snippet=400)
     return out.select("qid", "uid", "repo", "kind", "file", "snippet", "score", "matched_via",
                       F.col("rank").cast("long").alias("rank"))
 
@@ -298,7 +298,7 @@ def related_units(spark, d):
 def sql_vec_files(k: int) -> str:
     return f"""vf_hits AS (SELECT * FROM (SELECT a.qid, u.uid, u.file, row_number() OVER (PARTITION BY a.qid ORDER BY
     round(list_cosine_similarity(qvec, vec), 9) DESC, uid) AS rank
-  FROM asked a JOIN scopes c USING (qid) JOIN units u ON u.repo = c.repo_name WHERE u.kind = 'symbol') WHERE rank <= {k}),
+  FROM asked a JOIN scopes c USING (qid) JOIN units u ON u.repo = c.repo_name WHERE u.kind = 'symbol' AND vec IS NOT NULL AND qvec IS NOT NULL) WHERE rank <= {k}),
 vf AS (SELECT qid, file, row_number() OVER (PARTITION BY qid ORDER BY min(rank), file) AS rank FROM vf_hits GROUP BY qid, file)"""
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens import fixed_values as V
-from faultlens.sources.files import json_files, segment, whole_texts
+from faultlens.sources.files import json_files, json_rows, segment, whole_texts
 
 TICKET = ("struct<id:string,summary:string,description:string,component:string,status:string,comments:array<map<string,string>>,"
           "logs:array<struct<path:string,kind:string,content:string>>>")
@@ -23,7 +23,12 @@ def _or(c: str, default: Column) -> Column:
 
 def load_cases(spark: SparkSession, root: str) -> DataFrame:
     """One row per case directory with a ticket.json; hidden folders are never read."""
-    rows = json_files(spark, f"{root}/*/ticket.json", TICKET)
+    return cases_of(whole_texts(spark, f"{root}/*/ticket.json"))
+
+
+def cases_of(texts: DataFrame) -> DataFrame:
+    """Cases of ticket texts(path, text); the folder names the case."""
+    rows = json_rows(texts, TICKET)
     none = F.array()
     return rows.select(
         segment(F.col("path"), 2).alias("case_id"), F.col("v.id").alias("ticket_id"), _or("v.summary", F.lit("")), _or("v.description", F.lit("")),
@@ -36,11 +41,13 @@ def load_tickets(spark: SparkSession, root: str, log_glob: str = "logs/*", missi
 
     A listed attachment that is neither a file nor given in the ticket fails the job; missing='null' keeps it with a null content.
     """
+    return with_attachments(load_cases(spark, root), whole_texts(spark, f"{root}/*/{log_glob}"), log_glob.count("/") + 1, missing)
+
+
+def with_attachments(cases: DataFrame, texts: DataFrame, depth: int = 2, missing: str = "fail") -> DataFrame:
+    """Cases with the texts(path, text) that their tickets list; an attachment's path has `depth` segments below the case's folder."""
     if missing not in ("fail", "null"):
         raise ValueError(f"missing must be 'fail' or 'null', not {missing!r}")
-    cases = load_cases(spark, root)
-    texts = whole_texts(spark, f"{root}/*/{log_glob}")
-    depth = log_glob.count("/") + 1
     files = texts.select(segment(F.col("path"), depth + 1).alias("case_id"), F.substring_index("path", "/", -depth).alias("path"),
                          F.col("text").alias("disk"))
     asked = cases.select("case_id", F.posexplode("logs").alias("pos", "g")).select(
@@ -62,7 +69,12 @@ def attachments(tickets: DataFrame) -> DataFrame:
 
 def load_labels(spark: SparkSession, root: str) -> DataFrame:
     """Hidden labels; grading only. Needs the explicit glob, a recursive listing skips _-folders."""
-    rows = json_files(spark, f"{root}/*/_oracle/oracle.json", LABEL)
+    return labels_of(whole_texts(spark, f"{root}/*/_oracle/oracle.json"))
+
+
+def labels_of(texts: DataFrame) -> DataFrame:
+    """Labels of hidden label texts(path, text)."""
+    rows = json_rows(texts, LABEL)
     none = F.array().cast("array<string>")
     return rows.select(segment(F.col("path"), 3).alias("case_id"), "v.*").withColumns({
         "is_answerable": F.coalesce("is_answerable", F.lit(True)), "expected_files": F.coalesce("expected_files", none),

@@ -27,8 +27,13 @@ def whole_texts(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def json_files(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """(path, v) of JSON files decoded with an explicit schema; files that are not JSON, or not of its shape, are dropped."""
-    whole = whole_texts(spark, glob).where(F.try_parse_json("text").isNotNull())
+    """(path, v) of the JSON files that a glob matches."""
+    return json_rows(whole_texts(spark, glob), schema)
+
+
+def json_rows(texts: DataFrame, schema: str) -> DataFrame:
+    """(path, v) of texts(path, text) decoded with an explicit schema; what is not JSON, or not of its shape, is dropped."""
+    whole = texts.where(F.try_parse_json("text").isNotNull())
     rows = whole.withColumn("v", F.from_json("text", schema, {"mode": "PERMISSIVE"}))
     shape = "{" if schema.startswith("struct") else "["  # another value would be a struct of nulls
     return rows.where(F.col("v").isNotNull() & T.strip(F.col("text")).startswith(shape)).select("path", "v")
@@ -91,8 +96,8 @@ def code_files(files: DataFrame, languages: list[str] | None = None) -> DataFram
     return rows.where(F.col("language").isin(*languages)) if languages else rows
 
 
-def lite_units(files: DataFrame, max_files: int = V.LITE_MAX_FILES) -> DataFrame:
-    """Package, type and soname units of source files(repo, path, text); the first file wins per name."""
+def lite_units(files: DataFrame, max_files: int | None = None) -> DataFrame:
+    """Package, type and soname units of source files(repo, path, text); the first file wins per name. max_files keeps a repo's first files only."""
     source = files.where(T.ends_any(F.col("path"), V.LITE_EXTENSIONS))
     first = top_k(source.select("repo", "path"), max_files, ["repo"], [F.col("path")]).drop("rank")
     src = source.join(first, ["repo", "path"], "left_semi")
@@ -116,7 +121,7 @@ def lite_units(files: DataFrame, max_files: int = V.LITE_MAX_FILES) -> DataFrame
                        F.lit("lite").alias("repo_head"), qn.alias("text"))
 
 
-def text_profiles(files: DataFrame, repos: DataFrame, max_chunks: int = V.PROFILE_MAX_CHUNKS) -> DataFrame:
+def text_profiles(files: DataFrame, repos: DataFrame, max_chunks: int | None = None, readme_chars: int | None = None) -> DataFrame:
     """(repo, rank, chunk): READMEs, manifest ids and path words of files(repo, path, text), shallow first.
 
     A repo without any chunk gets its own name.
@@ -125,7 +130,7 @@ def text_profiles(files: DataFrame, repos: DataFrame, max_chunks: int = V.PROFIL
     live = files.where(~F.exists(parts, lambda s: s.isin(*V.PROFILE_SKIP)))
     low = F.lower(T.basename(F.col("path")))
     readme = live.where(low.startswith("readme")).select("repo", F.lit(0).alias("tier"), F.lit(0).alias("depth"), "path",
-                                                         F.lit(0).alias("pos"), F.substring("text", 1, V.PROFILE_README_CHARS).alias("chunk"))
+                                                         F.lit(0).alias("pos"), T.first_chars(F.col("text"), readme_chars).alias("chunk"))
     ns = r"""(?:namespace|applicationId)\s*[=(]?\s*["']([\w.]+)["']"""
     manifest = live.where(low.startswith("build.gradle") | (low == "androidmanifest.xml")).select(
         "repo", F.lit(1).alias("tier"), F.lit(0).alias("depth"), "path", F.posexplode(T.groups(F.col("text"), ns)).alias("pos", "chunk"))

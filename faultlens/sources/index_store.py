@@ -20,10 +20,10 @@ def doc_units(docs: DataFrame) -> DataFrame:
                        none.alias("qualified_name"), "file", "repo_head", body.alias("text"), meta.alias("meta"))
 
 
-def symbol_units(symbols: DataFrame, camelcase: bool = False, with_source: bool = False) -> DataFrame:
+def symbol_units(symbols: DataFrame, camelcase: bool = False, with_source: bool = False, source_chars: int | None = None) -> DataFrame:
     """Unit rows of symbols(repo, name, qualified_name, label, file, repo_head[, source, start_line, end_line])."""
     name, qn = F.col("name"), F.coalesce(F.nullif("qualified_name", F.lit("")), "name")
-    source = T.symbol_source(F.col("source"), name, F.col("start_line"), F.col("end_line")) if with_source else None
+    source = T.symbol_source(F.col("source"), name, F.col("start_line"), F.col("end_line"), source_chars) if with_source else None
     text = T.symbol_text(name, F.col("label"), qn, F.col("file"), source, camelcase)
     rows = symbols.withColumns({"qualified_name": qn, "text": text})
     return rows.select(T.unit_uid(F.col("repo"), F.lit("symbol"), F.col("qualified_name"), name, F.col("text")).alias("uid"), "repo",

@@ -166,3 +166,19 @@ def test_metrics(one):
     assert (one(lo), one(hi)) == (0.0, 1.0)
     phi = lambda a, ok, c: one(M.reliability(F.lit(a), F.lit(ok), F.lit(c), 1.0))
     assert [phi(True, True, True), phi(True, True, False), phi(False, True, False), phi(False, False, False)] == [1.0, -1.0, 0.0, 1.0]
+
+
+@pytest.mark.parametrize("name, parts", [("HTTP_client", ["http", "client"]), ("MAX_VALUE", ["max", "value"]), ("org.URL.Parser", ["org", "url", "parser"])])
+def test_acronyms_end_with_their_word(one, name, parts):
+    assert one(T.split_identifier(F.col("x")), x=name) == parts
+
+
+def test_tab_indented_comments_are_no_code(one):
+    diff = "--- a/x\n+++ b/x\n@@ -1 +1,3 @@\n+\t// useApi(foo)\n+\t\n+real()"
+    assert one(X.code_added_lines(F.col("d")), d=diff) == ["real()"]
+    assert one(X.references_api_code(F.col("d"), F.lit("useApi")), d=diff) is False
+
+
+def test_hash_embedding_takes_powers_of_two():
+    with pytest.raises(ValueError):
+        T.hash_embedding(F.lit("x"), 48)

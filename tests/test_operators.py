@@ -303,3 +303,27 @@ def test_plan_grounding_never_reads_out_of_scope(spark):
     r = context.check_plans(df.withColumn("plan", X.parse_plan(F.col("t"))), files).first()
     assert (r.ok, r.n_citations, r.n_resolved) == (False, 5, 3)
     assert r.failures == ["target_file_missing:gone.c", "target_out_of_scope:../x/_oracle/o.json"]
+
+
+def test_deep_module_chain_and_lost_modules(spark):
+    rows = [("m0", None, "root")] + [(f"m{i}", f"m{i - 1}", None) for i in range(1, 70)]
+    tree = graph.module_tree(spark.createDataFrame(rows, "module string, parent string, path string"))
+    assert tree.count() == 70 and tree.agg({"depth": "max"}).first()[0] == 69
+    with pytest.raises(ValueError, match="below no root"):
+        graph.module_tree(spark.createDataFrame([*rows[:2], ("x", "y", None), ("y", "x", None)], "module string, parent string, path string"))
+
+
+def test_cycle_groups_never_stop_early(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(9)] + [(9, 0)]
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        graph.cycle_groups(spark.createDataFrame(edges, "src long, dst long"))
+
+
+def test_places_go_to_the_catalog_alone(spark):
+    units = [(i, "big", "symbol", f"u{i}", f"q.u{i}", f"f{i}", "token here") for i in range(25)] + [(99, "small", "symbol", "s", "q.s", "fs", "token here and other words to be longer")]
+    df = spark.createDataFrame(units, "uid long, repo string, kind string, name string, qualified_name string, file string, text string")
+    tokens = spark.createDataFrame([("c1", "token"), ("c2", "token")], "case_id string, token string")
+    cands = spark.createDataFrame([("c1", "small", 0), ("c2", "big", 0), ("c2", "small", 1)], "case_id string, repo string, pos int")
+    got = {(r.case_id, r.repo): r.score for r in ranking.membership(df, tokens, cands).collect()}
+    assert got == {("c1", "small"): 1.0, ("c2", "big"): 1.0, ("c2", "small"): 0.0}

@@ -129,3 +129,15 @@ def test_archive_skips_malformed(spark, tmp_path):
     (tmp_path / "p" / "a.json").write_text('{"case_id": "c", "arm": "x", "fired_knowledge": ["k"], "outcome": {"groundedness": 0.5}}\n{broken\n')
     rows = records.load_archive(spark, str(tmp_path / "p")).collect()
     assert [(r.case_id, r.fired, r.groundedness) for r in rows] == [("c", ["k"], 0.5)]
+
+
+def test_broken_tickets_and_missing_attachments(spark, dataset, tmp_path):
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "ticket.json").write_text("{bad json")
+    assert {r.case_id for r in cases.load_cases(spark, dataset).collect()} == {"one", "two"}
+    (tmp_path / "lost").mkdir()
+    (tmp_path / "lost" / "ticket.json").write_text(json.dumps({"id": "lost", "logs": [{"path": "logs/none.txt"}]}))
+    with pytest.raises(Exception, match="missing attachment lost logs/none.txt"):
+        cases.load_tickets(spark, dataset).collect()
+    rows = {r.case_id: r for r in cases.load_tickets(spark, dataset, missing="null").collect()}
+    assert rows["lost"].logs[0].content is None and rows["one"].log_text.startswith("second")
