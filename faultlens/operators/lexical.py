@@ -19,10 +19,11 @@ from faultlens.session import join_sized, salted_join, small, spread
 
 @dataclass(frozen=True)
 class Index:
-    """Units and their postings(uid, term, len, tf), which hold one ALL_DOCS row per unit."""
+    """Units and their postings(uid, term, len, tf): with one ALL_DOCS row per unit, or beside the corpus row (n, avg_len) of a stored index."""
 
     units: DataFrame
     postings: DataFrame
+    corpus: DataFrame | None = None
 
 
 ALL_DOCS = ""  # pseudo-term carried by every unit, so one pass yields postings and corpus statistics
@@ -58,8 +59,8 @@ def term_weights(index: Index) -> DataFrame:
     """idf per term from the whole corpus; terms without positive weight get the floor."""
     freq = index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("total_len"))
     everyone = F.col("term") == ALL_DOCS
-    corpus = freq.agg(F.max(F.when(everyone, F.col("df"))).alias("n"),
-                      F.max(F.when(everyone, F.col("total_len") / F.col("df"))).alias("avg_len"))
+    corpus = index.corpus if index.corpus is not None else freq.agg(
+        F.max(F.when(everyone, F.col("df"))).alias("n"), F.max(F.when(everyone, F.col("total_len") / F.col("df"))).alias("avg_len"))
     stats = freq.withColumn("one", F.lit(1)).join(F.broadcast(corpus.withColumn("one", F.lit(1))), "one")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return stats.select("term", "avg_len", F.when(idf > 0, idf).otherwise(F.lit(V.BM25_MIN_IDF)).alias("idf"))

@@ -9,7 +9,7 @@ from faultlens.functions import text as T
 from faultlens.plans import tables as D
 from faultlens.plans.grading_queries import C, K, fix_records, path, runs
 from faultlens.plans.log_queries import affinity_cases
-from faultlens.operators import ranking
+from faultlens.operators import lexical, ranking
 from faultlens.session import scratch_path, spread
 from faultlens.sources import cases, files, index_store, records
 
@@ -92,6 +92,29 @@ STATE_SQL = f"""{DOC_UNIT_SQL}, st AS (SELECT repo, count(DISTINCT uid) AS unit_
   FROM un WHERE repo NOT IN ('w0', 'w1', 'w2', 'w3', 'w4') OR kind = 'symbol' GROUP BY 1)"""
 
 
+FINAL_SQL = f"""{DOC_UNIT_SQL}, units AS (SELECT uid, any_value(repo) AS repo, any_value(kind) AS kind, any_value(name) AS name, any_value(qn) AS qualified_name, min(file) AS file, any_value(text) AS text
+  FROM un WHERE repo NOT IN ('w0', 'w1', 'w2', 'w3', 'w4') OR kind = 'symbol' GROUP BY uid),
+asked AS (SELECT p_partkey AS qid, p_name AS text FROM part)"""
+
+
+def stored_index(spark, d):
+    """A written index after five repos were replaced by their symbols alone, and queries for it."""
+    where = scratch_path(spark, "index")
+    units = built_units(spark, d)
+    index_store.write_index(units, where)
+    index_store.write_index(units.where((F.col("kind") == "symbol") & F.col("repo").isin("w0", "w1", "w2", "w3", "w4")), where)
+    return where, D.load(spark, d, "part").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("query"))
+
+
+@query("stored_index_search", f"""WITH {FINAL_SQL}, qterms AS (SELECT qid, unnest({D.sql_query_terms('text')}) AS term FROM asked), {D.sql_bm25()}
+SELECT qid, uid, repo, kind, file, score, rank FROM (SELECT s.*, u.repo, u.kind, u.file, row_number() OVER (PARTITION BY s.qid ORDER BY score, s.uid) AS rank
+  FROM scored s JOIN units u USING (uid)) WHERE rank <= 20""")
+def stored_index_search(spark, d):
+    where, asked = stored_index(spark, d)
+    hits = lexical.keyword_search(index_store.read_index(spark, where, asked), asked, 20)
+    return hits.select("qid", "uid", "repo", "kind", "file", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("index_states", f"WITH {STATE_SQL} SELECT repo, unit_count, repo_head FROM st")
 def index_states(spark, d):
     return index_store.repo_states(stored(spark, d))

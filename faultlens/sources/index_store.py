@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from faultlens.functions import text as T
+from faultlens.operators import lexical
+from faultlens.session import cut
 
 UNIT = ["uid", "repo", "kind", "name", "qualified_name", "file", "repo_head", "text", "meta"]
 
@@ -31,10 +34,65 @@ def symbol_units(symbols: DataFrame, camelcase: bool = False, with_source: bool
                        F.create_map(F.lit("label"), F.coalesce("label", F.lit(""))).alias("meta"))
 
 
+BUCKETS = 16  # of terms, below each repo of the stored postings
+SPREAD = 8  # tasks that write one repo
+
+
+def _replace(rows: DataFrame, path: str, *by: str) -> None:
+    """Write rows below their repo in place of what was there; a large repo is written by several tasks."""
+    spread = rows.repartition("repo", *by, F.pmod(F.xxhash64("uid"), F.lit(SPREAD)))
+    spread.sortWithinPartitions("repo", *by, *(["term"] if "term" in rows.columns else [])).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("repo", *by).parquet(path)
+
+
+def first_units(units: DataFrame, order: str = "file") -> DataFrame:
+    """One row for each (repo, uid): the first by `order`, then by the whole row."""
+    rest = [c for c in units.columns if c not in ("repo", "uid")]
+    key = F.struct(order, *[F.col(c) for c in rest if not isinstance(units.schema[c].dataType, Ty.MapType)])
+    return units.groupBy("repo", "uid").agg(F.min_by(F.struct(*rest), key).alias("_r")).select("repo", "uid", "_r.*").select(*units.columns)
+
+
 def write_units(units: DataFrame, path: str) -> None:
-    """Replace the rows of every repo present in units; other repos stay. Equal uids are kept once."""
-    once = units.dropDuplicates(["repo", "uid"])
-    (once.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path))
+    """Replace the rows of every repo present in units; other repos stay. Of equal uids the first is kept."""
+    _replace(first_units(units), path)
+
+
+def write_index(units: DataFrame, path: str) -> None:
+    """Units with their postings, lengths and vectors (where units has vec), replaced for every repo present in units.
+
+    Postings lie below repo and bucket of the term, in term order, so a search reads only the buckets of its terms. Every bucket of a
+    replaced repo gets a row without a term, so that no bucket keeps what the repo held before.
+    """
+    rows = cut(first_units(units))
+    _replace(rows.drop("vec"), f"{path}/units")
+    terms = rows.select("repo", "uid", T.index_terms(F.concat_ws(" ", "name", "qualified_name", "text")).alias("t")).withColumn("len", F.size("t"))
+    _replace(terms.drop("t"), f"{path}/lengths")
+    posted = terms.select("repo", "uid", "len", F.explode("t").alias("term")).groupBy("repo", "uid", "len", "term").agg(F.count("*").alias("tf"))
+    none = F.lit(None)
+    kinds = {f.name: f.dataType for f in posted.schema}
+    marks = rows.select("repo").distinct().select("repo", *[none.cast(kinds[c]).alias(c) for c in ("uid", "len", "term", "tf")],
+                                                  F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("bucket"))
+    _replace(posted.withColumn("bucket", term_bucket(F.col("term"))).unionByName(marks), f"{path}/postings", "bucket")
+    if "vec" in units.columns:
+        _replace(rows.where("vec IS NOT NULL").select("repo", "uid", "kind", "file", "vec"), f"{path}/vectors")
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def read_index(spark: SparkSession, path: str, queries: DataFrame) -> lexical.Index:
+    """The stored index as far as queries(qid, query) need it: no text is tokenised, and only the buckets of their terms are read."""
+    words = lexical.query_vocabulary(queries).select("term").distinct()
+    buckets = [r.b for r in words.select(term_bucket(F.col("term")).alias("b")).distinct().collect()]
+    posted = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isNotNull())
+    corpus = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    return lexical.Index(spark.read.parquet(f"{path}/units"), posted.join(words, "term", "left_semi").select("uid", "term", "len", "tf"), corpus)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """Stored vectors as units for the vector search: (repo, uid, kind, file, vec)."""
+    return spark.read.parquet(f"{path}/vectors")
 
 
 def read_units(spark: SparkSession, path: str) -> DataFrame:
