@@ -60,7 +60,9 @@ def references_api_code(diff: Column, api: Column) -> Column:
 
 
 def references_all(lines: Column, apis: Column) -> Column:
-    return T.let(lines, lambda ls: F.forall(apis, lambda a: _names(ls, a)))
+    """Whether every name is a whole word of some line. Lines are cut into words once; only names with other signs need a pattern each."""
+    words = T.let(lines, lambda ls: F.struct(ls.alias("lines"), F.array_distinct(F.flatten(F.transform(ls, lambda s: F.split(s, r"(?U)\W+")))).alias("words")))
+    return T.let(words, lambda x: F.forall(apis, lambda a: F.when(a.rlike(r"\A[A-Za-z0-9_]+\z"), F.array_contains(x["words"], a)).otherwise(_names(x["lines"], a))))
 
 
 def required_apis(diff: Column, cap: int | None = None) -> Column:

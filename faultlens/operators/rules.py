@@ -416,7 +416,7 @@ def promote_or_retire(items: DataFrame, hysteresis: int = 2) -> DataFrame:
 # --- attribution -------------------------------------------------------------------------------------
 
 def screen_lift(archive: DataFrame, items: DataFrame, threshold: float = 0.0, min_fired: int = 1) -> DataFrame:
-    """(id, lift, rank): mean signal of cases an item fired in minus the mean of the others.
+    """(id, lift): mean signal of cases an item fired in minus the mean of the others.
 
     archive is (case_id, fired array, groundedness, patch_applies). The others come from the grand
     total minus the fired part, so items never meet cases.
