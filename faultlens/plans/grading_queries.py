@@ -285,7 +285,7 @@ def parsed_plans(spark, d):
 
 
 @query("grounded_plans", f"""WITH {sql_records(0, 'b')},
-sf AS (SELECT DISTINCT 'app/src/main/java/org/acme/m' || (p_partkey % 97) || '/F' || (p_size % 3) || '.java' AS file, p_size % 3 AS s FROM part WHERE p_partkey % 97 > 9),
+sf AS (SELECT DISTINCT 'app/src/main/java/org/acme/' || CASE WHEN p_partkey % 97 > 9 THEN 'm' ELSE 'other' END || (p_partkey % 97) || '/F' || (p_size % 3) || '.java' AS file, p_size % 3 AS s FROM part),
 j AS (SELECT case_id, planned, s IS NOT NULL AS here, k % 3 AS spot, c % 3 AS api FROM b LEFT JOIN sf ON file = target)
 SELECT case_id, false AS ok, CASE WHEN planned THEN 3 ELSE 0 END::BIGINT AS n_citations, CASE WHEN planned AND here THEN 2 ELSE 0 END::BIGINT AS n_resolved,
   round(CASE WHEN planned AND here THEN 2.0 / 3 ELSE 0 END::DOUBLE, 6) AS groundedness,
@@ -293,9 +293,10 @@ SELECT case_id, false AS ok, CASE WHEN planned THEN 3 ELSE 0 END::BIGINT AS n_ci
     'api_unresolved:CALL' || api || ';symbol_unresolved:call' || spot || ';target_file_missing:' || (SELECT target FROM b x WHERE x.case_id = j.case_id) END AS failures FROM j""")
 def grounded_plans(spark, d):
     rec = fix_records(spark, d).select("case_id", F.lit("r").alias("repo"), "plan", F.col("locations").alias("candidates"))
-    part = D.load(spark, d, "part").where(F.col("p_partkey") % 97 > 9)
+    part = D.load(spark, d, "part")
+    folder = F.when(F.col("p_partkey") % 97 > 9, "m").otherwise("other")  # no plan names a file of the other folders
     s = F.col("p_size") % 3
-    files = part.select(F.lit("r").alias("repo"), D.cat("=app/src/main/java/org/acme/m", F.col("p_partkey") % 97, "=/F", s, "=.java").alias("file"),
+    files = part.select(F.lit("r").alias("repo"), D.cat("=app/src/main/java/org/acme/", folder, F.col("p_partkey") % 97, "=/F", s, "=.java").alias("file"),
                         D.cat("=void call", s, "=() {}").alias("text")).distinct()
     return rounded(context.check_plans(rec, files)).withColumn("failures", F.array_join("failures", ";")).withColumns(
         {"n_citations": F.col("n_citations").cast("long"), "n_resolved": F.col("n_resolved").cast("long")})
@@ -334,17 +335,17 @@ def candidate_pools(spark, d):
     return context.candidate_pool(hits, context.module_lut(entities(spark, d))).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("context_blocks", f"""WITH src AS (SELECT DISTINCT 'src/P' || (p_partkey % 40) || '.java' AS file FROM part WHERE p_partkey % 40 < 20)
-SELECT o_orderkey AS qid, 'src/P' || (o_orderkey % 40) || '.java' AS file, CASE WHEN s.file IS NOT NULL THEN 'SOURCE:' || chr(10) || 'code of ' || s.file ELSE 'SOURCE:' || chr(10) || o_orderpriority END
+@query("context_blocks", f"""WITH src AS (SELECT DISTINCT 'src/P' || (p_partkey % 40) || '.java' AS file FROM part)
+SELECT o_orderkey AS qid, 'src/P' || (o_orderkey % 80) || '.java' AS file, CASE WHEN s.file IS NOT NULL THEN 'SOURCE:' || chr(10) || 'code of ' || s.file ELSE 'SOURCE:' || chr(10) || o_orderpriority END
   || CASE WHEN o_orderstatus = 'F' THEN chr(10) || 'WIKI:' || chr(10) || 'wiki ' || o_custkey ELSE '' END
   || CASE WHEN o_custkey % 2 = 0 THEN chr(10) || 'GRAPH:' || chr(10) || 'calls: C' || o_custkey ELSE '' END AS context
-FROM orders LEFT JOIN src s ON s.file = 'src/P' || (o_orderkey % 40) || '.java'""")
+FROM orders LEFT JOIN src s ON s.file = 'src/P' || (o_orderkey % 80) || '.java'""")
 def context_blocks(spark, d):
     o = D.load(spark, d, "orders")
-    file = D.cat("=src/P", K() % 40, "=.java")
+    file = D.cat("=src/P", K() % 80, "=.java")
     pool = o.select(K().alias("qid"), F.lit("r").alias("repo"), file.alias("file"), F.col("o_orderpriority").alias("snippet"),
                     F.when(F.col("o_orderstatus") == "F", D.cat("=wiki ", C())).alias("wiki"))
-    part = D.load(spark, d, "part").where(F.col("p_partkey") % 40 < 20)
+    part = D.load(spark, d, "part")
     sf = D.cat("=src/P", F.col("p_partkey") % 40, "=.java")
     sources = part.select(F.lit("r").alias("repo"), sf.alias("file"), D.cat("=code of ", sf).alias("text")).distinct()
     bits = o.where(C() % 2 == 0).select(K().alias("qid"), file.alias("file"), D.cat("=calls: C", C()).alias("bits"))
@@ -366,7 +367,7 @@ def file_documents(spark, d):
 
 
 @query("symbol_contexts", """
-WITH e AS (SELECT DISTINCT 'C' || c_custkey AS a, 'N' || c_nationkey AS b FROM customer WHERE c_custkey % 2 = 0),
+WITH e AS (SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN 'C' ELSE 'X' END || c_custkey AS a, 'N' || c_nationkey AS b FROM customer),
 bo AS (SELECT a AS s, b AS n FROM e UNION SELECT b, a FROM e),
 nb AS (SELECT s, string_agg(n, ', ' ORDER BY n) AS calls FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n) AS r FROM bo) WHERE r <= 8 GROUP BY 1),
 sy AS (SELECT o_clerk AS case_id, s, min(pos) AS pos FROM (SELECT o_custkey % 300 AS o_clerk, 'C' || o_custkey AS s, o_orderkey AS pos FROM orders) GROUP BY 1, 2),
@@ -376,7 +377,8 @@ SELECT case_id, rank, '## ' || s || chr(10) || body AS block FROM (SELECT *, row
 def symbol_contexts(spark, d):
     c = D.load(spark, d, "customer")
     name = D.cat("=C", "c_custkey")
-    edges = c.where(F.col("c_custkey") % 2 == 0).select(name.alias("caller"), D.cat("=N", "c_nationkey").alias("callee"))
+    caller = D.cat(F.when(F.col("c_custkey") % 2 == 0, "C").otherwise("X"), "c_custkey")  # no case asks for an X
+    edges = c.select(caller.alias("caller"), D.cat("=N", "c_nationkey").alias("callee"))
     snippets = c.select(name.alias("symbol"), F.when(F.col("c_acctbal") > 5000, F.col("c_name")).alias("snippet"))
     symbols = D.load(spark, d, "orders").select((C() % 300).alias("case_id"), K().alias("pos"), D.cat("=C", C()).alias("symbol"))
     return context.symbol_context(symbols, snippets, edges, 800, 4, 8).withColumn("rank", F.col("rank").cast("long"))

@@ -307,7 +307,7 @@ FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey =
 def complex_modules(spark, d):
     li = D.load(spark, d, "lineitem").join(D.load(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     rows = li.select(F.col("o_custkey").alias("module"), F.col("l_suppkey").alias("id")).distinct()
-    comp = functions(spark, d).where(F.col("k") % 2 == 0).select(F.col("k").alias("id"), "file_path")
+    comp = functions(spark, d).select(F.when(F.col("k") % 2 == 0, F.col("k")).otherwise(-F.col("k")).alias("id"), "file_path")
     return graph.complex_modules(rows, comp)
 
 

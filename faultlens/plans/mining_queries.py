@@ -352,12 +352,13 @@ def authored(cases, files):
 
 @query("identifiers_in_source", """
 WITH idents AS (SELECT DISTINCT source AS repo, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS ident FROM documents),
-names AS (SELECT DISTINCT 'src' || (conv_id % 20) AS repo, role || '::' || regexp_extract(text, '([A-Za-z]+)', 1) AS name FROM conversations)
+names AS (SELECT DISTINCT 'src' || (conv_id % 20) AS repo, role || '::' || unnest(regexp_extract_all(text, '[A-Za-z]+')) AS name FROM conversations)
 SELECT repo, name, EXISTS (SELECT 1 FROM idents i WHERE i.repo = n.repo AND i.ident = split_part(name, '::', -1)) AS "exists" FROM names n""")
 def identifiers_in_source(spark, d):
     docs = D.load(spark, d, "documents").select(F.col("source").alias("repo"), "text")
-    names = D.load(spark, d, "conversations").select(D.cat("=src", F.col("conv_id") % 20).alias("repo"), D.cat(
-        "role", "=::", F.regexp_extract("text", "([A-Za-z]+)", 1)).alias("name")).distinct()
+    turns = D.load(spark, d, "conversations").withColumn("word", F.explode(T.matches(F.col("text"), "[A-Za-z]+")))
+    names = turns.select(D.cat("=src", F.col("conv_id") % 20).alias("repo"), D.cat(
+        "role", "=::", "word").alias("name")).distinct()
     return mining.identifiers_exist(mining.identifier_table(docs), names)
 
 
