@@ -105,8 +105,7 @@ def body_kinds(spark, d):
                                    L.has_crash_signature(F.col("body")).alias("crash"))
 
 
-RUNS_SQL = f"""li AS (SELECT slug, number, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS pos, unnest(string_split(body, chr(10))) AS line FROM iss
-   WHERE role = 'assistant'),
+RUNS_SQL = f"""li AS (SELECT slug, number, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS pos, unnest(string_split(body, chr(10))) AS line FROM iss),
 lg AS (SELECT *, {sql_any('line', L.LOG_LINE)} AS is_log FROM li),
 isl AS (SELECT *, pos - row_number() OVER (PARTITION BY slug, number ORDER BY pos) AS run FROM lg WHERE is_log),
 runs AS (SELECT slug, number, CAST(min(pos) AS INTEGER) AS start, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS t
@@ -115,7 +114,7 @@ runs AS (SELECT slug, number, CAST(min(pos) AS INTEGER) AS start, count(*) AS n_
 
 @query("unfenced_log_runs", f"WITH {ISSUE_SQL}, {RUNS_SQL} SELECT slug, number, start, n_lines, {sql_kind('t')} AS kind, md5(t) AS text_md5 FROM runs")
 def unfenced_log_runs(spark, d):
-    raw = issues(spark, d).where("role = 'assistant'").select(F.struct("slug", "number").alias("id"), F.col("body").alias("text"))
+    raw = issues(spark, d).select(F.struct("slug", "number").alias("id"), F.col("body").alias("text"))
     return faults.unfenced_runs(raw).select("id.slug", "id.number", "start", "n_lines", "kind", F.md5("text").alias("text_md5"))
 
 
