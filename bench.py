@@ -14,7 +14,7 @@ from faultlens.session import build_session  # noqa: E402
 HEADLINE = (
     "inverted_index keyword_search owner_ranking locate_files rare_anchors vector_search vector_owner_ranking hybrid_search cascade_locate "
     "scorecard fault_records routing_fusion component_prior scrubbed_texts mining_outcomes resolved_calls dependency_order fix_scorecard "
-    "run_scorecard fired_rules folded_tiers index_states"
+    "run_scorecard fired_rules folded_tiers index_states stored_index_search owner_ranking_held_out"
 ).split()
 
 

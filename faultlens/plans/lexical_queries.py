@@ -216,22 +216,25 @@ def rare_anchors(spark, d):
 
 
 @query("prefix_overlap_ranking", f"""
-WITH tokens AS (SELECT DISTINCT conv_id AS case_id, regexp_extract(text, '([A-Za-z]+)', 1) || '.' || role AS token FROM conversations),
-dict AS (SELECT DISTINCT source AS repo, lower(regexp_extract(text, '([A-Za-z]+)', 1)) || '.' || lang AS entry
-         FROM documents WHERE regexp_extract(text, '([A-Za-z]+)', 1) <> ''),
-{D.CATALOG_SQL},
-votes AS (SELECT case_id, repo, count(DISTINCT token) AS n FROM tokens, dict
-          WHERE token = entry OR starts_with(token, entry || '.') OR starts_with(entry, token)
-             OR contains(token, split_part(entry, '.', 1)) GROUP BY 1, 2)
+WITH tokens AS (SELECT DISTINCT conv_id AS case_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) || '.' || role AS token FROM conversations),
+dict AS (SELECT DISTINCT source AS repo, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) || '.' || lang AS entry FROM documents),
+{D.CATALOG_SQL}, t AS (SELECT DISTINCT token FROM tokens),
+begins AS (SELECT DISTINCT repo, substr(entry, 1, CAST(i AS INTEGER)) AS token FROM (SELECT repo, entry, unnest(range(1, length(entry) + 1)) AS i FROM dict)),
+spots AS (SELECT token, unnest(range(1, length(token) + 1)) AS i FROM t),
+parts AS (SELECT DISTINCT token, substr(token, CAST(i AS INTEGER), CAST(n AS INTEGER)) AS seg FROM (SELECT token, i, unnest(range(1, length(token) - i + 2)) AS n FROM spots)),
+pairs AS (SELECT token, repo FROM t JOIN begins USING (token)
+    UNION SELECT token, repo FROM parts JOIN (SELECT DISTINCT repo, split_part(entry, '.', 1) AS seg FROM dict) USING (seg)
+    UNION SELECT token, repo FROM t JOIN dict ON starts_with(token, entry || '.') AND split_part(token, '.', 1) = split_part(entry, '.', 1)),
+votes AS (SELECT case_id, repo, count(DISTINCT token) AS n FROM tokens JOIN pairs USING (token) GROUP BY 1, 2)
 SELECT case_id, repo, CAST(coalesce(n, 0) AS DOUBLE) AS score,
   row_number() OVER (PARTITION BY case_id ORDER BY coalesce(n, 0) DESC, repo) AS rank
 FROM (SELECT DISTINCT conv_id AS case_id FROM conversations) CROSS JOIN catalog LEFT JOIN votes USING (case_id, repo)""")
 def prefix_overlap_ranking(spark, d):
-    word = F.regexp_extract("text", "([A-Za-z]+)", 1)
-    tokens = D.load(spark, d, "conversations").select(
-        F.col("conv_id").alias("case_id"), F.concat(word, F.lit("."), F.col("role")).alias("token")).distinct()
-    dictionary = (D.load(spark, d, "documents").where(word != "")
-                  .select(F.col("source").alias("repo"), F.concat(F.lower(word), F.lit("."), F.col("lang")).alias("entry")).distinct())
-    cands = ranking.candidates(tokens.select("case_id").distinct(), D.catalog(spark, d))
+    word = F.explode(T.matches(F.col("text"), "[A-Za-z]+")).alias("word")
+    turns = D.load(spark, d, "conversations")
+    tokens = turns.select(F.col("conv_id").alias("case_id"), "role", word).select("case_id", F.concat("word", F.lit("."), "role").alias("token")).distinct()
+    dictionary = D.load(spark, d, "documents").select(F.col("source").alias("repo"), "lang", word).select(
+        "repo", F.concat(F.lower("word"), F.lit("."), "lang").alias("entry")).distinct()
+    cands = ranking.candidates(turns.select(F.col("conv_id").alias("case_id")).distinct(), D.catalog(spark, d))
     out = ranking.prefix_overlap(tokens, dictionary, cands)
     return out.select("case_id", "repo", "score", F.col("rank").cast("long").alias("rank"))

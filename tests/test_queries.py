@@ -16,7 +16,8 @@ from check import TABLES, rows_of  # noqa: E402
 
 DATA = os.environ.get("FAULTLENS_DATA", "/root/testdata/sf0.001")
 SOME = ("owner_ranking keyword_search hybrid_search scorecard fault_records routing_fusion component_prior mining_outcomes resolved_calls cycle_groups "
-        "fix_scorecard run_scorecard fired_rules folded_tiers markdown_sections index_states").split()
+        "fix_scorecard run_scorecard fired_rules folded_tiers markdown_sections index_states stored_index_search owner_ranking_held_out vector_ranking_held_out "
+        "case_tickets ticket_attachments case_labels prefix_overlap_ranking").split()
 NAMES = list(entry.queries()) if os.environ.get("FAULTLENS_ALL") else SOME
 
 
