@@ -18,7 +18,7 @@ from faultlens.functions import diffs as X
 from faultlens.functions import logs as L
 from faultlens.functions import text as T
 from faultlens.operators import lexical
-from faultlens.session import cut, join_sized, small
+from faultlens.session import cut, join_sized, ship, small
 
 try:
     import ahocorasick
@@ -124,6 +124,7 @@ def fired(ctx: DataFrame, rules: DataFrame) -> DataFrame:
     an equi-join.
     """
     spark = ctx.sparkSession
+    ship(spark)
     rows = rules.select("rule_id", "key", F.col("value").cast("string").alias("value"))
     ctx = ctx.select("ctx_id", "repo", "text", *V.SIGNAL_FAMILIES)
     schema = Ty.StructType([Ty.StructField("ctx_id", ctx.schema["ctx_id"].dataType),
