@@ -138,20 +138,23 @@ ENTITY = ("struct<built_at_repo_head:string,wiki_commit:string,graph_commit:stri
           "entries:array<struct<symbol:string,file:string,node_id:string,lines:array<int>,match_strategy:string,confidence:double,stale:boolean>>>>>")
 
 
+ENTRY = ["symbol", "file", "node_id", "lines", "match_strategy", "confidence", "stale"]
+
+
 def flatten_entity_map(maps: DataFrame) -> DataFrame:
-    """(repo, ord, module, wiki_page, symbol, file, match_strategy, confidence) of maps(repo, text)."""
+    """(repo, ord, module, wiki_page, symbol, file, node_id, lines, match_strategy, confidence, stale) of maps(repo, text)."""
     m = maps.select("repo", F.posexplode(F.from_json("text", ENTITY)["modules"]).alias("mo", "m"))
     e = m.select("repo", "mo", "m.module", "m.wiki_page", F.posexplode("m.entries").alias("eo", "e"))
-    return e.select("repo", (F.col("mo") * 1_000_000 + F.col("eo")).cast("long").alias("ord"), "module", "wiki_page", "e.symbol", "e.file", "e.match_strategy",
-                    "e.confidence")
+    return e.select("repo", (F.shiftleft(F.col("mo").cast("long"), 32) + F.col("eo")).alias("ord"), "module", "wiki_page", *[f"e.{c}" for c in ENTRY])
 
 
 def nest_entity_map(flat: DataFrame) -> DataFrame:
     """(repo, text) of flat entity rows, modules and entries in ord order."""
-    entry = F.struct("ord", "symbol", "file", "match_strategy", "confidence")
+    kept = [c for c in ENTRY if c in flat.columns]
+    entry = F.struct("ord", *[c for c in kept if c != "lines"], *[c for c in kept if c == "lines"])
     mods = flat.groupBy("repo", "module", "wiki_page").agg(F.min("ord").alias("o"), F.sort_array(F.collect_list(entry)).alias("es"))
     mods = mods.withColumn("entries", F.transform("es", lambda x: F.struct(
-        x["symbol"].alias("symbol"), x["file"].alias("file"), x["match_strategy"].alias("match_strategy"), x["confidence"].alias("confidence"))))
+        *[x[c].alias(c) for c in kept])))
     out = mods.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("o", "module", "wiki_page", "entries"))).alias("ms"))
     return out.select("repo", F.to_json(F.struct(F.transform("ms", lambda x: F.struct(
         x["module"].alias("module"), x["wiki_page"].alias("wiki_page"), x["entries"].alias("entries"))).alias("modules"))).alias("text"))
