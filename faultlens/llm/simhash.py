@@ -190,5 +190,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each class the rows with the least doc_id stay, as they are; rows without an id stay."""
     classes = near_duplicates(docs)
-    gone = classes.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
