@@ -81,7 +81,7 @@ BROADCAST_ROWS = 200_000
 
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when df has at most max_rows rows; reads no more than it needs to know that."""
+    """True when df has at most max_rows rows, for narrow rows of a few numbers or short words; reads no more than it needs to know that."""
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
 
 
@@ -105,16 +105,12 @@ def salted_join(big: DataFrame, side: DataFrame, on: list[str], how: str = "inne
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def join_sized(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner",
-               max_rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
-    """Equi-join with a hot-key plan: broadcast `side` when it is proven small, else salt.
+def join_sized(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join left to the planner: a side is broadcast by its bytes, as planned or as measured at run time, never by a count of rows.
 
-    Beyond the bound `big` spreads each key over `salts` buckets and `side` is copied to each, so a
-    key holding a third of the rows is split. Left joins keep `big` whole.
+    Skewed keys are split at run time (spark.sql.adaptive.skewJoin), so one key may hold any share of `big`; left joins keep `big` whole.
     """
-    if small(side, max_rows):
-        return big.join(F.broadcast(side), on, how)
-    return salted_join(big, side, on, how, salts)
+    return big.join(side, on, how)
 
 
 def with_ordinal(df: DataFrame, order: list, name: str = "ordinal") -> DataFrame:
