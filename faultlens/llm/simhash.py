@@ -12,33 +12,55 @@ from pyspark.sql import functions as F
 
 from faultlens.llm.common import merge_labels, raw, small_batches, store
 from faultlens.llm.components import connected
+from faultlens.llm.substrings import _mix
 from faultlens.session import ship
 
 SHINGLE = 3
 RADIUS = 3
+TABLES = 8  # independent fingerprints of the classes of similar documents
 GRID = 3  # pivots whose distances place a fingerprint on the grid
 HOME_BLOCK, SIDE_BLOCK = 16_384, 65_536  # fingerprints of a cell that meet in one task
 PIVOTS = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 7) for i in range(24)], dtype=np.uint64)
 SIDE = 64 // (RADIUS + 1) + 1
 
 
-def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
-    """SimHash of a text's n-word shingles; 0 without words."""
+def shingle_hashes(text: bytes | None, n: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of a text's n-word shingles, some thousands at a time; of the whole sequence where it is shorter, nothing without words."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= n:
-        return hashed(joined, 42)
+        yield np.array([hashed(joined, 42)], np.uint64)
+        return
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: 1 - n].tolist() if n > 1 else (ends - lengths).tolist()
     ends = ends[n - 1:].tolist()
-    counts = np.zeros(64, np.int64)
     for at in range(0, len(starts), 1 << 15):
-        h = np.array([hashed(joined[a:b], 42) for a, b in zip(starts[at:at + (1 << 15)], ends[at:at + (1 << 15)])], np.uint64)
+        yield np.array([hashed(joined[a:b], 42) for a, b in zip(starts[at:at + (1 << 15)], ends[at:at + (1 << 15)])], np.uint64)
+
+
+def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
+    """SimHash of a text's n-word shingles; 0 without words."""
+    counts, total = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, n):
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view(np.uint64)[0])
+        total += len(h)
+    return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint_row(text: bytes | None, many: int, n: int = SHINGLE) -> np.ndarray:
+    """`many` independent SimHashes of a text's n-word shingles, from hashes mixed anew for each; bits are counted byte by byte."""
+    counts, total = np.zeros((many * 8, 256)), 0
+    salt = (np.arange(1, many + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    place = 256 * np.arange(many * 8)[None, :]
+    for h in shingle_hashes(text, n):
+        for at in range(0, len(h), 4096):
+            mixed = _mix(h[at:at + 4096, None] + salt)
+            counts += np.bincount((mixed.view(np.uint8).reshape(len(mixed), -1) + place).ravel(), minlength=counts.size).reshape(counts.shape)
+        total += len(h)
+    return np.packbits((2 * (counts @ _BITS) > total).ravel(), bitorder="little").view(np.uint64)
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -53,6 +75,9 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(float)
+
+
 def _home(fps: np.ndarray) -> np.ndarray:
     """The grid cell of each fingerprint: its distances to the grid pivots, in steps of the radius plus one."""
     home = np.zeros(len(fps), np.int64)
@@ -108,21 +133,23 @@ def close_pairs(a: np.ndarray, b: np.ndarray, pivots: np.ndarray = PIVOTS[GRID:]
         yield from search(np.arange(len(a)), np.arange(len(b)), pivots)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints `fp` that connect all pairs within the radius; `distinct` should be a written table.
+def links(distinct: DataFrame, tables: int = 1) -> DataFrame:
+    """(k, a, b): links between distinct fingerprints (k, fp) of each k that connect all pairs within the radius; `distinct` should be a written table.
 
     Fingerprints are placed by their distances to the grid pivots and sent to the cells their intervals reach; a cell with many
     members is cut into blocks that meet pairwise in separate tasks. A task returns a spanning forest of its pairs, so a dense
-    group never sends all its pairs on. Only the table of cells (SIDE ** GRID rows at most) reaches the driver.
+    group never sends all its pairs on. Only the table of cells (SIDE ** GRID rows for each k at most) reaches the driver.
     """
     spark = distinct.sparkSession
     ship(spark)
-    fps = distinct.select("fp")
+    fps = distinct.select("k", "fp")
+    many, span = tables, SIDE ** GRID
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, all_ = np.zeros(SIDE ** GRID, np.int64), np.zeros(SIDE ** GRID, np.int64)
+        home, all_ = np.zeros(many * span, np.int64), np.zeros(many * span, np.int64)
         for b in batches:
             rows, cells = _cells(b.column("fp").to_numpy().view(np.uint64))
+            cells = cells + span * b.column("k").to_numpy()[rows]
             first = np.r_[True, rows[1:] != rows[:-1]][:len(rows)]
             home += np.bincount(cells[first], minlength=len(home))
             all_ += np.bincount(cells, minlength=len(home))
@@ -130,7 +157,7 @@ def links(distinct: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(home[at]), pa.array(all_[at])], ["cell", "home", "all"])
 
     counted = fps.mapInArrow(sizes, "cell long, home long, all long").groupBy("cell").agg(F.sum("home"), F.sum("all")).collect()
-    blocks = np.ones((SIDE ** GRID, 2), np.int64)
+    blocks = np.ones((many * span, 2), np.int64)
     for cell, home, all_ in counted:
         blocks[cell] = max(1, -(-home // HOME_BLOCK)), max(1, -(-all_ // SIDE_BLOCK))
 
@@ -138,6 +165,8 @@ def links(distinct: DataFrame) -> DataFrame:
         for b in small_batches(batches, 16_384):
             fps = b.column("fp").to_numpy().view(np.uint64)
             rows, cells = _cells(fps)
+            table = span * b.column("k").to_numpy().astype(np.int64)
+            cells = cells + table[rows]
             home = np.r_[True, rows[1:] != rows[:-1]][:len(rows)]
             nh, ns = blocks[cells].T
             mix = fps[rows] * np.uint64(0x9E3779B97F4A7C15)
@@ -153,7 +182,7 @@ def links(distinct: DataFrame) -> DataFrame:
             r, c, bi, bj, role = (np.concatenate(x) for x in zip(*out))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c), pa.array(bi.astype(np.int32)), pa.array(bj.astype(np.int32)), pa.array(fps[r].view(np.int64)), pa.array(role.astype(np.int8)),
-                 pa.array(_home(fps)[r] == c)], ["cell", "i", "j", "fp", "role", "own"])
+                 pa.array((_home(fps) + table)[r] == c)], ["cell", "i", "j", "fp", "role", "own"])
 
     def join(group: pa.Table) -> pa.Table:
         fp, role, own = (group.column(n).to_numpy() for n in ("fp", "role", "own"))
@@ -165,10 +194,11 @@ def links(distinct: DataFrame) -> DataFrame:
             ok = ~own[y] | (fp[y] > fp[x])
             merge_labels(labels, x[ok], y[ok])
         moved = np.flatnonzero(labels != np.arange(len(fp)))
-        return pa.table({"a": fp[moved].view(np.int64), "b": fp[labels[moved]].view(np.int64)})
+        k = group.column("cell")[0].as_py() // span
+        return pa.table({"k": np.full(len(moved), k, np.int32), "a": fp[moved].view(np.int64), "b": fp[labels[moved]].view(np.int64)})
 
     placed = fps.mapInArrow(place, "cell long, i int, j int, fp long, role byte, own boolean")
-    return placed.groupBy("cell", "i", "j").applyInArrow(join, "a long, b long")
+    return placed.groupBy("cell", "i", "j").applyInArrow(join, "k int, a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -180,15 +210,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     fps = store(fingerprints(docs), "fingerprints")
     distinct = store(fps.groupBy("fp").agg(F.min("doc_id").alias("lo")), "distinct")
-    roots = connected(links(distinct))
+    roots = connected(links(distinct.withColumn("k", F.lit(0))).select("a", "b"))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("lo").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each class the rows with the least doc_id stay, as they are; rows without an id stay."""
-    classes = near_duplicates(docs)
+def similar_documents(docs: DataFrame, tables: int = TABLES) -> DataFrame:
+    """(doc_id, component_id): near-duplicate classes over `tables` independent fingerprints, for similarities of 0.8 and more of five-word shingles.
+
+    One 64-bit fingerprint brings only the nearest copies within three bits; a pair is linked here if any of its fingerprints is. Each is looked
+    up by pivot distances as in near_duplicates, which also says what awkward rows give. Documents with the same fingerprints are one node;
+    nodes and shared or linked fingerprints form one graph.
+    """
+    ship(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            rows = [fingerprint_row(x, tables).view(np.int64) for x in raw(b, "text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "fps"])
+
+    marked = store(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fps array<long>"), "fingerprints")
+    nodes = store(marked.groupBy("fps").agg(F.min("doc_id").alias("lo")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    each = nodes.select("node", F.posexplode("fps").alias("k", "fp"))
+    distinct = store(each.groupBy("k", "fp").agg(F.count("*").alias("n")), "distinct")
+    found = store(links(distinct, tables), "links")
+    name = lambda fp: -F.shiftrightunsigned(F.xxhash64("k", fp), 1) - 1  # noqa: E731  below all nodes
+    shared = distinct.where("n > 1").select("k", "fp").unionByName(found.select("k", F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    edges = each.join(shared, ["k", "fp"], "left_semi").select(F.col("node").alias("a"), name("fp").alias("b")).unionByName(
+        found.select(name("a").alias("a"), name("b").alias("b")))
+    roots = connected(edges)
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("lo").alias("component_id"))
+    classes = named.join(least, "root").select("fps", "component_id")
+    return marked.join(classes, "fps").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, tables: int = TABLES) -> DataFrame:
+    """docs without near copies: of each class of similar documents the rows with the least doc_id stay, as they are; rows without an id stay."""
+    classes = similar_documents(docs, tables)
     gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -55,7 +55,7 @@ def test_simhash_links_equal_all_pairs_in_blocks(spark, monkeypatch):
     fps = np.unique(np.concatenate([base, near, dense, dense ^ np.uint64(3)]))
     monkeypatch.setattr(simhash, "HOME_BLOCK", 16)
     monkeypatch.setattr(simhash, "SIDE_BLOCK", 32)
-    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    df = spark.createDataFrame([(0, int(x)) for x in fps.view(np.int64)], "k int, fp long")
     found = simhash.links(df).collect()
     from faultlens.llm.common import merge_labels
     a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3)
@@ -67,6 +67,33 @@ def test_simhash_links_equal_all_pairs_in_blocks(spark, monkeypatch):
     assert (have == want).all() and len(found) < len(a)
 
 
+def test_fingerprint_rows_are_simhashes():
+    text = b"a b c d e f g h a b c " * 700
+    h = np.concatenate(list(simhash.shingle_hashes(text)))
+    got = simhash.fingerprint_row(text, 3)
+    for k in range(3):
+        m = substrings._mix(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        assert int(got[k]) == sum(1 << b for b in range(64) if 2 * int(((m >> np.uint64(b)) & np.uint64(1)).sum()) > len(m))
+    assert simhash.fingerprint_row(None, 2).tolist() == [0, 0]
+
+
+def test_similar_documents_are_found_and_others_left(table):
+    rng = np.random.default_rng(5)
+    rows, copies = [], []
+    for i in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        rows.append((10 * i, " ".join(w)))
+        for j in range(2):  # two or three words changed: about 0.9 to 0.95 of the five-word shingles stay
+            v = list(w)
+            for at in rng.integers(0, 300, 2 + j):
+                v[at] = "changed"
+            rows.append((10 * i + 1 + j, " ".join(v)))
+            copies.append(10 * i + 1 + j)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table(rows)).collect()}
+    assert all(c == i - i % 10 for i, c in got.items() if i % 10 == 0) and all(c in (i, i - i % 10) for i, c in got.items())
+    assert sum(got[i] != i for i in copies) >= 0.95 * len(copies)
+
+
 def test_keep_one_keeps_columns_and_one_of_each_class(table, awkward):
     docs = table(awkward)
     kept = simhash.keep_one(docs)

@@ -8,9 +8,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from faultlens.llm import quality
+from faultlens.llm import quality, simhash
 from faultlens.llm.common import store
-from test_documents import cut, fingerprint, words
+from test_documents import cut, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,14 +39,13 @@ def test_quality_drops_what_scores_low(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     docs = rows(stages[1])
-    fps = [fingerprint(r["text"]) for r in docs]
+    fps = np.stack([simhash.fingerprint_row((r["text"] or "").encode(), simhash.TABLES) for r in docs])
     name = [r["doc_id"] for r in docs]
+    near = (np.bitwise_count(fps[:, None, :] ^ fps[None, :, :]) <= 3).any(axis=2)
     for _ in docs:
         before = list(name)
-        for a in range(len(docs)):
-            for b in range(a):
-                if (fps[a] ^ fps[b]).bit_count() <= 3:
-                    name[a] = name[b] = min(name[a], name[b])
+        for a, b in zip(*np.nonzero(near)):
+            name[a] = name[b] = min(name[a], name[b])
         if name == before:
             break
     assert sorted(r["doc_id"] for r in rows(stages[2])) == sorted(set(name))
