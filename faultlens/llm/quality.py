@@ -124,8 +124,8 @@ def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
         np.add.at(shown, of[lo:lo + 50_000], index[has[lo:lo + 50_000]])
     around = np.zeros_like(shown)
     gap = np.full(SPAN, len(form), np.int32)
-    for lo in range(0, len(ids), 250):
-        run = np.concatenate([x for t in ids[lo:lo + 250] for x in (t, gap)])
+    for lo in range(0, len(ids), 50):
+        run = np.concatenate([x for t in ids[lo:lo + 50] for x in (t, gap)])
         near = sum(np.pad(shown[run], ((SPAN, SPAN), (0, 0)))[SPAN + k:len(run) + SPAN + k] for k in range(-SPAN, SPAN + 1))
         order = np.argsort(run, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(run[order]) > 0])

@@ -21,7 +21,7 @@ ROWS = 2  # hash rows of the sketch
 BLOCK_BITS = 20
 SKETCH_BITS = (20, 28)  # a row has at least and at most two to the power of so many cells, by the size of the corpus
 SEGMENT = 1 << 18
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 21
 BUFFER = 1 << 20  # candidate windows held before they are pre-aggregated
 
 _BLANK = np.zeros(256, bool)
