@@ -27,6 +27,14 @@ NODES = 5_000  # fillings tried in all before the incumbent is taken
 
 # a blank with blank before it, and blank or nothing after: the only cut at a blank that changes the ids
 _UNSAFE = regex.compile(r"\s (?:\s|\Z)")
+_BLANKS = tuple(" " + c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def _safe(text: str) -> bool:
+    """Whether a text may be cut before every blank. Most texts have no blank before another, which is seen without the pattern."""
+    if not text.endswith(" ") and not any(b in text for b in (_BLANKS if not text.isascii() else _BLANKS[:11])):
+        return True
+    return _UNSAFE.search(text) is None
 
 
 class Tokens:
@@ -35,27 +43,58 @@ class Tokens:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.known, self.opening = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        first = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that begin with a blank
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(first)]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> Iterator[bytes]:
+        """Ids of each piece after its blank: pieces go through the tokenizer in runs, and its tokens tell where each begins."""
+        for at in range(0, len(pieces), 1024):
+            part = pieces[at:at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            begins = np.flatnonzero(self.opens[ids])
+            if len(begins) == len(part) and not begins[0]:
+                data, ends = ids.tobytes(), (4 * np.r_[begins, len(ids)]).tolist()
+                yield from (data[a:b] for a, b in zip(ends, ends[1:]))
+            else:
+                yield from self.whole([" " + p for p in part])
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) > CACHED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        lost = []
+        for p in pieces:
+            ids = older.get(p)
+            if ids is None:
+                lost.append(p)
+            else:
+                known[p] = ids
+        plain = [p for p in lost if p and not p[0].isspace()]
+        known.update(zip(plain, self._pieces(plain)))
+        odd = [p for p in lost if not p or p[0].isspace()]
+        known.update(zip(odd, self.whole([" " + p for p in odd])))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHED:
-            self.known.clear()
-        known, cut, odd = self.known, [], []
+        cut, odd = [], []
         for i, t in enumerate(texts):
-            if _UNSAFE.search(t):
-                odd.append(i)
-                cut.append([])
-            else:
+            if _safe(t):
                 cut.append(t.split(" "))
-        lost = list({p for c in cut for p in c[1:] if p not in known})
-        for at in range(0, len(lost), 4096):
-            part = lost[at:at + 4096]
-            known.update(zip(part, self.whole([" " + p for p in part])))
-        out = [first + b"".join(map(known.__getitem__, c[1:])) for first, c in zip(self.whole([c[0] if c else "" for c in cut]), cut)]
+            else:
+                odd.append(i)
+                cut.append([""])
+        new = {p for c in cut for p in c[1:]}
+        if len(self.known) > CACHED:
+            self._learn(new)
+        else:
+            self._learn(new.difference(self.known))
+        known = self.known
+        out = [first + b"".join(map(known.__getitem__, c[1:])) for first, c in zip(self.whole([c[0] for c in cut]), cut)]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = ids
         return out
