@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.llm.common import merge_labels, raw, small_batches, store
@@ -18,6 +18,9 @@ from faultlens.session import ship
 SHINGLE = 3
 RADIUS = 3
 TABLES = 8  # independent fingerprints of the classes of similar documents
+SIMILAR_SHINGLE = 5  # words of the shingles whose Jaccard similarity must reach 4/5
+BANDS, BAND = 24, 6  # bands of least hashes, hashes of a band: a pair at 0.8 shares none with a chance of 7 in 10,000
+BLOCK_ROWS, BLOCK_BYTES = 1_024, 16 << 20  # texts of a class that are compared in one task
 GRID = 3  # pivots whose distances place a fingerprint on the grid
 HOME_BLOCK, SIDE_BLOCK = 16_384, 65_536  # fingerprints of a cell that meet in one task
 PIVOTS = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 7) for i in range(24)], dtype=np.uint64)
@@ -217,35 +220,136 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def text_key(text: bytes | None) -> bytes:
+    """128-bit hash of a text's lowered words; texts with the same words have the same shingles."""
+    return xxhash.xxh128_digest(b" ".join(text.lower().split()) if text else b"")
+
+
+def shingle_set(text: bytes | None, n: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, n)]))
+
+
+def bands(hashes: np.ndarray, many: int = BANDS, each: int = BAND) -> np.ndarray:
+    """Keys of the bands: each mixes the least of the shingle hashes under `each` orders of its own; zeros without shingles."""
+    if not len(hashes):
+        return np.zeros(many, np.uint64)
+    salt = _mix(np.arange(1, many * each + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[None, :]
+    least = np.full(many * each, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, _mix(hashes[at:at + 1024, None] ^ salt).min(axis=0), out=least)
+    out = np.zeros(many, np.uint64)
+    for column in least.reshape(many, each).T:
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out
+
+
+def confirm(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs (x of left, y of right) at a Jaccard similarity of 4/5 or more that join all that such pairs join; pairs with one label count as joined.
+
+    Without `right` the members of left meet each other.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    words = np.unique(np.concatenate(sets), return_inverse=True)[1] if size.sum() else np.empty(0, np.int64)
+    ids = np.split(words, np.cumsum(size)[:-1])
+    mark, labels, out = np.zeros(len(words), bool), labels.copy(), []
+    for x in left.tolist():
+        others = left[left > x] if right is None else right
+        others = others[(labels[others] != labels[x]) & (5 * size[others] >= 4 * size[x]) & (4 * size[others] <= 5 * size[x])]
+        if len(others):
+            mark[ids[x]] = True
+            for y in others.tolist():
+                if labels[y] != labels[x] and 9 * np.count_nonzero(mark[ids[y]]) >= 4 * (size[x] + size[y]):
+                    out.append((x, y))
+                    labels[labels == labels[y]] = labels[x]
+            mark[ids[x]] = False
+    return out
+
+
+def confirmed(members: DataFrame) -> DataFrame:
+    """(a, b): links that connect what the pairs of a class at a Jaccard similarity of 4/5 or more connect; members (cls, node, hashes) should be a written table.
+
+    A class of one block is settled in one task. A larger one is dealt into blocks twice, which joins nearly all copies of one text; the texts
+    outside its largest group then meet every block, so that no pair is left out.
+    """
+    def linked(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
+        if "role" in group.column_names:
+            role, label = group.column("role").to_numpy(), np.unique(group.column("label").to_numpy(), return_inverse=True)[1]
+            pairs = confirm(sets, label, np.flatnonzero(role == 1), np.flatnonzero(role == 2))
+        else:
+            pairs = confirm(sets, np.arange(len(node)), np.arange(len(node)))
+        x, y = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.table({"a": node[x], "b": node[y]})
+
+    def blocks() -> Column:
+        return F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("hashes")) / BLOCK_BYTES), F.lit(1)).cast("int")
+
+    def block(salt: int, n: str) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+
+    sizes = store(members.groupBy("cls").agg(blocks().alias("n")), "sizes")
+    placed = members.join(sizes, "cls")
+    found = store(placed.groupBy("cls", block(0, "n").alias("i")).applyInArrow(linked, "a long, b long"), "confirmed")
+    if sizes.where("n > 1").isEmpty():
+        return found
+    large = members.join(sizes.where("n > 1"), "cls")
+    found = found.unionByName(store(large.groupBy("cls", block(1, "n").alias("i")).applyInArrow(linked, "a long, b long"), "confirmed"))
+    named = store(large.join(connected(found), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "named")
+    main = named.groupBy("cls", "label").count().groupBy("cls").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    out = named.join(main, "cls").where("label != main")
+    outer = store(out.groupBy("cls").agg(blocks().alias("m")), "outer")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = (out.join(outer, "cls").select("cls", block(2, "m").alias("i"), every("n").alias("j"), "node", "label", "hashes", F.lit(1).alias("role"))
+             .unionByName(named.join(outer, "cls").select("cls", every("m").alias("i"), block(3, "n").alias("j"), "node", "label", "hashes", F.lit(2).alias("role"))))
+    return found.unionByName(store(sides.groupBy("cls", "i", "j").applyInArrow(linked, "a long, b long"), "confirmed"))
+
+
 def similar_documents(docs: DataFrame, tables: int = TABLES) -> DataFrame:
-    """(doc_id, component_id): near-duplicate classes over `tables` independent fingerprints, for similarities of 0.8 and more of five-word shingles.
+    """(doc_id, component_id): classes of documents linked at a Jaccard similarity of 0.8 or more of their five-word shingles.
 
-    One 64-bit fingerprint brings only the nearest copies within three bits; a pair is linked here if any of its fingerprints is. Each is looked
-    up by pivot distances as in near_duplicates, which also says what awkward rows give. Documents with the same fingerprints are one node;
-    nodes and shared or linked fingerprints form one graph.
+    `tables` independent 64-bit fingerprints of those shingles, looked up by pivot distances as in near_duplicates, and bands of least hashes only
+    propose: what they bring together, directly or through others, is compared by its whole shingle sets (64-bit hashes), and only pairs at 0.8
+    or more link. Texts with the same lowered words are one node; texts under five words are one shingle. Null, empty and blank texts are one class.
+    A null doc_id and repeated rows are treated as in near_duplicates.
     """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            rows = [fingerprint_row(x, tables).view(np.int64) for x in raw(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "fps"])
+            texts = raw(b, "text")
+            rows = [np.r_[fingerprint_row(x, tables, SIMILAR_SHINGLE), bands(shingle_set(x))].view(np.int64) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([text_key(x) for x in texts], pa.binary()), pa.array(rows, pa.list_(pa.int64()))],
+                                             ["doc_id", "key", "fps"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([text_key(x) for x in raw(b, "text")], pa.binary()), b.column("text")], ["key", "text"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("node"), pa.array([shingle_set(x).tobytes() for x in raw(b, "text")], pa.binary())],
+                                             ["cls", "node", "hashes"])
 
-    marked = store(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fps array<long>"), "fingerprints")
-    nodes = store(marked.groupBy("fps").agg(F.min("doc_id").alias("lo")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    marked = store(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, fps array<long>"), "fingerprints")
+    nodes = store(marked.groupBy("key").agg(F.min("doc_id").alias("lo"), F.first("fps").alias("fps")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     each = nodes.select("node", F.posexplode("fps").alias("k", "fp"))
     distinct = store(each.groupBy("k", "fp").agg(F.count("*").alias("n")), "distinct")
-    found = store(links(distinct, tables), "links")
+    found = store(links(distinct.where(F.col("k") < tables), tables), "links")
     name = lambda fp: -F.shiftrightunsigned(F.xxhash64("k", fp), 1) - 1  # noqa: E731  below all nodes
     shared = distinct.where("n > 1").select("k", "fp").unionByName(found.select("k", F.explode(F.array("a", "b")).alias("fp"))).distinct()
     edges = each.join(shared, ["k", "fp"], "left_semi").select(F.col("node").alias("a"), name("fp").alias("b")).unionByName(
         found.select(name("a").alias("a"), name("b").alias("b")))
-    roots = connected(edges)
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    proposed = store(nodes.select("key", "node").join(connected(edges), "node").select("key", "node", F.col("root").alias("cls")), "proposed")
+    texts = docs.select("text").mapInArrow(keyed, "key binary, text string").join(proposed, "key").groupBy("cls", "node").agg(F.first("text").alias("text"))
+    members = store(texts.mapInArrow(hashed, "cls long, node long, hashes binary"), "members")
+    roots = connected(confirmed(members))
+    named = nodes.select("key", "lo", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("lo").alias("component_id"))
-    classes = named.join(least, "root").select("fps", "component_id")
-    return marked.join(classes, "fps").select("doc_id", "component_id")
+    classes = named.join(least, "root").select("key", "component_id")
+    return marked.select("doc_id", "key").join(classes, "key").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, tables: int = TABLES) -> DataFrame:
