@@ -170,16 +170,16 @@ def cosine_or_one(a: Column, b: Column) -> Column:
 def select_rules(hits: DataFrame, meta: DataFrame, tier_floor: str, k: int = 2, ctx_vecs: DataFrame | None = None) -> DataFrame:
     """First k fired rules per context at or above a tier: store order, or cosine to the rule vector.
 
-    meta is (rule_id, pos, tier[, vec]); ctx_vecs is (ctx_id, vec).
+    meta is (rule_id, pos, tier[, vec]); ctx_vecs is (ctx_id, vec). Where a context or a rule has no vector, its rules follow the scored ones in store order.
     """
     floor = V.TIERS.index(tier_floor)
     cols = ["rule_id", "pos", "tier"] + (["vec"] if ctx_vecs is not None else [])
     live = join_sized(hits, meta.select(*cols).where(tier_rank(F.col("tier")) >= floor), ["rule_id"])
     if ctx_vecs is None:
         return lexical.top_k(live, k, ["ctx_id"], [F.col("pos")])
-    scored = live.withColumnRenamed("vec", "rvec").join(ctx_vecs, "ctx_id").withColumn(
+    scored = live.withColumnRenamed("vec", "rvec").join(ctx_vecs, "ctx_id", "left").withColumn(
         "score", F.round(cosine_or_one(F.col("vec"), F.col("rvec")), 9)).drop("vec", "rvec")
-    return lexical.top_k(scored, k, ["ctx_id"], [F.col("score").desc(), F.col("rule_id")])
+    return lexical.top_k(scored, k, ["ctx_id"], [F.col("score").desc_nulls_last(), F.when(F.col("score").isNull(), F.col("pos")), F.col("rule_id")])
 
 
 def resolve_refs(units: DataFrame, refs: DataFrame, k: int = 20) -> DataFrame:

@@ -76,14 +76,13 @@ TIER_SQL = "['candidate', 'applied', 'validated', 'canonical', 'retired'][1 + it
 def rule_meta(spark, d):
     item = F.col("item_id")
     tier = F.get(F.array(*[F.lit(t) for t in [*V.TIERS, "retired"]]), (item % 5).cast("int"))
-    e = D.load(spark, d, "embeddings").select(F.col("vec_id").alias("rule_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return D.load(spark, d, "benchmark").select(item.alias("rule_id"), (-item).alias("pos"), tier.alias("tier")).join(e, "rule_id")
+    return D.load(spark, d, "benchmark").select(item.alias("rule_id"), (-item).alias("pos"), tier.alias("tier"))
 
 
 @query("selected_rules", f"""WITH {FIRE_SQL}, s AS (SELECT ctx_id, rule_id, row_number() OVER (PARTITION BY ctx_id ORDER BY -rule_id) AS rank
   FROM fire JOIN benchmark ON item_id = rule_id WHERE {TIER_SQL} IN ('applied', 'validated', 'canonical')) SELECT ctx_id, rule_id, rank FROM s WHERE rank <= 2""")
 def selected_rules(spark, d):
-    return rules.select_rules(hits(spark, d), rule_meta(spark, d).drop("vec"), "applied").select(
+    return rules.select_rules(hits(spark, d), rule_meta(spark, d), "applied").select(
         "ctx_id", "rule_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -93,7 +92,10 @@ def selected_rules(spark, d):
 SELECT ctx_id, rule_id, rank FROM s WHERE rank <= 3""")
 def selected_rules_by_vector(spark, d):
     vecs = D.load(spark, d, "embeddings").select(F.col("vec_id").alias("ctx_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return rules.select_rules(hits(spark, d), rule_meta(spark, d), "candidate", 3, vecs).select(
+    # the query asks only for contexts and rules with a vector, as its SQL does; the operator takes any
+    meta = rule_meta(spark, d).join(vecs.withColumnRenamed("ctx_id", "rule_id"), "rule_id")
+    asked = hits(spark, d).join(vecs, "ctx_id", "left_semi")
+    return rules.select_rules(asked, meta, "candidate", 3, vecs).select(
         "ctx_id", "rule_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -309,7 +311,7 @@ x AS (SELECT ctx_id, rank, '# Crash playbook: ' || rule_id || chr(10) || 'Signat
    FROM s JOIN benchmark ON item_id = rule_id WHERE rank <= 2)
 SELECT ctx_id, md5(chr(10) || chr(10) || '# Grounded playbooks' || chr(10) || string_agg(blk, chr(10) || chr(10) ORDER BY rank)) AS text_md5 FROM x GROUP BY 1""")
 def rendered_items(spark, d):
-    chosen = rules.select_rules(hits(spark, d), rule_meta(spark, d).drop("vec"), "candidate")
+    chosen = rules.select_rules(hits(spark, d), rule_meta(spark, d), "candidate")
     b = D.load(spark, d, "benchmark").select(F.col("item_id").alias("rule_id"), F.col("text").alias("signature"))
     rows = chosen.join(b, "rule_id").select("ctx_id", "rank", F.col("rule_id").alias("id"), "signature", F.array(F.lit("a"), F.lit("b")).alias("localize"),
                                             F.array().cast("array<string>").alias("fix"), F.array(F.lit("x")).alias("required_apis"))
