@@ -72,3 +72,23 @@ def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             if (up == labels).all():
                 break
             labels[:] = up
+
+
+def bundled(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): the other columns go into one struct under numbers, so that their names clash with nothing."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("rest"))
+
+
+def unbundled(got: DataFrame, docs: DataFrame, changed: Column | None = None) -> DataFrame:
+    """The columns of docs from rows that hold (doc_id, text, rest); where `changed`, n_chars, if there, is the length of the new text."""
+    out, at = [], 0
+    for c in docs.columns:
+        if c in ("doc_id", "text"):
+            out.append(F.col(c))
+            continue
+        col, at = F.col(f"rest.c{at}"), at + 1
+        if c == "n_chars" and changed is not None:
+            col = F.when(changed, F.length("text").cast(docs.schema[c].dataType)).otherwise(col)
+        out.append(col.alias(c))
+    return got.select(*out)
