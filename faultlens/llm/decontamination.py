@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from faultlens.llm.common import bundled, raw, store, unbundled
 from faultlens.llm.substrings import _mix, _powers, _runs, text_batches
-from faultlens.session import ship
+from faultlens.session import salted_join, ship
 
 WINDOW = 10
 SLICE = 1 << 19  # windows of one broadcast set: 32 bytes each, and as much again for its bitmap
@@ -219,7 +219,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     are not looked at. An empty benchmark hits nothing; an empty table gives an empty table.
 
     Windows with the same items share one number, and documents with the same numbers one digest: a window that a third of all items or
-    documents have is worked out once.
+    documents have is worked out once. Documents without such numbers meet no join, the others a salted one.
     """
     wins = store(windows(benchmark, window), "items")
     plain = docs.select("doc_id", "text", F.lit(None).cast("int").alias("rest"))
@@ -228,9 +228,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     combos = marked.where(F.size("sets") > 0).select("sets").distinct()
     named = (combos.select("sets", F.explode("sets").alias("set_id")).join(items, "set_id")
              .groupBy("sets").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-             .select(F.col("sets").alias("had"), F.size("ids").cast("long").alias("n"), F.sha2(F.array_join(F.array_sort("ids"), ",").cast("binary"), 256).alias("sha")))
+             .select("sets", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join(F.array_sort("ids"), ",").cast("binary"), 256).alias("sha")))
     none = hashlib.sha256(b"").hexdigest()
-    return (marked.join(named, F.col("sets") == F.col("had"), "left")
+    clean = marked.where(F.size("sets") == 0).withColumn("n", F.lit(None).cast("long")).withColumn("sha", F.lit(None).cast("string"))
+    found = salted_join(marked.where(F.size("sets") > 0), named, ["sets"], "left").select(clean.columns)
+    return (clean.unionByName(found)
             .select("doc_id", "n_words", _n_hit().alias("n_hit"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"), F.coalesce("sha", F.lit(none)).alias("items_sha256"),
                     (F.size("spans") > 0).alias("contaminated"), "spans"))
 
