@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from faultlens.session import scratch_path
 
+SAMPLE_BYTES = 32 << 20  # of text that a model is learned from on the driver
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,18 +32,24 @@ def bucket(col: str | Column, n: int = 5) -> Column:
     return F.crc32(c.cast("string")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `rows` labelled rows for training, none of them from the held-out fifth (bucket 0).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of at most `rows` labelled rows, and at most `size` bytes of text, for training; none from the held-out fifth (bucket 0).
 
-    The sample goes by a hash of the id, so reruns agree. It is taken from the labels first; the few ids are then sent to the documents, whose
-    texts are not shuffled. Null ids, null labels and repeated labels are left out.
+    The sample goes by a hash of the id, so reruns agree; texts that no longer fit are passed over. It is taken from the labels first; the few ids are then
+    sent to the documents, whose texts are not shuffled. Null ids, null labels and repeated labels are left out.
     """
     few = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (bucket("doc_id") != 0))
-           .groupBy("doc_id").agg(F.max(label).alias("_y"), F.min(label).alias("_z")).where("_y = _z")
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "_y"))
-    got = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(
-        F.min("text").alias("text"), F.first("_y").alias("y")).orderBy("doc_id").toPandas()
-    return got["text"].tolist(), got["y"].to_numpy(np.int64)
+           .groupBy("doc_id").agg(F.max(label).alias("y"), F.min(label).alias("z")).where("y = z")
+           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("id"), "y", F.xxhash64("doc_id").alias("h")))
+    got = store(docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(few), F.col("doc_id") == F.col("id"))
+                .groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("h").alias("h")), "sample")
+    left, fits = size, []
+    for i, n in got.select("id", F.octet_length("text"), "h").orderBy("h", "id").select("id", "octet_length(text)").collect():
+        if n <= left:
+            left -= n
+            fits.append(i)
+    table = got.where(F.col("id").isin(fits)).select("id", "text", "y").toArrow().sort_by("id")
+    return table.column("text").to_pylist(), table.column("y").to_numpy().astype(np.int64)
 
 
 def raw(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
@@ -74,10 +81,10 @@ def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
-def bundled(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, rest): the other columns go into one struct under numbers, so that their names clash with nothing."""
+def bundled(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, text, rest) and `more`: the other columns go into one struct under numbers, so that their names clash with nothing."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("rest"))
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("rest"), *more)
 
 
 def unbundled(got: DataFrame, docs: DataFrame, changed: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from faultlens.llm.common import WORD, store
+from faultlens.llm.common import bundled, store, unbundled, WORD
 from faultlens.session import ship, with_ordinal
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -160,12 +160,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def repeat(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs as the mix takes them: each row as often as it is taken, with its columns as they are.
 
-    Rows meet their numbers by a hash of id, source and text. Equal rows share theirs: the first of them give the larger ones.
+    Rows meet their numbers by a hash of id, source and text. Equal rows share theirs: the first of them give the larger ones. Nulls, blank texts and
+    empty tables as for `mix`; columns may have any names.
     """
-    taken = mix(docs, seed=seed).groupBy("row_hash").agg(F.count("*").alias("_rows"), F.sum("times").alias("_times"))
-    rows = docs.withColumn("_hash", _row_hash(seed)).join(taken.withColumnRenamed("row_hash", "_hash"), "_hash").where("_times > 0")
-    one = rows.where("_rows = 1").withColumn("_n", F.lit(1))
-    more = rows.where("_rows > 1").withColumn("_n", F.row_number().over(W.partitionBy("_hash").orderBy("_hash")))
-    n = F.expr("_times div _rows + if(_n <= _times % _rows, 1, 0)").cast("int")
-    return (one.unionByName(more).withColumn("_n", n).where("_n > 0")
-            .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    taken = mix(docs, seed=seed).groupBy("row_hash").agg(F.count("*").alias("rows"), F.sum("times").alias("times"))
+    rows = bundled(docs, _row_hash(seed).alias("row_hash")).join(taken, "row_hash").where("times > 0")
+    one = rows.where("rows = 1").withColumn("n", F.lit(1))
+    more = rows.where("rows > 1").withColumn("n", F.row_number().over(W.partitionBy("row_hash").orderBy("row_hash")))
+    n = F.expr("times div rows + if(n <= times % rows, 1, 0)").cast("int")
+    many = one.unionByName(more).withColumn("n", n).where("n > 0")
+    return unbundled(many.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))), docs)

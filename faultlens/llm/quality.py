@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.llm.common import bucket, labelled_sample, raw
-from faultlens.llm.substrings import text_batches
+from faultlens.llm.substrings import _mix, _powers, text_batches
 from faultlens.session import ship
 
 SAMPLE = 4_000  # labelled documents to learn from
@@ -22,7 +24,8 @@ WIDTH = DIM + 3
 VOCABULARY, LEAST = 30_000, 5
 SPAN = 2  # neighbours to each side
 HIDDEN, EPOCHS, STEP = 24, 60, 0.01
-CACHED = 150_000  # words whose vectors a worker remembers
+CHUNK = 1 << 18  # characters whose words are looked up together
+_BASE = 0x9E3779B97F4A7C15
 THRESHOLD = 0.3
 
 _PARTS = re.compile(r"^([\W_]*)(.*?)([\W_]*)$", re.S)
@@ -65,43 +68,116 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((h @ self.w2 + self.b2) / self.temperature, -40, 40)))
 
 
-class Pool:
-    """Mean word vector of a text, with the vectors of words seen before remembered."""
+LATIN = 0x250  # code points that are classed by table; words with others, or with odd ones, are looked up one by one
+_BLANK, _LOWER, _UPPER, _DIGIT, _MARK, _ODD = range(6)
+_CLASS = np.full(LATIN + 1, _ODD, np.uint8)
+_FOLD = np.arange(LATIN + 1, dtype=np.uint32)
+for _c in map(chr, range(LATIN)):
+    if _c in " \t\n\x0b\x0c\r":
+        _CLASS[ord(_c)] = _BLANK
+    elif not _c.isalnum():
+        _CLASS[ord(_c)] = _MARK
+    elif _c.isalpha() and _c.islower():
+        _CLASS[ord(_c)] = _LOWER
+    elif _c.isalpha() and _c.isupper() and len(_c.lower()) == 1:
+        _CLASS[ord(_c)], _FOLD[ord(_c)] = _UPPER, ord(_c.lower())
+    elif _c in "0123456789":
+        _CLASS[ord(_c)] = _DIGIT
+
+
+class Lookup:
+    """Token vectors by hashes, for many words at once."""
 
     def __init__(self, rows: dict[str, int], vectors: np.ndarray):
-        self.rows, self.vectors = rows, vectors
-        self.known: dict[bytes, int] = {}
-        self.table = np.zeros((1024, DIM), np.float32)
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHED:
-            self.known.clear()
-        while len(self.known) + len(words) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for w in words:
-            at = [self.rows[t] for t in features_of(w.decode(errors="replace")) if t in self.rows]
-            n = self.known[w] = len(self.known)
-            self.table[n] = self.vectors[at].sum(axis=0)
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        """The pooled vector, the log of the number of words, the shares of words that repeat the last one and that differ; zeros without words."""
+        self.rows, self.vectors = rows, np.concatenate([vectors, np.zeros((1, DIM), np.float32)])
+        none = len(vectors)
+        words = [t for t in rows if t[0] != "<"]
+        codes = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
+        keys = _hashes(codes, np.r_[0, ends[:-1] + 1] if words else ends, ends)
+        order = np.argsort(keys)
+        self.keys, self.at = keys[order], np.array([rows[w] for w in words], np.int64)[order]
+        marks = [rows.get(f"< {chr(c) if c < LATIN else ''}>", none) for c in range(LATIN + 1)]
+        kinds = [rows.get(k, none) for k in ("<aa>", "<AA>", "<Aa>", "<9>")]
+        self.frames = (self.vectors[marks][:, None] + self.vectors[kinds][None]).reshape(-1, DIM)  # of the mark after a plain word and of its case
+
+    def of(self, word: str) -> list[int]:
+        return [self.rows[t] for t in features_of(word) if t in self.rows]
+
+
+def _hashes(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(codes)), out=sums[1:])
+    return _mix((sums[end] - sums[begin]) * _powers(pow(_BASE, -1, 1 << 64), len(codes) + 1)[begin] + (end - begin).astype(np.uint64))
+
+
+def _stretches(codes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about CHUNK characters that end at a blank."""
+    at = 0
+    while at < len(codes):
+        end = min(len(codes), at + CHUNK)
+        while end < len(codes) and codes[end] != 10:
+            blanks = np.flatnonzero(_CLASS[np.minimum(codes[end:end + CHUNK], LATIN)] == _BLANK)
+            if len(blanks):
+                end += int(blanks[0])
+                break
+            end = min(len(codes), end + CHUNK)
+        yield at, end
+        at = end
+
+
+def pooled(texts: list[bytes | None], look: Lookup) -> np.ndarray:
+    """For each text the mean word vector, the log of the number of words, the shares of words that repeat the last one and that differ; zeros without words.
+
+    Words of plain letters or digits, with a mark behind or none, are classed and looked up together, some CHUNK characters at a time; the others one by
+    one. Nothing is kept from one call to the next.
+    """
+    out = np.zeros((len(texts), WIDTH))
+    for i, text in enumerate(texts):
         words = text.split() if text else []
-        out = np.zeros(WIDTH)
-        again, last = 0, b""
-        for at in range(0, len(words), 50_000):
-            part = words[at:at + 50_000]
-            lost = set(part).difference(self.known)
-            if lost:
-                if len(self.known) > CACHED:
-                    lost = set(part)
-                self._learn(lost)
-            ids = np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))
-            out[:DIM] += self.table[ids].sum(axis=0, dtype=np.float64)
-            again += int((ids[1:] == ids[:-1]).sum()) + int(part[0] == last)
-            last = part[-1]
-        out[:DIM] /= max(1, len(words))
-        out[DIM:] = np.log1p(len(words)), again / max(1, len(words)), len(set(words)) / max(1, len(words))
-        return out
+        n = max(1, len(words))
+        out[i, DIM:] = np.log1p(len(words)), sum(map(eq, words, islice(words, 1, None))) / n, len(set(words)) / n
+    decoded = [(t or b"").decode(errors="replace") for t in texts]
+    whole = "\n".join([*decoded, ""])
+    codes = np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32)
+    firsts = np.cumsum([0] + [len(t) + 1 for t in decoded[:-1]])
+    for lo, hi in _stretches(codes):
+        small = np.minimum(codes[lo:hi], LATIN)
+        kind = _CLASS[small]
+        ink = np.r_[False, kind != _BLANK, False]
+        s, e = np.flatnonzero(~ink[:-1] & ink[1:]), np.flatnonzero(ink[:-1] & ~ink[1:])
+        if not len(s):
+            continue
+        of = np.searchsorted(firsts, s + lo, "right") - 1
+        upper, lower, digit, mark, odd = (np.add.reduceat(np.r_[kind == k, False].astype(np.int32), np.stack([s, e], axis=1).ravel())[::2] for k in (_UPPER, _LOWER, _DIGIT, _MARK, _ODD))
+        last = (kind[e - 1] == _MARK).astype(np.int64)
+        plain = (odd == 0) & (mark == last) & (e - s > last)
+        case = np.where(digit > 0, 3, np.where(upper == 0, 0, np.where((lower == 0) & (upper > 1), 1, 2)))
+        frame = np.where(last > 0, small[e - 1], LATIN) * 4 + case
+        at = np.flatnonzero(plain)
+        keys = _hashes(_FOLD[small], s[at], (e - last)[at])
+        place = np.minimum(np.searchsorted(look.keys, keys), max(0, len(look.keys) - 1))
+        core = np.where(look.keys[place] == keys, look.at[place], len(look.vectors) - 1) if len(look.keys) else np.full(len(at), len(look.vectors) - 1)
+        for k in range(0, len(at), 8192):
+            own = of[at[k:k + 8192]]
+            cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            out[own[cut], :DIM] += np.add.reduceat(look.frames[frame[at[k:k + 8192]]] + look.vectors[core[k:k + 8192]], cut, axis=0, dtype=np.float64)
+        rest = np.flatnonzero(~plain)
+        seen: dict[str, list[int]] = {}
+        owners, flat = [], []
+        for i, b, c in zip(of[rest].tolist(), (s[rest] + lo).tolist(), (e[rest] + lo).tolist()):
+            w = whole[b:c]
+            ids = seen.get(w)
+            if ids is None:
+                ids = seen[w] = look.of(w)
+            flat += ids
+            owners += [i] * len(ids)
+        if flat:
+            own = np.array(owners)
+            cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            out[own[cut], :DIM] += np.add.reduceat(look.vectors[flat], cut, axis=0, dtype=np.float64)
+    out[:, :DIM] /= np.maximum(1, np.expm1(out[:, DIM:DIM + 1]).round())
+    return out
 
 
 def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
@@ -124,12 +200,14 @@ def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
         np.add.at(shown, of[lo:lo + 50_000], index[has[lo:lo + 50_000]])
     around = np.zeros_like(shown)
     gap = np.full(SPAN, len(form), np.int32)
-    for lo in range(0, len(ids), 50):
-        run = np.concatenate([x for t in ids[lo:lo + 50] for x in (t, gap)])
-        near = sum(np.pad(shown[run], ((SPAN, SPAN), (0, 0)))[SPAN + k:len(run) + SPAN + k] for k in range(-SPAN, SPAN + 1))
-        order = np.argsort(run, kind="stable")
-        cut = np.flatnonzero(np.r_[True, np.diff(run[order]) > 0])
-        around[run[order][cut]] += np.add.reduceat(near[order], cut, axis=0)
+    run = np.concatenate([gap, *(x for t in ids for x in (t, gap))])
+    for lo in range(SPAN, len(run) - SPAN, 20_000):
+        hi = min(lo + 20_000, len(run) - SPAN)
+        seen = shown[run[lo - SPAN:hi + SPAN]]
+        near, own = sum(seen[k:k + hi - lo] for k in range(2 * SPAN + 1)), run[lo:hi]
+        order = np.argsort(own, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(own[order]) > 0])
+        around[own[order][cut]] += np.add.reduceat(near[order], cut, axis=0)
     vectors = np.zeros((len(top), DIM), np.float32)
     for lo in range(0, len(of), 50_000):
         np.add.at(vectors, has[lo:lo + 50_000], around[of[lo:lo + 50_000]])
@@ -140,8 +218,8 @@ def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
 def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
     """Fit on labelled texts: four fifths set the network's weights, the last fifth its temperature. Without both labels every score is their share."""
     rows, vectors = word_vectors(texts)
-    pool = Pool(rows, vectors)
-    x = np.stack([pool(t.encode()) for t in texts]) if texts else np.zeros((0, WIDTH))
+    look = Lookup(rows, vectors)
+    x = np.concatenate([np.zeros((0, WIDTH)), *(pooled([t.encode() for t in texts[at:at + 500]], look) for at in range(0, len(texts), 500))])
     y = labels.astype(float)
     share = (y.sum() + 0.5) / (len(y) + 1)
     rng = np.random.default_rng(seed)
@@ -190,9 +268,9 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        pool = Pool(m.rows, m.vectors)
+        look = Lookup(m.rows, m.vectors)
         for b in text_batches(batches):
-            s = m.score(np.stack([pool(t) for t in raw(b, "text")]))
+            s = m.score(pooled(raw(b, "text"), look))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     got = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
@@ -200,15 +278,18 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects (score under THRESHOLD), as they are; every row is judged by its own text."""
+    """docs without those that the classifier rejects (score under THRESHOLD), as they are; every row is judged by its own text.
+
+    Null and blank texts, repeated rows and missing labels as for `scores`; an empty table gives an empty table, and columns may have any names.
+    """
     spark = docs.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(train(*labelled_sample(docs, labels, "quality", SAMPLE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        pool = Pool(m.rows, m.vectors)
+        look = Lookup(m.rows, m.vectors)
         for b in text_batches(batches):
-            yield b.filter(pa.array(m.score(np.stack([pool(t) for t in raw(b, "text")])) >= THRESHOLD))
+            yield b.filter(pa.array(m.score(pooled(raw(b, "text"), look)) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import merge_labels, raw, small_batches, store
+from faultlens.llm.common import bundled, merge_labels, raw, small_batches, store, unbundled
 from faultlens.llm.components import connected
 from faultlens.llm.substrings import _mix
 from faultlens.session import ship
@@ -355,5 +355,5 @@ def similar_documents(docs: DataFrame, tables: int = TABLES) -> DataFrame:
 def keep_one(docs: DataFrame, tables: int = TABLES) -> DataFrame:
     """docs without near copies: of each class of similar documents the rows with the least doc_id stay, as they are; rows without an id stay."""
     classes = similar_documents(docs, tables)
-    gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return unbundled(bundled(docs).join(gone, F.col("doc_id") == F.col("gone"), "left_anti"), docs)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import raw
+from faultlens.llm.common import bundled, raw, unbundled
 from faultlens.session import ship
 
 WINDOW = 20
@@ -300,8 +300,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 def _cut(docs: DataFrame) -> DataFrame:
     """(doc_id, text, rest, kept, n_words, n_removed) for every row of docs; rest is a struct of its other columns."""
     marks = repeated(docs)
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    own = docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("rest"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    own = bundled(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     m = marks.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "starts", "spans").hint("shuffle_hash")
     both = own.join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").select("doc_id", "text", "rest", "starts", "spans")
 
@@ -343,9 +342,9 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
 
 
 def without_repeated(docs: DataFrame) -> DataFrame:
-    """docs with repeated passages cut out of the texts; a text that loses nothing stays as it is. n_chars, if there, follows the text."""
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    got = _cut(docs).withColumn("text", text)
-    length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return got.select(*[F.col(c) if c in ("doc_id", "text") else F.when(F.col("n_removed") > 0, length).otherwise(F.col("rest.n_chars")).alias(c) if c == "n_chars"
-                        else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    """docs with repeated passages cut out of the texts; a text that loses nothing stays as it is. n_chars, if there, follows the text.
+
+    Nulls, blank and repeated texts, ties and empty tables as for `remove_repeated`; columns may have any names.
+    """
+    got = _cut(docs)
+    return unbundled(got.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))), docs, F.col("n_removed") > 0)

@@ -8,9 +8,10 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from faultlens.llm import quality, simhash
+from faultlens.llm import quality
 from faultlens.llm.common import store
 from test_documents import cut, words
+from test_similar import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,17 +39,21 @@ def test_quality_drops_what_scores_low(spark, stages):
 
 
 def test_one_of_each_group_stays(stages):
-    docs = rows(stages[1])
-    fps = np.stack([simhash.fingerprint_row((r["text"] or "").encode(), simhash.TABLES) for r in docs])
-    name = [r["doc_id"] for r in docs]
-    near = (np.bitwise_count(fps[:, None, :] ^ fps[None, :, :]) <= 3).any(axis=2)
-    for _ in docs:
-        before = list(name)
-        for a, b in zip(*np.nonzero(near)):
-            name[a] = name[b] = min(name[a], name[b])
-        if name == before:
-            break
-    assert sorted(r["doc_id"] for r in rows(stages[2])) == sorted(set(name))
+    classes = brute([(r["doc_id"], r["text"]) for r in rows(stages[1])])
+    assert sorted(r["doc_id"] for r in rows(stages[2])) == sorted(set(classes.values())) and len(set(classes.values())) < len(classes)
+
+
+CLASH = ["_times", "_rows", "_hash", "_n", "_gone", "_", "gone", "rows", "times", "n", "row_hash", "c0", "kept", "n_removed", "text_hash", "rest"]
+
+
+def test_columns_of_any_name_stay(spark, awkward):
+    rows_ = [(i, t, "xx", f"s{(i or 0) % 3}", len(t or "")) for i, t in awkward if len(t or "") < 20_000]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *(f"concat('{c}', coalesce(doc_id, 0)) AS `{c}`" for c in CLASH))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes
+        assert all(r[c] == f"{c}{r['doc_id'] or 0}" for r in got.collect() for c in CLASH)
+        assert stage(spark, docs.limit(0), SF).collect() == []
 
 
 def test_passages_go_once(stages):
