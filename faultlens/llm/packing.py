@@ -21,7 +21,7 @@ from faultlens.session import ship, with_ordinal
 CAPACITY = 2048
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
-CACHED = 200_000  # pieces of text whose ids a worker remembers
+CACHED = 150_000  # pieces of text whose ids a task remembers, twice
 FILLINGS = 12  # fillings tried around a largest piece
 NODES = 5_000  # fillings tried in all before the incumbent is taken
 
@@ -80,7 +80,10 @@ class Tokens:
         known.update(zip(odd, self.whole([" " + p for p in odd])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned 32-bit integers; equal texts are looked at once."""
+        once = list(dict.fromkeys(texts))
+        if len(once) < len(texts):
+            return list(map(dict(zip(once, self(once))).__getitem__, texts))
         cut, odd = [], []
         for i, t in enumerate(texts):
             if _safe(t):
@@ -101,11 +104,13 @@ class Tokens:
 
 
 def _tokens(path: str) -> Tokens:
-    """One tokenizer for a worker process, kept between tasks."""
+    """One tokenizer for a worker process, kept between tasks, without the pieces that earlier tasks remembered."""
     kept = sys.modules.setdefault("_kept_tokenizers", types.ModuleType("_kept_tokenizers"))
     if not hasattr(kept, path):
         setattr(kept, path, Tokens(path))
-    return getattr(kept, path)
+    tokens = getattr(kept, path)
+    tokens.known, tokens.older = {}, {}
+    return tokens
 
 
 def tokenised(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -137,6 +142,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "piece", "start", "length", "ids"])
+        tokens.known, tokens.older = {}, {}
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
