@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -18,7 +19,7 @@ from faultlens.llm.common import bucket, labelled_sample, raw
 from faultlens.llm.substrings import _mix, _powers, text_batches
 from faultlens.session import ship
 
-SAMPLE = 4_000  # labelled documents to learn from
+SAMPLE, SAMPLE_BYTES = 4_000, 5 << 20  # labelled documents, and bytes of them, to learn from
 DIM, SPARSE = 48, 6
 WIDTH = DIM + 3
 VOCABULARY, LEAST = 30_000, 5
@@ -186,8 +187,12 @@ def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     ids = [np.fromiter((form.setdefault(w, len(form)) for w in t.encode().split()), np.int32) for t in texts]
     often = np.bincount(np.concatenate(ids), minlength=len(form)) if form else np.empty(0, np.int64)
     token: dict[str, int] = {}
-    pairs = [np.array([(i, token.setdefault(t, len(token))) for t in features_of(w.decode(errors="replace"))], np.int32) for w, i in form.items()]
-    of, has = np.concatenate(pairs).T if pairs else np.empty((2, 0), np.int32)
+    of_, has_ = array("i"), array("i")
+    for w, i in form.items():
+        for t in features_of(w.decode(errors="replace")):
+            of_.append(i)
+            has_.append(token.setdefault(t, len(token)))
+    of, has = np.frombuffer(of_, np.int32) if of_ else np.empty(0, np.int32), np.frombuffer(has_, np.int32) if has_ else np.empty(0, np.int32)
     counts = np.bincount(has, weights=often[of], minlength=len(token))
     top = sorted(((-int(counts[i]), t, i) for t, i in token.items() if counts[i] >= LEAST))[:VOCABULARY]
     row = np.full(len(token) + 1, -1)
@@ -257,13 +262,13 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
 def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row per row of docs, scored on its whole text alone.
 
-    The model is fitted on at most `sample` labelled rows outside the held-out fifth and sent to the workers; its size is bounded by VOCABULARY. Null
+    The model is fitted on at most `sample` labelled rows, of SAMPLE_BYTES at most, outside the held-out fifth and sent to the workers; its size is bounded by VOCABULARY. Null
     and blank texts have the pooled vector zero and are scored like any other. A null doc_id is not held out. docs needs doc_id and text,
     labels doc_id and the label; other columns are not looked at. Without labels every score is one half; an empty table gives none.
     """
     spark = docs.sparkSession
     ship(spark)
-    model = spark.sparkContext.broadcast(train(*labelled_sample(docs, labels, label, sample)))
+    model = spark.sparkContext.broadcast(train(*labelled_sample(docs, labels, label, sample, SAMPLE_BYTES)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +289,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    model = spark.sparkContext.broadcast(train(*labelled_sample(docs, labels, "quality", SAMPLE)))
+    model = spark.sparkContext.broadcast(train(*labelled_sample(docs, labels, "quality", SAMPLE, SAMPLE_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
