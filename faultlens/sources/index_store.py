@@ -1,14 +1,17 @@
-"""The unit table on disk: building units, replacing a repo's rows, states and freshness."""
+"""The unit table on disk: building units, versions of a stored index, states and freshness."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from faultlens.functions import text as T
-from faultlens.operators import lexical
+from faultlens.operators import blockmax, lexical
 from faultlens.session import cut
+from faultlens.sources import snapshots
 
 UNIT = ["uid", "repo", "kind", "name", "qualified_name", "file", "repo_head", "text", "meta"]
 
@@ -34,65 +37,73 @@ def symbol_units(symbols: DataFrame, camelcase: bool = False, with_source: bool
                        F.create_map(F.lit("label"), F.coalesce("label", F.lit(""))).alias("meta"))
 
 
-BUCKETS = 16  # of terms, below each repo of the stored postings
-SPREAD = 8  # tasks that write one repo
-
-
-def _replace(rows: DataFrame, path: str, *by: str) -> None:
-    """Write rows below their repo in place of what was there; a large repo is written by several tasks."""
-    spread = rows.repartition("repo", *by, F.pmod(F.xxhash64("uid"), F.lit(SPREAD)))
-    spread.sortWithinPartitions("repo", *by, *(["term"] if "term" in rows.columns else [])).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("repo", *by).parquet(path)
+BUCKETS = 64  # of terms, in the stored postings
+SPREAD = 8  # tasks that write one repo of a plain unit table
 
 
 def first_units(units: DataFrame, order: str = "file") -> DataFrame:
-    """One row for each (repo, uid): the first by `order`, then by the whole row."""
+    """One row for each (repo, uid): the first by `order`, where units has it, then by the whole row."""
     rest = [c for c in units.columns if c not in ("repo", "uid")]
-    key = F.struct(order, *[F.col(c) for c in rest if not isinstance(units.schema[c].dataType, Ty.MapType)])
-    return units.groupBy("repo", "uid").agg(F.min_by(F.struct(*rest), key).alias("_r")).select("repo", "uid", "_r.*").select(*units.columns)
+    first = [order] if order in units.columns else []
+    # a map has no order of its own: its entries, sorted, have
+    whole = [F.array_sort(F.map_entries(c)) if isinstance(units.schema[c].dataType, Ty.MapType) else F.col(c) for c in rest]
+    return units.groupBy("repo", "uid").agg(F.min_by(F.struct(*rest), F.struct(*first, *whole)).alias("_r")).select("repo", "uid", "_r.*").select(*units.columns)
 
 
 def write_units(units: DataFrame, path: str) -> None:
     """Replace the rows of every repo present in units; other repos stay. Of equal uids the first is kept."""
-    _replace(first_units(units), path)
+    spread = first_units(units).repartition("repo", F.pmod(F.xxhash64("uid"), F.lit(SPREAD)))
+    spread.sortWithinPartitions("repo").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path)
 
 
-def write_index(units: DataFrame, path: str) -> None:
-    """Units with their postings, lengths and vectors (where units has vec), replaced for every repo present in units.
+def write_index(units: DataFrame, path: str) -> str:
+    """Units, posting blocks, sizes and vectors (where units has vec) as a new version that replaces every repo present in units; its name.
 
-    Postings lie below repo and bucket of the term, in term order, so a search reads only the buckets of its terms. Every bucket of a
-    replaced repo gets a row without a term, so that no bucket keeps what the repo held before.
+    A version is a folder of its own, below which repos are sorted columns, not folders. It counts from the commit on, for all its tables at
+    once: a write that fails before leaves what readers see, and a repo written without vectors keeps none. Repos not in units stay in their versions.
     """
+    spark, version = units.sparkSession, f"v{uuid.uuid4().hex}"
     rows = cut(first_units(units))
-    _replace(rows.drop("vec"), f"{path}/units")
-    terms = rows.select("repo", "uid", T.index_terms(F.concat_ws(" ", "name", "qualified_name", "text")).alias("t")).withColumn("len", F.size("t"))
-    _replace(terms.drop("t"), f"{path}/lengths")
-    posted = terms.select("repo", "uid", "len", F.explode("t").alias("term")).groupBy("repo", "uid", "len", "term").agg(F.count("*").alias("tf"))
-    none = F.lit(None)
-    kinds = {f.name: f.dataType for f in posted.schema}
-    marks = rows.select("repo").distinct().select("repo", *[none.cast(kinds[c]).alias(c) for c in ("uid", "len", "term", "tf")],
-                                                  F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("bucket"))
-    _replace(posted.withColumn("bucket", term_bucket(F.col("term"))).unionByName(marks), f"{path}/postings", "bucket")
-    if "vec" in units.columns:
-        _replace(rows.where("vec IS NOT NULL").select("repo", "uid", "kind", "file", "vec"), f"{path}/vectors")
+
+    def put(df: DataFrame, name: str, *by: str) -> None:
+        df.write.partitionBy(*by).parquet(f"{path}/{name}/version={version}") if by else df.write.parquet(f"{path}/{name}/version={version}")
+
+    put(rows.drop("vec").repartitionByRange("repo", "uid").sortWithinPartitions("repo", "uid"), "units")
+    terms = rows.select("repo", "kind", "uid", T.index_terms(F.concat_ws(" ", "name", "qualified_name", "text")).alias("t")).withColumn("len", F.size("t"))
+    put(terms.groupBy("repo").agg(F.count("*").alias("n"), F.sum("len").alias("total_len")).coalesce(1), "sizes")
+    put(blockmax.blocks(terms.select("repo", "kind", "uid", "len", F.explode("t").alias("term"))).withColumn("bucket", term_bucket(F.col("term")))
+        .repartition("bucket").sortWithinPartitions("bucket", "term", "repo", "kind", "block"), "postings", "bucket")
+    vectors = rows if "vec" in rows.columns else rows.withColumn("vec", F.lit(None).cast("array<double>"))
+    put(vectors.where("vec IS NOT NULL").select("repo", "uid", "kind", "file", F.col("vec").cast("array<double>").alias("vec")), "vectors")
+    snapshots.commit(spark, path, rows.select("repo").distinct(), version)
+    return version
 
 
 def term_bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def read_index(spark: SparkSession, path: str, queries: DataFrame) -> lexical.Index:
-    """The stored index as far as queries(qid, query) need it: no text is tokenised, and only the buckets of their terms are read."""
+def _live(spark: SparkSession, path: str, name: str, live: DataFrame) -> DataFrame:
+    """The rows of a stored table that the snapshot `live` (repo, version) names; versions are folders, so dead ones are not read."""
+    return spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}").join(F.broadcast(live), ["repo", "version"], "left_semi")
+
+
+def read_index(spark: SparkSession, path: str, queries: DataFrame, snapshot: str | None = None) -> blockmax.StoredIndex:
+    """The stored index as far as queries(qid, query) need it: no text is tokenised, and only the buckets of their terms are read.
+
+    All its tables are those of one snapshot, the last committed one unless named, whatever is written meanwhile.
+    """
+    live = snapshots.read(spark, path, snapshot)
     words = lexical.query_vocabulary(queries).select("term").distinct()
     buckets = [r.b for r in words.select(term_bucket(F.col("term")).alias("b")).distinct().collect()]
-    posted = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isNotNull())
-    corpus = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    return lexical.Index(spark.read.parquet(f"{path}/units"), posted.join(words, "term", "left_semi").select("uid", "term", "len", "tf"), corpus)
+    posted = _live(spark, path, "postings", live).where(F.col("bucket").isin(buckets)).join(words, "term", "left_semi").drop("bucket", "version")
+    corpus = _live(spark, path, "sizes", live).agg(F.sum("n").alias("n"), (F.sum("total_len") / F.sum("n")).alias("avg_len"))
+    return blockmax.StoredIndex(_live(spark, path, "units", live).drop("version"), posted, corpus)
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Stored vectors as units for the vector search: (repo, uid, kind, file, vec)."""
-    return spark.read.parquet(f"{path}/vectors")
+def read_vectors(spark: SparkSession, path: str, snapshot: str | None = None) -> DataFrame:
+    """Live stored vectors as units for the vector search: (repo, uid, kind, file, vec)."""
+    return _live(spark, path, "vectors", snapshots.read(spark, path, snapshot)).drop("version")
 
 
 def read_units(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultlens.operators import ranking
-from faultlens.sources import cases, files, index_store, records
+from faultlens.operators import blockmax, lexical
+from faultlens.sources import cases, files, index_store, records, snapshots
 
 
 @pytest.fixture
@@ -141,3 +142,82 @@ def test_broken_tickets_and_missing_attachments(spark, dataset, tmp_path):
         cases.load_tickets(spark, dataset).collect()
     rows = {r.case_id: r for r in cases.load_tickets(spark, dataset, missing="null").collect()}
     assert rows["lost"].logs[0].content is None and rows["one"].log_text.startswith("second")
+
+
+# --- stored index: snapshots and posting blocks ---------------------------------------------------------
+
+UNIT_ROWS = "uid string, repo string, kind string, name string, qualified_name string, file string, repo_head string, text string"
+
+
+def some_units(spark, repos, n, words, extra=""):
+    rows = [(f"{r}/{i}", r, "symbol" if i % 3 else "doc", f"N{i}", None, f"f{i}.java", "h", f"common {words[(i * i + len(r)) % len(words)]} {'common ' * (i % 5)}{extra}") for r in repos for i in range(n)]
+    return spark.createDataFrame(rows, UNIT_ROWS)
+
+
+def test_blocks_give_what_the_plain_search_gives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blockmax, "BLOCK", 8)
+    units = some_units(spark, ["a", "bb", "c"], 150, ["alpha", "beta", "gamma rare", "delta alpha", "eps"])
+    path = str(tmp_path / "index")
+    index_store.write_index(units, path)
+    queries = spark.createDataFrame([(1, "common alpha", "a"), (2, "rare common beta", "bb"), (3, "nothing here", "a"), (4, "common", "c"), (5, "gamma delta eps alpha", "zz"), (6, "", "a")], "qid int, query string, r string")
+    stored = index_store.read_index(spark, path, queries)
+    for k, more in ((7, {}), (1, {"kinds": ["symbol"]}), (1000, {"repos": ["a", "c"]}), (5, {"scope": "r", "kinds": ["doc"]})):
+        want = lexical.search(units, queries, k, **more).select("qid", "uid", "repo", "kind", "file", "score", "rank")
+        got = blockmax.keyword_search(stored, queries, k, **more)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_fewer_blocks_are_opened_for_fewer_results(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blockmax, "BLOCK", 16)
+    units = some_units(spark, ["a"], 2000, ["w"] * 40 + ["needle"])
+    path = str(tmp_path / "index")
+    index_store.write_index(units, path)
+    queries = spark.createDataFrame([(1, "needle common")], "qid int, query string")
+    stored = index_store.read_index(spark, path, queries)
+    whole = stored.blocks.agg({"n": "sum"}).first()[0]
+    read = [blockmax.plan(stored, queries, k).postings_read() for k in (1, 10, 2000)]
+    assert read[0] <= read[1] < whole / 2 < whole <= read[2]
+
+
+def test_replaced_repos_keep_no_vectors_and_readers_see_one_version(spark, tmp_path):
+    path = str(tmp_path / "index")
+    units = some_units(spark, ["a", "b"], 6, ["x", "y"])
+    with_vec = units.withColumn("vec", F.array(F.lit(1.0), F.lit(2.0)))
+    index_store.write_index(with_vec, path)
+    before = snapshots.latest(spark, path)[1]
+    index_store.write_index(units.where("repo = 'a' AND uid < 'a/3'").withColumn("uid", F.concat("uid", F.lit("new"))), path)
+    asked = spark.createDataFrame([(1, "x y common")], "qid int, query string")
+    now = index_store.read_index(spark, path, asked)
+    assert {r.repo for r in index_store.read_vectors(spark, path).collect()} == {"b"}
+    assert {r.uid for r in now.units.where("repo = 'a'").collect()} == {"a/0new", "a/1new", "a/2new"} and now.units.count() == 9 and now.corpus.first().n == 9
+    assert {r.uid for r in blockmax.keyword_search(now, asked, 100).collect()} == {r.uid for r in now.units.collect()}
+    old = index_store.read_index(spark, path, asked, before)
+    assert old.units.count() == 12 and old.corpus.first().n == 12 and index_store.read_vectors(spark, path, before).count() == 12
+
+
+def test_a_write_that_fails_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    units = some_units(spark, ["a"], 5, ["x"])
+    index_store.write_index(units, path)
+    seen = snapshots.latest(spark, path)
+
+    def killed(*_):
+        raise RuntimeError("killed")
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "commit", killed)
+        with pytest.raises(RuntimeError, match="killed"):
+            index_store.write_index(some_units(spark, ["a"], 2, ["y"]), path)
+    bad = units.withColumn("text", F.when(F.col("uid") == "a/3", F.raise_error(F.lit("broken text"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="broken text"):
+        index_store.write_index(bad, path)
+    (tmp_path / "index" / "commits" / "000000000002").write_text("half")  # a commit cut short
+    assert snapshots.latest(spark, path) == seen
+    asked = spark.createDataFrame([(1, "x")], "qid int, query string")
+    assert index_store.read_index(spark, path, asked).units.count() == 5
+    index_store.write_index(some_units(spark, ["b"], 2, ["y"]), path)
+    assert snapshots.latest(spark, path)[0] == 3 and {r.repo for r in snapshots.read(spark, path).collect()} == {"a", "b"}
+
+
+def test_first_units_tell_maps_apart(spark):
+    df = spark.sql("SELECT 'u' AS uid, 'r' AS repo, map('k', v) AS meta FROM VALUES ('b'), ('a'), ('c') AS t(v)")
+    assert {index_store.first_units(df.repartition(n)).first().meta["k"] for n in (1, 3)} == {"a"}
