@@ -5,109 +5,18 @@ Rules are long rows (rule_id, key, value). Clauses of a rule are OR'd, `all_text
 
 from __future__ import annotations
 
-import math
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 
 from faultlens import fixed_values as V
 from faultlens.functions import diffs as X
 from faultlens.functions import logs as L
 from faultlens.functions import text as T
-from faultlens.operators import lexical
-from faultlens.session import cut, join_sized, ship, small
-
-try:
-    import ahocorasick
-except ImportError:  # plain substring tests then
-    ahocorasick = None
+from faultlens.operators import lexical, matching
+from faultlens.session import cut, join_sized
 
 VALID_KEYS = (["always", "repo_in", "any_text", "all_text", "any_text_regex"] + [f"any_{f}" for f in V.SIGNAL_FAMILIES]
               + [f"any_{f}_regex" for f in V.SIGNAL_FAMILIES])
-RULE_BLOCK = 20_000
-CONTEXT_BLOCK = 4_096
-
-
-class _Literals:
-    """All literals of one key: which rules they belong to, found in one pass over a text."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.rules: dict[str, list] = {}
-        for rule, value in zip(rows["rule_id"], rows["value"]):
-            self.rules.setdefault(str(value).lower(), []).append(rule)
-        self.auto = None
-        if ahocorasick is not None and self.rules:
-            self.auto = ahocorasick.Automaton()
-            for word in self.rules:
-                if word:
-                    self.auto.add_word(word, word)
-            if len(self.auto):
-                self.auto.make_automaton()
-            else:
-                self.auto = None
-
-    def found(self, text: str) -> set[str]:
-        hits = {w for w in self.rules if w == ""}
-        if self.auto is not None:
-            hits.update(w for _, w in self.auto.iter(text))
-        elif ahocorasick is None:
-            hits.update(w for w in self.rules if w in text)
-        return hits
-
-
-class _Matcher:
-    """A block of rules ready to test contexts."""
-
-    def __init__(self, rows: pd.DataFrame):
-        by = {k: g for k, g in rows.groupby("key")}
-        empty = rows.iloc[:0]
-        bad = set(by) - set(VALID_KEYS)
-        if bad:
-            raise ValueError(f"unknown predicate keys: {sorted(bad)}")
-        self.any_text, self.all_text = _Literals(by.get("any_text", empty)), _Literals(by.get("all_text", empty))
-        self.need = by["all_text"].assign(value=by["all_text"]["value"].str.lower()).groupby("rule_id")["value"].nunique().to_dict() \
-            if "all_text" in by else {}
-        self.families = {f: _Literals(by.get(f"any_{f}", empty)) for f in V.SIGNAL_FAMILIES}
-        self.patterns = {k: [(r, re.compile(str(v), re.I)) for r, v in zip(g["rule_id"], g["value"])]
-                         for k, g in by.items() if k.endswith("_regex")}
-        self.repos = _Literals(by.get("repo_in", empty)).rules
-        self.always = list(by.get("always", empty).query("value != 'false'")["rule_id"])
-
-    def fire(self, text: str, repo: str | None, tokens: dict[str, list[str]]) -> set:
-        out = set(self.always)
-        for w in self.any_text.found(text):
-            out.update(self.any_text.rules[w])
-        if self.need:
-            got: dict = {}
-            for w in self.all_text.found(text):
-                for r in self.all_text.rules[w]:
-                    got.setdefault(r, set()).add(w)
-            out.update(r for r, ws in got.items() if len(ws) == self.need[r])
-        out.update(r for r, p in self.patterns.get("any_text_regex", []) if p.search(text))
-        for f, lits in self.families.items():
-            toks = [t.lower() for t in tokens[f]]
-            if not toks:
-                continue
-            if lits.rules:
-                for w in lits.found("\0".join(toks)):
-                    out.update(lits.rules[w])
-            out.update(r for r, p in self.patterns.get(f"any_{f}_regex", []) if any(p.search(t) for t in toks))
-        out.update(self.repos.get((repo or "").lower(), []))
-        return out
-
-
-def _fire_frame(m: _Matcher, pdf: pd.DataFrame) -> pd.DataFrame:
-    ids, rules = [], []
-    for row in pdf.itertuples(index=False):
-        toks = {f: list(getattr(row, f) if getattr(row, f) is not None else []) for f in V.SIGNAL_FAMILIES}
-        fired = m.fire(row.text or "", row.repo, toks)
-        ids.extend([row.ctx_id] * len(fired))
-        rules.extend(fired)
-    return pd.DataFrame({"ctx_id": pd.Series(ids, dtype=pdf["ctx_id"].dtype), "rule_id": pd.Series(rules, dtype="object" if not rules else None)})
-
 
 def contexts(tickets: DataFrame) -> DataFrame:
     """(ctx_id, repo, text, families...) of tickets(case_id, repo, summary, description, log_text, signals)."""
@@ -117,40 +26,35 @@ def contexts(tickets: DataFrame) -> DataFrame:
 
 
 def fired(ctx: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct (ctx_id, rule_id) of rules that hold in a context.
+    """Distinct (ctx_id, rule_id) of rules(rule_id, key, value) that hold in a context (ctx_id, repo, text, families...).
 
-    Whole texts are scanned once for all literals of a block of rules. A rule set proven small is
-    sent to the executors once; a larger one is cut into blocks that meet blocks of contexts through
-    an equi-join.
+    Texts and tokens meet an index of the rules' rarest grams by their words; only what meets is verified, and all of it in the JVM. `all_text`
+    needs all of its distinct values. Values are compared in lower case with texts as they are and tokens in lower case. Unknown keys fail the job.
     """
-    spark = ctx.sparkSession
-    ship(spark)
-    rows = rules.select("rule_id", "key", F.col("value").cast("string").alias("value"))
-    ctx = ctx.select("ctx_id", "repo", "text", *V.SIGNAL_FAMILIES)
-    schema = Ty.StructType([Ty.StructField("ctx_id", ctx.schema["ctx_id"].dataType),
-                            Ty.StructField("rule_id", rules.schema["rule_id"].dataType)])
-    if small(rows, RULE_BLOCK):
-        shared = spark.sparkContext.broadcast(rows.toPandas())
-
-        def scan(batches):
-            m = _Matcher(shared.value)
-            for pdf in batches:
-                yield _fire_frame(m, pdf)
-
-        return ctx.mapInPandas(scan, schema)
-    blocks = math.ceil(rows.count() / RULE_BLOCK)
-    shards = max(1, math.ceil(ctx.count() / CONTEXT_BLOCK))
-
-    def numbers(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = ctx.withColumns({"_shard": F.pmod(F.xxhash64("ctx_id"), F.lit(shards)).cast("int"), "_block": numbers(blocks)})
-    right = rows.withColumns({"_block": F.pmod(F.xxhash64("rule_id"), F.lit(blocks)).cast("int"), "_shard": numbers(shards)})
-
-    def meet(c: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        return _fire_frame(_Matcher(r[["rule_id", "key", "value"]]), c)
-
-    return left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInPandas(meet, schema)
+    bad = F.raise_error(F.concat(F.lit("unknown predicate keys: "), F.col("key")))
+    rows = cut(rules.select("rule_id", F.when(F.col("key").isin(VALID_KEYS), F.col("key")).otherwise(bad).alias("key"), F.col("value").cast("string").alias("value")))
+    pattern = F.col("key").endswith("_regex")
+    field = F.regexp_replace(F.regexp_replace("key", "_regex$", ""), "^(any|all)_", "")
+    clauses = rows.where(F.col("key").rlike("^(any|all)_")).select(
+        "rule_id", "key", field.alias("field"), F.when(pattern, "pattern").otherwise("literal").alias("kind"),
+        F.when(pattern, F.col("value")).otherwise(F.lower("value")).alias("value")).distinct().withColumn("id", matching.identity("field", "kind", "value"))
+    ctx = cut(ctx.select("ctx_id", "repo", "text", *V.SIGNAL_FAMILIES).withColumn("row", F.monotonically_increasing_id()))
+    none = F.lit(None).cast("array<string>")
+    fields = [F.struct(F.lit("text").alias("field"), F.coalesce("text", F.lit("")).alias("hay"), none.alias("toks"))]
+    for f in V.SIGNAL_FAMILIES:
+        toks = F.transform(f, F.lower)
+        fields.append(F.when(F.size(f) > 0, F.struct(F.lit(f).alias("field"), F.array_join(toks, "\0").alias("hay"), toks.alias("toks"))))
+    parts = ctx.select("row", F.explode(F.array_compact(F.array(*fields))).alias("f")).select("row", "f.*")
+    held = matching.matches(parts, clauses.select("field", "kind", "value")).join(clauses.select("id", "rule_id", "key"), "id").select("row", "rule_id", "key")
+    need = clauses.where("key = 'all_text'").groupBy("rule_id").agg(F.count("*").alias("need"))
+    every = held.where("key = 'all_text'").groupBy("row", "rule_id").agg(F.count("*").alias("have")).join(need, "rule_id").where("have = need")
+    repos = rows.where("key = 'repo_in'").select("rule_id", F.lower("value").alias("name"))
+    there = ctx.select("row", F.lower(F.coalesce("repo", F.lit(""))).alias("name")).join(repos, "name")
+    always = rows.where("key = 'always' AND value <> 'false'").agg(F.collect_set("rule_id").alias("ids"))
+    on = (ctx.select("row", F.pmod("row", F.lit(1)).cast("int").alias("zero")).join(F.broadcast(always.withColumn("zero", F.size("ids") * 0)), "zero")
+          .select("row", F.explode("ids").alias("rule_id")))  # one row of ids meets all
+    hits = held.where("key <> 'all_text'").select("row", "rule_id").unionByName(every.select("row", "rule_id")).unionByName(there.select("row", "rule_id")).unionByName(on).distinct()
+    return ctx.select("row", "ctx_id").join(hits, "row").select("ctx_id", "rule_id")
 
 
 def tier_rank(c: Column) -> Column:

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from faultlens import session
 from faultlens.functions import diffs as X
-from faultlens.operators import context, faults, fusion, grading, graph, lexical, mining, ranking, rules, vectors
+from faultlens.operators import context, faults, fusion, grading, graph, lexical, matching, mining, ranking, rules, vectors
 
 UNIT = "uid string, repo string, kind string, name string, qualified_name string, file string, text string"
 
@@ -247,14 +248,33 @@ RULES = [("any", "any_text", "BOOM"), ("all", "all_text", "native"), ("all", "al
          ("re", "any_text_regex", r"lib\w+\.so"), ("cls", "any_classes", "demo"), ("err", "any_errors_regex", "^link"), ("repo", "repo_in", "RepoB"), ("on", "always", "true")]
 
 
-@pytest.mark.parametrize("block", [20_000, 3])
-def test_rules_fire(spark, monkeypatch, block):
-    monkeypatch.setattr(rules, "RULE_BLOCK", block)
+def test_rules_fire(spark):
     r = spark.createDataFrame(RULES, "rule_id string, key string, value string")
     got = {(x.ctx_id, x.rule_id) for x in rules.fired(ctx_rows(spark), r).collect()}
     assert got == {("c1", x) for x in ("any", "all", "re", "cls", "err", "on")} | {("c2", "repo"), ("c2", "on"), ("c3", "on")}
 
 
+def test_literals_and_patterns_hold_where_they_hold(spark):
+    rng = random.Random(4)
+    piece = ["boom", "lib", "x.so", " ", "::", "é", "naïve", "a", "_b1", "native", "\n", "Zz", "na"]
+    texts = ["".join(rng.choice(piece) for _ in range(rng.randrange(0, 12))) for _ in range(60)] + ["", None]
+    values = sorted({"".join(rng.choice(piece) for _ in range(rng.randrange(1, 4))) for _ in range(80)} | {"", "::", "oo", "o", "ibx", "n", " "})
+    patterns = [r"lib\w+\.so", r"^boom", r"n?a_b1", r"(boom|lib)x", r"a{2}", r"[bl]ib", r"na+tive", r"\bnative\b", r"x\.so$", r"(?:lib)?boom", r"nat.ve", r"éa*"]
+    fields = spark.createDataFrame([(i, "text", t) for i, t in enumerate(texts)], "row int, field string, hay string").withColumn("toks", F.lit(None).cast("array<string>"))
+    wanted = [("text", "literal", v) for v in values] + [("text", "pattern", p) for p in patterns] + [("text", "literal", None)]
+    asked = spark.createDataFrame(wanted, "field string, kind string, value string")
+    found = matching.matches(fields, asked).join(asked.withColumn("id", matching.identity("field", "kind", "value")), "id")
+    got = {(r.row, r.kind, r.value) for r in found.collect()}
+    want = {(i, "literal", v) for i, t in enumerate(texts) if t is not None for v in values if v in t}
+    want |= {(i, "pattern", p) for i, t in enumerate(texts) if t is not None for p in patterns if re.search(p, t, re.I)}
+    assert got == want
+
+
+def test_rules_need_no_python_worker(spark):
+    plan = rules.fired(ctx_rows(spark), spark.createDataFrame(RULES, "rule_id string, key string, value string"))._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "InArrow", "CartesianProduct", "NestedLoop"))
+
+
 def test_unknown_key_fails(spark):
     r = spark.createDataFrame([("x", "odd", "1")], "rule_id string, key string, value string")
     with pytest.raises(Exception, match="unknown predicate keys"):
