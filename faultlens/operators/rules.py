@@ -51,7 +51,7 @@ def fired(ctx: DataFrame, rules: DataFrame) -> DataFrame:
     repos = rows.where("key = 'repo_in'").select("rule_id", F.lower("value").alias("name"))
     there = ctx.select("row", F.lower(F.coalesce("repo", F.lit(""))).alias("name")).join(repos, "name")
     always = rows.where("key = 'always' AND value <> 'false'").agg(F.collect_set("rule_id").alias("ids"))
-    on = (ctx.select("row", F.pmod("row", F.lit(1)).cast("int").alias("zero")).join(F.broadcast(always.withColumn("zero", F.size("ids") * 0)), "zero")
+    on = (ctx.select("row", F.pmod("row", F.lit(1)).cast("int").alias("zero")).join(F.broadcast(always.withColumn("zero", F.pmod(F.size("ids"), F.lit(1)))), "zero")
           .select("row", F.explode("ids").alias("rule_id")))  # one row of ids meets all
     hits = held.where("key <> 'all_text'").select("row", "rule_id").unionByName(every.select("row", "rule_id")).unionByName(there.select("row", "rule_id")).unionByName(on).distinct()
     return ctx.select("row", "ctx_id").join(hits, "row").select("ctx_id", "rule_id")
