@@ -6,6 +6,7 @@ import os
 import sys
 import types
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -76,8 +77,9 @@ class Tokens:
                 known[p] = ids
         plain = [p for p in lost if p and not p[0].isspace()]
         known.update(zip(plain, self._pieces(plain)))
-        odd = [p for p in lost if not p or p[0].isspace()]
-        known.update(zip(odd, self.whole([" " + p for p in odd])))
+        if len(plain) < len(lost):
+            odd = [p for p in lost if not p or p[0].isspace()]
+            known.update(zip(odd, self.whole([" " + p for p in odd])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; equal texts are looked at once."""
@@ -91,13 +93,13 @@ class Tokens:
             else:
                 odd.append(i)
                 cut.append([""])
-        new = {p for c in cut for p in c[1:]}
+        new = set().union(*cut)  # the first pieces too, which are few
         if len(self.known) > CACHED:
             self._learn(new)
         else:
             self._learn(new.difference(self.known))
         known = self.known
-        out = [first + b"".join(map(known.__getitem__, c[1:])) for first, c in zip(self.whole([c[0] for c in cut]), cut)]
+        out = [first + b"".join(map(known.__getitem__, islice(c, 1, None))) for first, c in zip(self.whole([c[0] for c in cut]), cut)]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = ids
         return out
