@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import types
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -23,8 +24,9 @@ CAPACITY = 2048
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
 CACHED = 150_000  # pieces of text whose ids a task remembers, twice
-FILLINGS = 12  # fillings tried around a largest piece
-NODES = 5_000  # fillings tried in all before the incumbent is taken
+FILLINGS = 16  # fillings around a largest piece that are held at once
+STEPS = 1_000_000  # sets of pieces walked in all before the incumbent is taken; a filling tried counts as TRIED of them
+TRIED = 25
 
 # a blank with blank before it, and blank or nothing after: the only cut at a blank that changes the ids
 _UNSAFE = regex.compile(r"\s (?:\s|\Z)")
@@ -175,119 +177,171 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [x for group in open_.values() for x in group]
 
 
-def fillings(counts: np.ndarray, room: int, most: int = FILLINGS) -> list[Filling]:
-    """Up to `most` undominated fillings of `room`, least waste first; a single piece that fills it all comes alone.
+def least_sequences(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound on the sequences that counts of lengths take: volume, and for each K, pieces over `capacity` - K get no company of K or more."""
+    sizes = np.arange(capacity + 1)
+    many, volume = np.cumsum(counts), np.cumsum(counts * sizes)
+    half = capacity // 2
+    k = np.arange(1, half + 1)
+    alone = many[capacity] - many[half]  # pieces over half a sequence each need their own
+    room = (many[capacity - k] - many[half]) * capacity - (volume[capacity - k] - volume[half])
+    small = volume[half] - volume[k - 1]
+    more = np.maximum(0, small - room)
+    return int(max(-(-volume[capacity] // capacity), alone + (-(-more // capacity)).max(initial=0)))
 
-    A filling is dropped if another that has at most its waste holds its pieces inside own ones: here, if it swaps a piece of the other for
-    several that add up to no more.
+
+def _dominated(filling: Filling, counts: np.ndarray, open_: int, room: int) -> bool:
+    """Whether a piece left out could take the place of a part of the filling that is no longer, so that the filling need not be tried.
+
+    The piece must fit in the waste besides, and be longer than the part or stand for several pieces. open_ has a bit for each length there is. Sums of
+    parts are bits of one integer too, so a filling of many pieces costs no more than a shift for each.
+    """
+    one, more, used = 0, 0, 0
+    for size, n in filling:
+        if n == counts[size]:
+            open_ &= ~(1 << size)
+        used += n * size
+        for _ in range(n):
+            more |= (more | one) << size
+            one |= 1 << size
+    waste = room - used
+    over, reach = (1 | one | more) << 1, 1  # sums, smeared over 1 to `waste` more
+    if not waste:
+        return bool(more & open_)
+    while reach < waste:
+        step = min(reach, waste - reach)
+        over |= over << step
+        reach += step
+    return bool((over | more) & open_ & ((1 << room + 1) - 1))
+
+
+def fillings(counts: np.ndarray, room: int, budget: list[int] | None = None) -> Iterator[Filling]:
+    """Every undominated filling of `room` from counts of lengths, least waste first; a single piece that fills it all comes alone.
+
+    For each waste in turn, the sets of pieces that leave exactly it are walked, longest pieces and most copies first and fewer copies after. Bits of the
+    sums that the shorter lengths can still make keep the walk out of dead ends, and give the last pieces exactly. budget[0], if given, counts down with
+    each set walked, dominated or not, and ends the walk at 0.
     """
     if room <= 0 or not counts[1:room + 1].any():
-        return [()]
+        yield ()
+        return
     if counts[room]:
-        return [((room, 1),)]
-    sizes = np.flatnonzero(counts[:room + 1])
-    found: list[tuple[int, Filling]] = []
-    steps = 0
-
-    def grow(top: int, left: int, have: tuple, used: int) -> None:
-        nonlocal steps
-        steps += 1
-        fit = int(np.searchsorted(sizes, min(left, top), "right")) - 1
-        if fit < 0 or steps > 40 * most or len(found) > 4 * most:
-            found.append((left, have))
-            return
-        if used < 3 and counts[left] and left <= top:
-            found.append((0, have + ((left, 1),)))
-            return
-        tried = 0
-        while fit >= 0 and tried < (6 if used < 2 else 1):
-            size = int(sizes[fit])
-            n = min(int(counts[size]), left // size)
-            grow(size - 1, left - n * size, have + ((size, n),), used + 1)
-            fit, tried = fit - 1, tried + 1
-
-    grow(room, room, (), 0)
-    found.sort(key=lambda f: (f[0], sum(n for _, n in f[1])))
-    out: list[tuple[int, Filling]] = []
-    for waste, f in found:
-        if not any(_dominates(g, f) for _, g in out):
-            out.append((waste, f))
-        if len(out) == most:
-            break
-    return [f for _, f in out]
-
-
-def _dominates(a: Filling, b: Filling) -> bool:
-    """Whether the pieces of b fit into those of a, one or more in each, found greedily."""
-    bins = sorted((s for s, n in a for _ in range(min(n, 8))), reverse=True)
-    pieces = [s for s, n in b for _ in range(min(n, 8))]
-    if sum(n for _, n in a) > 8 or sum(n for _, n in b) > 8:
-        return a == b
-    for p in pieces:
-        at = min((i for i, r in enumerate(bins) if r >= p), key=lambda i: bins[i], default=None)
-        if at is None:
-            return False
-        bins[at] -= p
-    return True
-
-
-def complete(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
+        yield ((room, 1),)
+        return
+    sizes = np.flatnonzero(counts[:room + 1]).tolist()  # ascending
+    most = [min(int(counts[s]), room // s) for s in sizes]
+    mask = (1 << room + 1) - 1
+    sums = [1]  # sums[k]: what the k shortest lengths can make
+    for s, n in zip(sizes, most):
+        got, left, step = sums[-1], n, 1
+        while left:
+            step = min(step, left)
+            got |= got << step * s & mask
+            left -= step
+            step *= 2
+        sums.append(got)
+    open_ = sum(1 << s for s in sizes)
+
+    def walk(k: int, want: int) -> Iterator[Filling]:
+        if not want:
+            yield ()
+        while want and sums[k] >> want & 1:
+            k -= 1
+            for n in range(min(most[k], want // sizes[k]), 0, -1):
+                if sums[k] >> want - n * sizes[k] & 1:
+                    for rest in walk(k, want - n * sizes[k]):
+                        yield ((sizes[k], n),) + rest
+
+    for waste in range(room + 1):
+        if sums[-1] >> room - waste & 1:
+            for f in walk(len(sizes), room - waste):
+                if budget is not None:
+                    budget[0] -= 1
+                    if budget[0] < 0:
+                        return
+                if not _dominated(f, counts, open_, room):
+                    yield f
+
+
+def complete(counts: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[Filling, int]]:
     """Fillings and their numbers for all pieces, in as few sequences as the search finds.
 
-    Depth-first bin completion: around the largest piece left, undominated fillings are tried least waste first, each used as often as the pieces
-    allow; a branch is cut when its waste so far leaves no better total than the incumbent. The best-fit solution is the first incumbent,
-    and the search ends at the volume bound. Lengths are at most `capacity`, so neither counts nor time grow with the number of pieces.
+    Depth-first bin completion: around the largest piece left, undominated fillings are tried least waste first, each as often as the pieces allow and
+    then once; a branch is cut when its waste so far, or the bound of what is left, leaves no better total than the incumbent, or when its pieces were left
+    before. The best-fit solution is the first incumbent. The search ends at the lower bound, when all is tried, or after `steps` sets walked. Lengths
+    are at most `capacity`, so neither counts nor time grow with the number of pieces.
     """
     best = best_fit(counts, capacity)
     total = sum(s * n for s, n in counts.items())
-    least = -(-total // capacity)
-    have = sum(n for _, n in best)
-    if have <= least:
-        return best
     left = np.zeros(capacity + 1, np.int64)
     for s, n in counts.items():
         left[s] = n
-    path: list[tuple[Filling, int, Iterator[Filling]]] = []
-    waste, used, nodes, top, down = 0, 0, 0, 0, True
-    options: Iterator[Filling] = iter(())
-    while nodes < NODES:
+    least = least_sequences(left, capacity)
+    have = sum(n for _, n in best)
+    if have <= least:
+        return best
+
+    def around(top: int, seen: int) -> Iterator[tuple[Filling, int]]:
+        """The next fillings of a largest piece; the pieces left are the same whenever its level asks, so what was seen is passed over."""
+        left[top] -= 1
+        got = [tuple(sorted((Counter({top: 1}) + Counter(dict(f))).items(), reverse=True)) for f in islice(fillings(left, capacity - top, budget), seen, seen + FILLINGS)]
+        left[top] += 1
+        for f in got:
+            n = int(min(left[s] // k for s, k in f))
+            yield f, n
+            if n > 1:
+                yield f, 1
+
+    path: list[tuple[Filling, int]] = []
+    levels: list[list] = []  # largest piece, fillings fetched, those of them not tried
+    known: set[int] = set()
+    waste, used, down, budget = 0, 0, True, [steps]
+    while budget[0] > 0:
         if down:
-            top = int(np.flatnonzero(left)[-1]) if left.any() else 0
-            if not top:
-                best, have = [(f, n) for f, n, _ in path], used
+            if not left.any():
+                best, have = list(path), used
                 if have <= least:
                     break
-                down, options = False, iter(())
             else:
-                left[top] -= 1
-                options = iter(fillings(left, capacity - top))
-                left[top] += 1
-        f = next(options, None)
-        if f is None:
+                levels.append([int(np.flatnonzero(left)[-1]), 0, []])
+        if len(path) == len(levels):  # all packed, or nothing of the level left to try
             if not path:
                 break
-            f, n, options = path.pop()
-            top = f[0][0]
+            f, n = path.pop()
             for s, k in f:
                 left[s] += k * n
             used -= n
             waste -= n * (capacity - sum(s * k for s, k in f))
+        level = levels[-1]
+        if not level[2]:
+            level[2] = list(around(level[0], level[1]))[::-1]
+            level[1] += FILLINGS
+        if not level[2]:
+            levels.pop()
             down = False
+            if not levels:
+                break
             continue
-        nodes += 1
-        whole = dict(f)
-        whole[top] = whole.get(top, 0) + 1
-        f = tuple(sorted(whole.items(), reverse=True))
-        n = int(min(left[s] // k for s, k in f))
+        f, n = level[2].pop()
+        budget[0] -= TRIED
         more = n * (capacity - sum(s * k for s, k in f))
-        if -(-(total + waste + more) // capacity) >= have:  # waste bound
-            down = False
+        down = False
+        if -(-(total + waste + more) // capacity) >= have:  # waste bound: the fillings after it waste no less
+            if n == 1:
+                levels.pop()
+                if not levels:
+                    break
             continue
         for s, k in f:
             left[s] -= k * n
-        waste, used = waste + more, used + n
-        path.append((f, n, options))
-        down = True
+        key = hash((used + n, left.tobytes()))
+        if key in known or used + n + least_sequences(left, capacity) >= have:
+            for s, k in f:
+                left[s] += k * n
+            continue
+        known.add(key)
+        waste, used, down = waste + more, used + n, True
+        path.append((f, n))
     return best
 
 

@@ -202,6 +202,72 @@ def test_bin_completion_uses_every_piece_and_beats_best_fit():
     assert sum(k for _, k in packing.complete(hard, 100)) == 3
 
 
+def used_whole(counts, got, capacity):
+    used = Counter()
+    for f, k in got:
+        assert sum(s * c for s, c in f) <= capacity
+        for s, c in f:
+            used[s] += c * k
+    return used == Counter(counts)
+
+
+def test_bin_completion_finds_planted_packings():
+    for each in (2, 1000):
+        counts = {1030: each, 400: each, 310: each, 308: each}
+        got = packing.complete(counts, 2048)
+        assert used_whole(counts, got, 2048) and sum(n for _, n in got) == each
+    for m, seed in ((12, 0), (12, 1), (12, 2), (30, 30)):
+        rng = np.random.default_rng(seed)
+        counts = Counter()
+        for _ in range(m):
+            a = int(rng.integers(700, 1000))
+            b = int(rng.integers(500, 1548 - a))
+            counts.update((a, b, 2048 - a - b))
+        got = packing.complete(dict(counts), 2048)
+        assert used_whole(counts, got, 2048) and sum(n for _, n in got) == m
+
+
+def test_bin_completion_against_all_packings():
+    def fewest(left):  # the largest piece with every subset of the others
+        if not left:
+            return 0
+        best = len(left)
+        for mask in range(1 << len(left) - 1):
+            with_ = [x for i, x in enumerate(left[1:]) if mask >> i & 1]
+            if left[0] + sum(with_) <= 30:
+                best = min(best, 1 + fewest([x for i, x in enumerate(left[1:]) if not mask >> i & 1]))
+        return best
+    rng = np.random.default_rng(8)
+    for _ in range(25):
+        x = sorted(rng.integers(4, 17, 8).tolist(), reverse=True)
+        got = packing.complete(dict(Counter(x)), 30)
+        assert used_whole(Counter(x), got, 30) and sum(n for _, n in got) == fewest(x)
+        counts = np.bincount(x, minlength=31)
+        assert packing.least_sequences(counts, 30) <= fewest(x)
+
+
+def test_undominated_fillings_against_all_fillings():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        x = rng.integers(2, 12, 7)
+        counts = np.bincount(x, minlength=21)
+        room = 20
+        got = list(packing.fillings(counts, room))
+        assert len(set(got)) == len(got)
+        waste = [room - sum(s * n for s, n in f) for f in got]
+        assert waste == sorted(waste) and all(n <= counts[s] for f in got for s, n in f)
+        # every set that fits is a filling given, or a piece left out can replace a part of it
+        sets = {tuple(sorted(Counter(int(v) for i, v in enumerate(x) if m >> i & 1).items(), reverse=True)) for m in range(1 << len(x))}
+        for f in sets:
+            flat = [s for s, n in f for _ in range(n)]
+            if sum(flat) > room or counts[room]:
+                continue
+            out = [int(s) for s in np.flatnonzero(counts) if counts[s] > dict(f).get(int(s), 0)]
+            parts = [[v for i, v in enumerate(flat) if m >> i & 1] for m in range(1 << len(flat))]
+            beaten = any((sum(p) < o or sum(p) == o and len(p) > 1) and sum(flat) - sum(p) + o <= room for p in parts for o in out)
+            assert beaten != (f in got)
+
+
 # --- mixing ----------------------------------------------------------------------------------------
 
 def test_mix_meets_targets_and_repeats_itself(table, awkward):
