@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from faultlens import fixed_values as V
 from faultlens.functions import diffs as X
 from faultlens.functions import logs as L
+from faultlens.functions import metrics as M
 from faultlens.functions import text as T
 from faultlens.operators import lexical, matching
 from faultlens.session import cut, join_sized
@@ -196,6 +197,18 @@ def first_minted(items: DataFrame) -> DataFrame:
     return items.groupBy("id").agg(F.min_by(F.struct(*[c for c in items.columns if c != "id"]), "provenance").alias("r")).select("id", "r.*")
 
 
+def mint_grounded(fixes: DataFrame, units: DataFrame, denylist: DataFrame) -> DataFrame:
+    """Minted items of fixes whose refs all resolve among units and whose text names no denied token, one per id.
+
+    Each fix is judged by itself, so an id is kept if any of its fixes is grounded; a fix that touched nothing the signals name has no refs and mints
+    nothing. Repeated fixes of a case count once.
+    """
+    items = cut(mint_items(fixes).dropDuplicates(["provenance"]))
+    resolved = resolve_refs(units, items.select(F.explode("refs").alias("ref")).distinct())
+    good = check_grounded(items.withColumn("id", F.col("provenance")), resolved, denylist).where("grounded")
+    return first_minted(items.join(good.select(F.col("id").alias("provenance")), "provenance", "left_semi"))
+
+
 def lint(skills: DataFrame, denylist: DataFrame) -> DataFrame:
     """(id, issue) rows: ids, provenance, clauses, predicate keys, and denied tokens in any text.
 
@@ -306,16 +319,50 @@ def tier_name(index: Column) -> Column:
     return F.when(index < 0, F.lit("retired")).otherwise(F.get(F.array(*[F.lit(t) for t in V.TIERS]), index))
 
 
-def promote_or_retire(items: DataFrame, hysteresis: int = 2) -> DataFrame:
-    """Apply one verdict (column passed) to items(id, tier, fail_count, demotions); off-ladder items stay."""
+EVIDENCE = ("measured_lift", "wilson95")
+
+
+def promote_or_retire(items: DataFrame, hysteresis: int = 2, evidence: DataFrame | None = None) -> DataFrame:
+    """Apply one verdict (column passed) to items(id, tier, fail_count, demotions); off-ladder items stay.
+
+    evidence is (id, measured_lift, wilson95), one row per id: what is not null there replaces what an item on the ladder had of it.
+    """
+    if evidence is not None:
+        items = items.join(evidence.select("id", *[F.col(c).alias(f"_{c}") for c in EVIDENCE]), "id", "left")
     at = F.coalesce(tier_rank(F.col("tier")), F.lit(RETIRED)).cast("int")
     state = F.struct(at.alias("tier"), F.col("fail_count").cast("int").alias("streak"), F.col("demotions").alias("demotions"))
     rows = items.withColumn("_s", T.let(state, lambda s: _step(s, F.col("passed"), hysteresis, True)))
     moved = at >= 0
-    return rows.withColumns({
+    new = {
         "tier": F.when(moved, tier_name(F.col("_s.tier"))).otherwise(F.col("tier")),
         "fail_count": F.when(moved, F.col("_s.streak")).otherwise(F.col("fail_count").cast("int")),
-        "demotions": F.when(moved, F.col("_s.demotions")).otherwise(F.col("demotions"))}).drop("_s")
+        "demotions": F.when(moved, F.col("_s.demotions")).otherwise(F.col("demotions"))}
+    for c in EVIDENCE if evidence is not None else ():
+        given = F.when(moved, F.col(f"_{c}"))
+        new[c] = F.coalesce(given, c) if c in items.columns else given
+    return rows.withColumns(new).drop("_s", *[f"_{c}" for c in EVIDENCE])
+
+
+def lift_evidence(archive: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, measured_lift, wilson95 struct<low, high>) of ladder items that fired: lift over the other cases, and the interval of patches that apply.
+
+    archive is (case_id, fired array, groundedness, patch_applies); cases without groundedness do not count. The lift is null where all cases fired.
+    """
+    lo, hi = M.wilson(F.col("k"), F.col("n"))
+    live = items.where(tier_rank(F.col("tier")).isNotNull()).select("id").distinct()
+    per = _fired_cases(archive).groupBy("id").agg(F.count_if(F.coalesce("patch_applies", F.lit(False))).alias("k"), F.count("*").alias("n"))
+    rates = per.join(live, "id", "left_semi").select("id", F.struct(lo.alias("low"), hi.alias("high")).alias("wilson95"))
+    return rates.join(screen_lift(archive, items).withColumnRenamed("lift", "measured_lift"), "id", "left").select("id", *EVIDENCE)
+
+
+def validating_cases(archive: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, case_id): cases whose patch applied with a ladder item fired, as rows, since an item may have any number of them."""
+    live = items.where(tier_rank(F.col("tier")).isNotNull()).select("id").distinct()
+    return _fired_cases(archive).where("patch_applies").join(live, "id", "left_semi").select("id", "case_id").distinct()
+
+
+def _fired_cases(archive: DataFrame) -> DataFrame:
+    return archive.where(F.col("groundedness").isNotNull()).select(F.explode(F.array_distinct("fired")).alias("id"), "case_id", "patch_applies")
 
 
 # --- attribution -------------------------------------------------------------------------------------

@@ -204,6 +204,22 @@ def minted_items(spark, d):
     return rules.first_minted(rules.mint_items(fixes)).select("id", "signature", F.array_join("refs", ",").alias("refs"), "provenance")
 
 
+@query("grounded_minted_items", f"""WITH {REF_SQL}, f AS (SELECT 10 * conv_id + turn AS case_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'Doc' || conv_id
+   WHEN conv_id % 3 = 1 THEN 'src' || (conv_id % 20) || '.en.Doc' || conv_id ELSE 'doc_missing' || conv_id END AS ref FROM conversations)
+SELECT 'minted-' || substr(sha1(f.ref), 1, 10) AS id, f.ref AS signature, f.ref AS refs, min('minted:' || case_id) AS provenance
+FROM f JOIN rs ON rs.ref = f.ref WHERE resolved AND turn NOT IN (2, 3) GROUP BY 2""")
+def grounded_minted_items(spark, d):
+    # the second turn's patch touches nothing that its signals name, the third's error names an owner
+    none = F.array().cast("array<string>")
+    k, turn = F.col("conv_id"), F.col("turn")
+    ref = F.when(k % 3 == 0, D.cat("=Doc", k)).when(k % 3 == 1, D.cat("=src", k % 20, "=.en.Doc", k)).otherwise(D.cat("=doc_missing", k))
+    sig = F.struct(none.alias("packages"), none.alias("classes"), F.array(ref).alias("methods"), none.alias("symbols"), none.alias("libraries"),
+                   F.when(turn == 3, F.array(F.lit("Owner1"))).otherwise(none).alias("errors"))
+    diff = F.when(turn == 2, F.lit("+++ b/x\n+  other();")).otherwise(D.cat("=+++ b/x\n+  ", ref, "=(other);\n-  gone"))
+    fixes = D.load(spark, d, "conversations").select((10 * k + turn).alias("case_id"), sig.alias("signals"), none.alias("locations"), diff.alias("patch_diff"))
+    return rules.mint_grounded(fixes, D.units(spark, d), denylist(spark, d)[1]).select("id", "signature", F.array_join("refs", ",").alias("refs"), "provenance")
+
+
 @query("placebo_items", f"""WITH c AS (SELECT 's' || conv_id || '-' || turn AS id, CASE WHEN turn = 1 THEN '' ELSE 'crash ' || conv_id END AS sig, turn, 'call ' || role AS fix FROM conversations)
 SELECT 'placebo-' || id AS id, substr(repeat('{V.PLACEBO_FILLER}', 3), 1, greatest(length(sig), 40)) AS signature, CASE WHEN turn = 2 THEN 0 ELSE 40 END AS localize_length,
   substr('{V.PLACEBO_FILLER}', 1, greatest(length(fix), 40)) AS fix FROM c""")
@@ -262,16 +278,45 @@ it AS (SELECT DISTINCT 'K' || (c_custkey % 40) AS id FROM customer WHERE c_custk
 l AS (SELECT id, avg(sig) FILTER (WHERE list_contains(fired, id)) - avg(sig) FILTER (WHERE NOT list_contains(fired, id)) AS lift FROM it, s GROUP BY 1)"""
 
 
-@query("screen_lift", f"WITH {LIFT_SQL} SELECT id, round(lift, 6) AS lift FROM l WHERE lift IS NOT NULL AND abs(lift) >= 0.002")
-def screen_lift(spark, d):
+def fired_archive(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    archive = D.load(spark, d, "orders").select(
+    return D.load(spark, d, "orders").select(
         k.alias("case_id"), F.array(D.cat("=K", c % 30), D.cat("=K", k % 30)).alias("fired"),
         F.when(k % 9 != 0, (k % 10) / 10.0).cast("double").alias("groundedness"), (F.col("o_totalprice") > 150000).alias("patch_applies"))
-    cc = F.col("c_custkey") % 40
-    tier = F.get(F.array(*[F.lit(t) for t in [*V.TIERS, "retired"]]), (cc % 5).cast("int"))
-    items = D.load(spark, d, "customer").select(D.cat("=K", cc).alias("id"), tier.alias("tier")).distinct()
-    return rounded(rules.screen_lift(archive, items, 0.002))
+
+
+def fired_items(spark, d):
+    x = F.col("c_custkey") % 40
+    tier = F.get(F.array(*[F.lit(t) for t in [*V.TIERS, "retired"]]), (x % 5).cast("int"))
+    return D.load(spark, d, "customer").select(D.cat("=K", x).alias("id"), tier.alias("tier"), (x % 2).cast("int").alias("fail_count"),
+                                               F.array().cast("array<string>").alias("demotions"), (x % 3 == 0).alias("passed")).distinct()
+
+
+@query("screen_lift", f"WITH {LIFT_SQL} SELECT id, round(lift, 6) AS lift FROM l WHERE lift IS NOT NULL AND abs(lift) >= 0.002")
+def screen_lift(spark, d):
+    return rounded(rules.screen_lift(fired_archive(spark, d), fired_items(spark, d), 0.002))
+
+
+@query("promotion_evidence", f"""WITH {LIFT_SQL},
+e AS (SELECT id, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE ap))::DOUBLE / count(*) AS p FROM it JOIN s ON list_contains(fired, id) GROUP BY 1),
+w AS (SELECT id, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) AS mid, 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) AS half FROM e),
+i AS (SELECT id, greatest(0, mid - half) AS low, least(1, mid + half) AS high FROM w),
+c AS (SELECT DISTINCT c_custkey % 40 AS x FROM customer),
+g AS (SELECT 'K' || x AS id, CAST(x % 5 AS INTEGER) AS t, CAST(x % 2 AS INTEGER) AS f, x % 3 = 0 AS ok, ['candidate', 'applied', 'validated', 'canonical', 'retired'] AS names FROM c)
+SELECT id, names[1 + CASE WHEN t = 4 THEN 4 WHEN ok THEN least(t + 1, 3) WHEN f + 1 >= 2 THEN CASE WHEN t = 0 THEN 4 ELSE t - 1 END ELSE t END] AS tier,
+  round(lift, 6) AS measured_lift, round(low, 6) AS low, round(high, 6) AS high
+FROM g LEFT JOIN l USING (id) LEFT JOIN i USING (id)""")
+def promotion_evidence(spark, d):
+    items = fired_items(spark, d)
+    out = rules.promote_or_retire(items, evidence=rules.lift_evidence(fired_archive(spark, d), items))
+    return out.select("id", "tier", F.round("measured_lift", 6).alias("measured_lift"), F.round("wilson95.low", 6).alias("low"), F.round("wilson95.high", 6).alias("high"))
+
+
+@query("validating_cases", """WITH a AS (SELECT o_orderkey AS case_id, unnest(list_distinct(['K' || (o_custkey % 30), 'K' || (o_orderkey % 30)])) AS id FROM orders
+  WHERE o_orderkey % 9 <> 0 AND o_totalprice > 150000)
+SELECT id, case_id FROM a WHERE id IN (SELECT 'K' || (c_custkey % 40) FROM customer WHERE c_custkey % 40 % 5 <> 4)""")
+def validating_cases(spark, d):
+    return rules.validating_cases(fired_archive(spark, d), fired_items(spark, d))
 
 
 def scored_sets(spark, d):

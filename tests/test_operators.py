@@ -347,3 +347,36 @@ def test_places_go_to_the_catalog_alone(spark):
     cands = spark.createDataFrame([("c1", "small", 0), ("c2", "big", 0), ("c2", "small", 1)], "case_id string, repo string, pos int")
     got = {(r.case_id, r.repo): r.score for r in ranking.membership(df, tokens, cands).collect()}
     assert got == {("c1", "small"): 1.0, ("c2", "big"): 1.0, ("c2", "small"): 0.0}
+
+
+def test_promotion_keeps_old_evidence_where_none_is_given(spark):
+    from faultlens.operators import rules
+    kind = "id string, tier string, fail_count int, demotions array<string>, passed boolean, measured_lift double, wilson95 struct<low:double,high:double>"
+    items = spark.createDataFrame([("a", "candidate", 0, [], True, 0.1, (0.0, 0.5)), ("b", "applied", 1, [], False, 0.2, None), ("c", "retired", 0, [], True, 0.3, None)], kind)
+    given = spark.createDataFrame([("a", 0.9, None), ("c", 0.8, (0.1, 0.2))], "id string, measured_lift double, wilson95 struct<low:double,high:double>")
+    got = {r.id: (r.tier, r.measured_lift, r.wilson95 and tuple(r.wilson95)) for r in rules.promote_or_retire(items, evidence=given).collect()}
+    assert got == {"a": ("applied", 0.9, (0.0, 0.5)), "b": ("candidate", 0.2, None), "c": ("retired", 0.3, None)}
+
+
+def test_evidence_counts_cases_an_item_fired_in(spark):
+    from faultlens.operators import rules
+    archive = spark.createDataFrame([(1, ["a", "a"], 0.5, True), (2, ["a"], 0.5, None), (3, ["b"], 0.5, True), (4, ["a"], None, True)],
+                                    "case_id long, fired array<string>, groundedness double, patch_applies boolean")
+    items = spark.createDataFrame([("a", "candidate"), ("b", "retired")], "id string, tier string")
+    (r,) = rules.lift_evidence(archive, items).collect()
+    assert r.id == "a" and abs(r.measured_lift - (0.5 - 0.75)) < 1e-9 and abs(r.wilson95.low + r.wilson95.high - 1) < 1e-9
+    assert [tuple(x) for x in rules.validating_cases(archive, items).collect()] == [("a", 1)]
+
+
+def test_minting_drops_ungrounded_fixes(spark):
+    from faultlens.operators import rules
+    families = "struct<packages:array<string>,classes:array<string>,methods:array<string>,symbols:array<string>,libraries:array<string>,errors:array<string>>"
+    def fix(case, method, error, line):
+        return case, ([], [], [method], [], [], [error]), [], f"+++ b/x\n+  {line}"
+    fixes = spark.createDataFrame([fix(1, "drawFrame", "E1", "drawFrame();"), fix(2, "drawFrame", "E1", "other();"), fix(3, "lostCall", "E1", "lostCall();"),
+                                   fix(4, "drawFrame", "acme", "drawFrame();"), fix(1, "drawFrame", "E1", "drawFrame();")],
+                                  f"case_id long, signals {families}, locations array<string>, patch_diff string")
+    units = spark.createDataFrame([("r/1", "r", "symbol", "drawFrame", "View.drawFrame", "void drawFrame()", "View.java")],
+                                  "uid string, repo string, kind string, name string, qualified_name string, text string, file string")
+    deny = spark.createDataFrame([("acme",)], "token string")
+    assert [(r.signature, r.refs, r.provenance) for r in rules.mint_grounded(fixes, units, deny).collect()] == [("E1 drawFrame", ["drawFrame"], "minted:1")]
