@@ -158,10 +158,41 @@ def soname_stem(so: Column) -> Column:
 
 
 SOURCE_SUFFIX = r"\([A-Za-z_$][\w$]*\.(?:java|kt|kts|scala|cpp|cc|cxx|c|h|hpp|mm|so):\d+\)"
+WORD = "[A-Za-z0-9_]+"
+INNER_WORD = r"(?<=[^A-Za-z0-9_<>])[A-Za-z0-9_]+(?=[^A-Za-z0-9_<>])"
+MASKS = {f: f"<REDACTED_{f}>" for f in ("PKG", "SRC", "SO", "PATH", "METHOD", "REPO", "PATCH")}
+
+
+def anchored(tokens: Column) -> Column:
+    """Adds to array<struct<family, token>> a word, in lower case, that any text holds whole wherever the token's pattern matches it.
+
+    Patterns of namespaces and patch lines may begin or end inside a word, so only words inside such a token count;
+    null where a token has none. Words next to an angle bracket are left out there, since a mask may border on a cut word.
+    """
+    def longest(c: Column, pattern: str) -> Column:
+        return F.array_max(F.transform(T.matches(c, pattern), lambda w: F.struct(F.length(w).alias("n"), F.lower(w).alias("word"))))["word"]
+
+    def anchor(t: Column) -> Column:
+        name = t["token"]
+        return F.when(t["family"].isin("PKG", "PATCH"), longest(name, INNER_WORD)).when(
+            t["family"] == "SO", longest(soname_stem(name), WORD)).otherwise(longest(name, WORD))
+
+    return F.transform(tokens, lambda t: F.struct(t["family"].alias("family"), t["token"].alias("token"), anchor(t).alias("anchor")))
+
+
+def possible(entries: Column, text: Column) -> Column:
+    """The entries, in order, that can match a text: their `anchor` is null, one of its words, or a word of a mask.
+
+    One hash intersection of all anchors with the distinct words, however many entries there are.
+    """
+    masks = F.array(*[F.lit(m.strip("<>").lower()) for m in MASKS.values()])
+    words = F.concat(F.transform(T.matches(text, WORD), F.lower), masks)
+    met = F.array_intersect(F.transform(entries, lambda e: e["anchor"]), words)
+    return T.let(met, lambda ws: F.filter(entries, lambda e: e["anchor"].isNull() | F.array_contains(ws, e["anchor"])))
 
 
 def redactions(tokens: Column) -> Column:
-    """Ordered array<struct<pattern, mask>>: family order, then longest token first, then the token.
+    """Ordered array<struct<step, pattern, mask, anchor>>: family order, then longest token first, then the token.
 
     Generic identifiers and short lower-case words of the METHOD family are kept. The source suffix
     of stack frames is masked right after the namespaces.
@@ -184,19 +215,26 @@ def redactions(tokens: Column) -> Column:
                    .when(t["family"] == "PATCH", T.quoted(name))
                    .otherwise(word_pattern(name)))
         return F.struct(rank[t["family"]].alias("step"), (-F.length(name)).alias("size"), name.alias("token"),
-                        pattern.alias("pattern"),
-                        F.concat(F.lit("<REDACTED_"), t["family"], F.lit(">")).alias("mask"))
+                        pattern.alias("pattern"), F.concat(F.lit("<REDACTED_"), t["family"], F.lit(">")).alias("mask"), t["anchor"].alias("anchor"))
 
-    suffix = F.array(F.struct(F.lit(1).alias("step"), F.lit(0).alias("size"), F.lit("").alias("token"),
-                              F.lit(SOURCE_SUFFIX).alias("pattern"), F.lit("(<REDACTED_SRC>)").alias("mask")))
-    ordered = F.array_sort(F.concat(F.transform(F.filter(tokens, wanted), rule), suffix))
-    return F.transform(ordered, lambda r: F.struct(r["pattern"].alias("pattern"), r["mask"].alias("mask")))
+    suffix = F.array(F.struct(F.lit(1).alias("step"), F.lit(0).alias("size"), F.lit("").alias("token"), F.lit(SOURCE_SUFFIX).alias("pattern"),
+                              F.lit(f"({MASKS['SRC']})").alias("mask"), F.lit(None).cast("string").alias("anchor")))
+    ordered = F.array_sort(F.concat(F.transform(anchored(F.filter(tokens, wanted)), rule), suffix))
+    return F.transform(ordered, lambda r: F.struct(*[r[n].alias(n) for n in ("step", "pattern", "mask", "anchor")]))
 
 
 def scrub(c: Column, rules: Column) -> Column:
-    """Apply ordered redactions to a text."""
-    return F.aggregate(rules, F.coalesce(c, F.lit("")),
-                       lambda acc, r: F.regexp_replace(acc, r["pattern"], r["mask"]))
+    """Apply ordered redactions to a text; null counts as ''.
+
+    Rules that cannot match are left out beforehand by their anchors, so a text is rewritten once for each token it holds, not
+    for each token of its case. Namespaces may leave the rest of a word behind, so words are taken again after them; later
+    families replace whole words only, and patch lines come last.
+    """
+    def rewrite(text: Column, wanted) -> Column:
+        return T.let(text, lambda t: F.aggregate(possible(F.filter(rules, wanted), t), t,
+                                                 lambda acc, r: F.regexp_replace(acc, r["pattern"], r["mask"])))
+
+    return rewrite(rewrite(F.coalesce(c, F.lit("")), lambda r: r["step"] == 0), lambda r: r["step"] > 0)
 
 
 PLAN = ("struct<root_cause:string,targets:array<struct<file:string,symbol:string,why:string>>,"

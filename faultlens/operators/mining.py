@@ -89,16 +89,20 @@ def scrubbed(cases: DataFrame, texts: list[str], log_array: str | None = None) -
     return out
 
 
-def _family(name: str) -> Column:
-    return F.transform(F.filter("tokens", lambda t: t["family"] == name), lambda t: t["token"])
+def _family(name: str, tokens: str = "tokens") -> Column:
+    return F.transform(F.filter(tokens, lambda t: t["family"] == name), lambda t: t["token"])
+
+
+def judged_text(description: Column, log_texts: Column) -> Column:
+    return F.concat(description, F.lit("\n"), F.array_join(log_texts, "\n"))
 
 
 def leak_flags(description: Column, log_texts: Column, owner: Column) -> dict[str, Column]:
-    """The eight leak checks on sanitized text; reads the row's `tokens`."""
-    text = F.concat(description, F.lit("\n"), F.array_join(log_texts, "\n"))
+    """The eight leak checks on sanitized text; reads the row's `tokens` and `met`, those of them that can match it."""
+    text = judged_text(description, log_texts)
 
     def found(family: str, pattern) -> Column:
-        return F.exists(_family(family), lambda t: F.regexp_like(text, pattern(t)))
+        return F.exists(_family(family, "met"), lambda t: F.regexp_like(text, pattern(t)))
 
     def word_any_case(t: Column) -> Column:
         return F.concat(F.lit("(?i)"), X.word_pattern(t))
@@ -109,12 +113,12 @@ def leak_flags(description: Column, log_texts: Column, owner: Column) -> dict[st
     owned = F.array_union(F.array(owner), F.concat(
         _family("REPO"), _family("PKG"), _family("METHOD"), F.transform(_family("SO"), X.soname_stem)))
     return {
-        "reponame_in_text": F.exists(F.array_union(_family("REPO"), F.array(owner)), lambda t: F.regexp_like(text, word_any_case(t))),
+        "reponame_in_text": F.exists(F.array_union(_family("REPO", "met"), F.array(owner)), lambda t: F.regexp_like(text, word_any_case(t))),
         "package_in_text": found("PKG", X.namespace_pattern),
         "file_in_text": found("PATH", X.word_pattern),
         "class_in_text": F.lit(False),
         "so_in_text": found("SO", lambda t: word_any_case(X.soname_stem(t))),
-        "patch_in_text": F.exists(_family("PATCH"), lambda t: text.contains(t)),
+        "patch_in_text": F.exists(_family("PATCH", "met"), lambda t: text.contains(t)),
         "unknown_so_in_text": T.let(known, lambda ks: F.exists(sos, lambda s: ~F.array_contains(ks, F.lower(s)))),
         "extractor_leak": T.let(owned, lambda os: F.exists(sig, lambda t: F.exists(
             os, lambda o: (o == t) | F.replace(t, F.lit("/"), F.lit(".")).contains(o)))),
@@ -131,7 +135,8 @@ def with_verdict(cases: DataFrame, description: str, logs: str, owner: str) -> D
     A case is bucketed when no error, library or class signal is left in it.
     """
     texts = F.transform(logs, lambda g: g["text"])
-    out = cases.withColumns(leak_flags(F.col(description), texts, F.col(owner)))
+    met = X.possible(X.anchored(F.col("tokens")), judged_text(F.col(description), texts))
+    out = cases.withColumn("met", met).withColumns(leak_flags(F.col(description), texts, F.col(owner))).drop("met")
     sig = L.signals(F.array_join(texts, "\n"), F.col(description))
     left = F.size(F.concat(sig["errors"], sig["libraries"], sig["classes"])) > 0
     leaks = F.lit(False)

@@ -211,7 +211,7 @@ s7 AS (SELECT *, replace(h, 'log.warn("wide panel seen again");', '<REDACTED_PAT
 
 def live_issues(spark, d):
     i = issues(spark, d).withColumns({"expected_files": mining.production_files(F.col("files")), "id": F.struct("slug", "number")})
-    i = i.where((F.col("turn") != 3) & (F.col("role") != "system"))
+    i = i.where(mining.is_minable(F.lit(True), F.col("title"), F.col("files_total"), F.col("files")))
     parts = faults.split_bodies(i.select("id", "body"))
     return mining.scrubbed(mining.with_owner_tokens(i.join(parts, "id")), ["prose", "title"], "logs")
 

@@ -194,6 +194,38 @@ def test_scrub_masks_owner_and_keeps_generic(spark):
     assert r.prose == "seen in <REDACTED_REPO>" and r.verdict == "ADMIT"
 
 
+def every_rule(c, rules):
+    return F.aggregate(rules, F.coalesce(c, F.lit("")), lambda acc, r: F.regexp_replace(acc, r["pattern"], r["mask"]))
+
+
+def test_scrub_equals_applying_every_rule(spark):
+    rnd = random.Random(5)
+    parts = ["com", "acme", "Foo", "foo", "REDACTED_PATH", "SRC", "é", "x1", "_y", "\u212a"]
+    glue = [".", "/", " ", "", "<", ">", "(", "\n", "-", ":"]
+
+    def words(n):
+        return "".join(rnd.choice(parts) + rnd.choice(glue) for _ in range(n))
+
+    def token(text):
+        at = rnd.randrange(len(text))
+        return rnd.choice([words(rnd.randint(1, 4)), text[at:at + rnd.randint(1, 20)]]) + rnd.choice(["", "", ".so", "bar"])
+
+    families = ["PKG", "SO", "PATH", "METHOD", "REPO", "PATCH"]
+    texts = [words(30) for _ in range(300)]
+    rows = [(i, t if i else None, [(rnd.choice(families), token(t)) for _ in range(12)]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, t string, tokens array<struct<family:string,token:string>>").withColumn("rules", X.redactions(F.col("tokens")))
+    got = df.select("t", X.scrub(F.col("t"), F.col("rules")).alias("a"), every_rule(F.col("t"), F.col("rules")).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and got[0].a == "" and sum(r.a != r.t for r in got) > 200
+
+
+def test_rules_of_absent_tokens_are_left_out(spark, one):
+    tokens = F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.struct(
+        F.element_at(F.array(*[F.lit(f) for f in ("PKG", "SO", "PATH", "METHOD", "REPO", "PATCH")]), (i % 6 + 1).cast("int")).alias("family"),
+        F.concat(F.lit("org.Absent"), i, F.lit(".end")).alias("token")))
+    left = one(X.possible(X.redactions(tokens), F.lit("at org.Absent6.end.run(File.java:3) and Absent11 end")))
+    assert {r.anchor for r in left} == {None, "absent6", "absent11"}
+
+
 def test_unknown_library_rejects_and_prose_buckets(spark):
     assert scrub_one(spark, "x", "libstrange.so died").verdict == "REJECT"
     assert scrub_one(spark, "only words", "more words").verdict == "BUCKET_PROSE_ONLY"
