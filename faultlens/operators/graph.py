@@ -24,7 +24,7 @@ def dependency_graph(components: DataFrame) -> DataFrame:
     return edges.join(known, "dst", "left_semi").select("src", "dst")
 
 
-def _trim(edges: DataFrame, rounds: int = 2) -> DataFrame:
+def _trim(edges: DataFrame, rounds: int = 1) -> DataFrame:
     """Drop edges that cannot lie on a cycle: their source has no way in or their target no way out."""
     for _ in range(rounds):
         edges = cut(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(
@@ -32,31 +32,99 @@ def _trim(edges: DataFrame, rounds: int = 2) -> DataFrame:
     return edges
 
 
+def _followed(single: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pointer doubling over (id, to), where ids are distinct: (id, to, steps, least) and the table of each round.
+
+    A pointer stops at an id that is no row of `single`; steps counts the hops to it and least is the smallest id passed. Where pointers run
+    in a circle they stop after as many hops as there are rows, still inside `single`. Rounds are the logarithm of the longest chain.
+    """
+    at = cut(single.select("id", "to", F.lit(1).cast("long").alias("steps"), F.col("id").alias("least")))
+    rows, tables, hops = at.count(), [at], 1
+    while True:
+        ahead = at.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.col("least").alias("_least"))
+        hop = cut(at.join(ahead, "to", "left").select(
+            "id", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+            F.least("least", "_least").alias("least"), F.col("_to").isNotNull().alias("moved")))
+        if hop.where("moved").isEmpty():
+            return at, tables
+        hops, at = 2 * hops, hop.drop("moved")
+        if hops >= rows:
+            return at, tables
+        tables.append(at)
+
+
+def _single(edges: DataFrame) -> DataFrame:
+    """(id, to) of the sources with one edge only; edges are distinct."""
+    return edges.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("to"), F.count("*").alias("_n")).where("_n = 1").select("id", "to")
+
+
+WORTH = 8  # contraction goes on while at least one edge of so many starts at a node with no other
+
+
 def cycle_groups(edges: DataFrame) -> DataFrame:
     """(id, label) of every node in a strongly connected group of two or more; label is its least id.
 
+    Chains are contracted first, in rounds of the logarithm of their length: a node with one edge lies in the group of the node its
+    chain ends at if an edge from that group enters the chain at or before it, and circles of such nodes are groups of their own.
+    """
+    found = _groups(_trim(cut(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()), 2), 0)
+    least = found.groupBy("name").agg(F.min("id").alias("label"), F.count("*").alias("_n")).where("_n > 1").select("name", "label")
+    return cut(found.join(least, "name").select("id", "label"))
+
+
+def _groups(edges: DataFrame, deep: int) -> DataFrame:
+    """(id, name) of the nodes on cycles of distinct, trimmed edges; a group's name is the id of one member."""
+    if deep > MAX_ROUNDS:
+        raise RuntimeError(f"chains not contracted after {MAX_ROUNDS} rounds")
+    single = cut(_single(edges))
+    n = edges.count()
+    if n == 0 or single.count() * WORTH < n:
+        return _spread_groups(edges)
+    at, tables = _followed(single)
+    ids = single.select("id")
+    circles = at.join(ids.select(F.col("id").alias("to")), "to", "left_semi")
+    on = circles.select(F.col("to").alias("id")).distinct()
+    around = circles.join(on, "id", "left_semi").select("id", F.col("least").alias("name"))
+    ends = at.join(ids.select(F.col("id").alias("to")), "to", "left_anti").select(F.col("id").alias("dst"), F.col("to").alias("end"))
+    branch = edges.join(ids.select(F.col("id").alias("src")), "src", "left_anti")
+    # an edge into a chain that runs into a circle leads to no end and so back to no branch
+    led = branch.join(ids.select(F.col("id").alias("dst"), F.lit(True).alias("_chain")), "dst", "left").join(ends, "dst", "left")
+    led = cut(led.where(F.col("_chain").isNull() | F.col("end").isNotNull()).select("src", "dst", F.coalesce("end", "dst").alias("end")))
+    inner = _groups(_trim(cut(led.where(F.col("src") != F.col("end")).select("src", F.col("end").alias("dst")).distinct())), deep + 1)
+    loops = led.where(F.col("src") == F.col("end")).select(F.col("src").alias("id")).distinct()
+    named = cut(inner.unionByName(loops.join(inner, "id", "left_anti").select("id", F.col("id").alias("name"))))
+    enters = led.where(F.col("dst") != F.col("end")).join(named.select(F.col("id").alias("src"), F.col("name").alias("_s")), "src").join(
+        named.select(F.col("id").alias("end"), "name"), "end").where(F.col("_s") == F.col("name"))
+    marks = cut(enters.select(F.col("dst").alias("id"), "name").distinct())
+    for t in [] if marks.isEmpty() else tables:
+        onward = marks.join(t.select("id", "to"), "id").select(F.col("to").alias("id"), "name")
+        marks = cut(marks.unionByName(onward.join(ids, "id", "left_semi")).distinct())
+    return cut(named.unionByName(marks).unionByName(around))
+
+
+def _spread_groups(edges: DataFrame) -> DataFrame:
+    """(id, name) of the nodes on cycles, by labels that spread over all edges.
+
     Each round spreads, inside every open part, the least id that reaches a node (f) and the least id
     a node reaches (b). f = b names a group. Nodes of one group always share (f, b), so edges between
     different pairs are dropped and the parts shrink until no edge is left.
     """
-    open_edges = _trim(cut(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()))
-    done = None
-    rounds = 0
+    open_edges, done, rounds = edges, None, 0
     while not open_edges.isEmpty():
         rounds += 1
         if rounds > MAX_ROUNDS:
             raise RuntimeError(f"cycle groups not complete after {MAX_ROUNDS} rounds")
         state = _spread_labels(open_edges)
-        found = state.where(F.col("f") == F.col("b")).select("id", F.col("f").alias("label"))
+        found = state.where(F.col("f") == F.col("b")).select("id", F.col("f").alias("name"))
         done = found if done is None else done.unionByName(found)
         rest = state.where(F.col("f") != F.col("b"))
         a = rest.select(F.col("id").alias("src"), F.struct("f", "b").alias("sp"))
         z = rest.select(F.col("id").alias("dst"), F.struct("f", "b").alias("dp"))
         open_edges = _trim(cut(open_edges.join(a, "src").join(z, "dst").where(F.col("sp") == F.col("dp")).select("src", "dst")))
     if done is None:
-        return edges.select(F.col("src").alias("id"), F.col("src").alias("label")).limit(0)
-    sizes = done.groupBy("label").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("label")
-    return cut(done.join(sizes, "label", "left_semi").select("id", "label"))
+        return edges.select(F.col("src").alias("id"), F.col("src").alias("name")).limit(0)
+    sizes = done.groupBy("name").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("name")
+    return cut(done.join(sizes, "name", "left_semi").select("id", "name"))
 
 
 def _label_hop(edges: DataFrame, state: DataFrame) -> DataFrame:

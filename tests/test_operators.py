@@ -366,10 +366,34 @@ def test_deep_module_chain_and_lost_modules(spark):
 
 
 def test_cycle_groups_never_stop_early(spark, monkeypatch):
-    edges = [(i, i + 1) for i in range(9)] + [(9, 0)]
+    pairs = [(i, j) for i in range(10) for j in ((i + 1) % 10, (i + 2) % 10)]  # no chains to contract
     monkeypatch.setattr(graph, "MAX_ROUNDS", 2)
     with pytest.raises(RuntimeError):
-        graph.cycle_groups(spark.createDataFrame(edges, "src long, dst long"))
+        graph.cycle_groups(spark.createDataFrame(pairs, "src long, dst long"))
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    seen = []
+    monkeypatch.setattr(graph, "cut", lambda df: seen.append(1) or session.cut(df))
+    return seen
+
+
+def chain_and(spark, n, *pairs):
+    return spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.createDataFrame(pairs, "src long, dst long"))
+
+
+def test_long_circle_takes_few_rounds(spark, rounds):
+    got = graph.cycle_groups(chain_and(spark, 10_000, (9999, 0)))
+    assert got.count() == 10_000 and got.select("label").distinct().collect() == [(0,)] and len(rounds) < 40
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_contracted_groups_equal_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    edges = {(i, rnd.randrange(40)) for i in range(40)} | {(rnd.randrange(40), rnd.randrange(40)) for _ in range(seed * 3)}
+    e = spark.createDataFrame(sorted(edges), "src long, dst long")
+    assert {r.id: r.label for r in graph.cycle_groups(e).collect()} == tarjan_groups(40, edges)
 
 
 def test_places_go_to_the_catalog_alone(spark):
