@@ -10,7 +10,7 @@ from faultlens import fixed_values as V
 from faultlens.functions import logs as L
 from faultlens.functions import text as T
 from faultlens.operators.lexical import top_k
-from faultlens.session import cut, join_sized
+from faultlens.session import cut, join_large, join_sized
 
 
 def log_lines(attachments: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def crash_frames(files: DataFrame, symbols: DataFrame, limit: int = 3) -> DataFr
     by_tail = named.select("repo", "uid", "name", F.explode(F.transform(
         F.sequence(F.lit(1), F.length(tail)), lambda i: F.substring(tail, i, F.length(tail)))).alias("base"))
     wanted = picked.select("repo", "base", F.col("_p.class").alias("cls")).distinct()
-    found = join_sized(by_tail, wanted, ["repo", "base"]).where(F.col("name") != F.col("cls"))
+    found = join_large(by_tail, wanted, ["repo", "base"]).where(F.col("name") != F.col("cls"))
     first = found.groupBy("repo", "base", "cls").agg(F.min_by("name", "uid").alias("method"))
     fixed = F.array(*[F.lit(m) for m in ("<init>", "run", "process", "onEvent")])
     spare = F.get(fixed, T.stable_pick(F.concat_ws("#", F.col("case_id").cast("string"), "file"), 4))

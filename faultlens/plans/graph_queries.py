@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from faultlens import fixed_values as V
 from faultlens.operators import graph
 from faultlens.plans import tables as D
+from faultlens.session import join_large
 
 QUERIES, ORACLE = {}, {}
 
@@ -56,7 +57,7 @@ def calls(spark, d):
     callee = (F.when(v == 0, F.col("t_id")).when(v == 1, F.col("t_qn")).when(v == 2, D.cat("=X::", "t_name"))
               .when(v == 3, D.cat("=P", "l_suppkey", "=.", "t_name")).when(v == 4, F.col("t_name")).when(v == 5, "java.util.List")
               .when(v == 6, "std::vector").when(v == 7, "org.other.Thing.run").otherwise("ASSERT_OK"))
-    return li.join(src, "l_partkey").join(dst, "l_suppkey").select("caller", callee.alias("callee"), "pos")
+    return join_large(join_large(li, src, ["l_partkey"]), dst, ["l_suppkey"]).select("caller", callee.alias("callee"), "pos")
 
 
 CALL_SQL = f"""{FUNC_SQL},
@@ -148,7 +149,7 @@ def component_edges(spark, d):
     dst = f.select(F.col("k").alias("l_suppkey"), F.col("id").alias("t_id"), D.cat("file_path", "=:", "name").alias("t_old"), F.col("name").alias("t_name"))
     li = D.load(spark, d, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_linenumber") % 3).alias("v")).distinct()
     callee = F.when(F.col("v") == 0, F.col("t_id")).when(F.col("v") == 1, F.col("t_old")).otherwise(F.col("t_name"))
-    named = li.join(src, "l_partkey").join(dst, "l_suppkey").select("caller", callee.alias("callee"))
+    named = join_large(join_large(li, src, ["l_partkey"]), dst, ["l_suppkey"]).select("caller", callee.alias("callee"))
     return graph.component_edges(f, named)
 
 
@@ -202,7 +203,7 @@ c AS (SELECT id FROM funcs WHERE component_type = 'class' AND NOT regexp_matches
 SELECT id FROM c WHERE (SELECT count(*) FROM c) < 400 OR id NOT IN (SELECT dst FROM e)""")
 def leaf_components(spark, d):
     f = functions(spark, d)
-    dst = D.load(spark, d, "lineitem").select(F.col("l_suppkey").alias("k")).distinct().join(f.select("k", "id"), "k").select(F.col("id").alias("dst"))
+    dst = D.load(spark, d, "lineitem").select(F.col("l_suppkey").alias("k")).distinct().join(f.select("k", "id").hint("merge"), "k").select(F.col("id").alias("dst"))
     rows = f.select("id", "component_type")
     many = graph.leaf_nodes(rows, dst, False).limit(V.LEAF_LIMIT).count() == V.LEAF_LIMIT  # then what others depend on is left out
     return graph.leaf_nodes(rows, dst, many)

@@ -113,6 +113,15 @@ def join_sized(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner
     return big.join(side, on, how)
 
 
+def join_large(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join with a side that grows with the input: both sides are shuffled.
+
+    Planned sizes come from compressed files and fixed widths per column, so strings built from a table of a few MB would be broadcast
+    at hundreds of MB through the driver.
+    """
+    return big.join(side.hint("merge"), on, how)
+
+
 def with_ordinal(df: DataFrame, order: list, name: str = "ordinal") -> DataFrame:
     """1-based position in a total order, without one task seeing all rows.
 
