@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions import text as T
 from faultlens.operators.lexical import top_k
-from faultlens.session import join_sized
+from faultlens.session import cut, join_large, join_sized
 
 
 def module_lut(entries: DataFrame) -> DataFrame:
@@ -68,6 +68,8 @@ def module_docs(docs: DataFrame) -> DataFrame:
 def file_docs(files: DataFrame, entries: DataFrame, docs: DataFrame, max_chars: int | None = None, max_files: int | None = None) -> DataFrame:
     """(case_id, block) rows: the (first) files of a case with their module's document, equal documents once.
 
+    Files meet a digest of the document; its text joins last and is not shuffled with them.
+
     files is (case_id, repo, pos, file); entries is (repo, ord, module, file). A file is looked up by
     its path, then by its basename.
     """
@@ -80,10 +82,12 @@ def file_docs(files: DataFrame, entries: DataFrame, docs: DataFrame, max_chars:
     hit = join_sized(picked.withColumn("key", F.col("file")), lut, ["repo", "key"], "left").withColumnRenamed("module", "m1").drop("key")
     hit = join_sized(hit.withColumn("key", T.basename(F.col("file"))), lut, ["repo", "key"], "left")
     named = hit.withColumn("module", F.coalesce("m1", "module")).where(F.col("module").isNotNull())
-    texts = join_sized(named, module_docs(docs), ["repo", "module"]).withColumn("doc", F.trim("doc")).where(F.col("doc") != "")
-    once = texts.groupBy("case_id", "doc").agg(F.min(F.struct("pos", "file")).alias("f"))
-    return once.select("case_id", F.col("f.pos").alias("pos"), F.concat(
-        F.lit("## "), "f.file", F.lit("\n"), T.first_chars(F.col("doc"), max_chars)).alias("block"))
+    texts = module_docs(docs).withColumn("doc", F.trim("doc")).where(F.col("doc") != "")
+    texts = cut(texts.select("repo", "module", F.sha2("doc", 256).alias("digest"), T.first_chars(F.col("doc"), max_chars).alias("head")))
+    same = join_sized(named, texts.select("repo", "module", "digest"), ["repo", "module"])
+    once = same.groupBy("case_id", "digest").agg(F.min(F.struct("pos", "file", "repo", "module")).alias("f"))
+    return join_large(once.select("case_id", "f.*"), texts.drop("digest"), ["repo", "module"]).select(
+        "case_id", "pos", F.concat(F.lit("## "), "file", F.lit("\n"), "head").alias("block"))
 
 
 def symbol_context(symbols: DataFrame, snippets: DataFrame, edges: DataFrame, max_chars: int | None = None, max_symbols: int | None = None,
