@@ -197,8 +197,5 @@ INCLUDE_GLOBS = (
 
 # fixed values: light symbol index and profile limits
 LITE_EXTENSIONS = ".java .kt .cpp .cc .cxx .c .h .hpp .mm".split()
-LITE_MAX_FILES = 6000
-PROFILE_MAX_CHUNKS = 120
-PROFILE_README_CHARS = 4000
 PROFILE_SKIP = [".git", "build", "node_modules"]
 UNPINNED = "PIN_AT_CLONE"

@@ -99,8 +99,10 @@ def code_files(files: DataFrame, languages: list[str] | None = None) -> DataFram
 def lite_units(files: DataFrame, max_files: int | None = None) -> DataFrame:
     """Package, type and soname units of source files(repo, path, text); the first file wins per name. max_files keeps a repo's first files only."""
     source = files.where(T.ends_any(F.col("path"), V.LITE_EXTENSIONS))
-    first = top_k(source.select("repo", "path"), max_files, ["repo"], [F.col("path")]).drop("rank")
-    src = source.join(first, ["repo", "path"], "left_semi")
+    src = source
+    if max_files is not None:
+        first = top_k(source.select("repo", "path"), max_files, ["repo"], [F.col("path")]).drop("rank")
+        src = source.join(first, ["repo", "path"], "left_semi")
     package = F.nullif(F.regexp_extract("text", r"(?m)^\s*package\s+([\w.]+)", 1), F.lit(""))
     types = T.groups(F.col("text"), r"\b(?:class|interface|object|enum|struct)\s+([A-Z][A-Za-z0-9_]+)")
     sonames = T.groups(F.col("text"), r"\b(lib[A-Za-z0-9_]+\.so)\b")
