@@ -6,64 +6,73 @@ engine's convention: lower is better, corpus statistics are global and filters a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from faultlens import fixed_values as V
 from faultlens.functions import text as T
-from faultlens.session import join_sized, salted_join, small, spread
+from faultlens.session import cut, join_sized, salted_join, scratch_path, small, spread
+
+PAIRS = 2_000_000  # meetings of a query's term with a unit that one task adds up
+OWN_TERMS = 8  # at most so many of a query's rarest terms are looked up for it alone
 
 
 @dataclass(frozen=True)
 class Index:
-    """Units and their postings(uid, term, len, tf): with one ALL_DOCS row per unit, or beside the corpus row (n, avg_len) of a stored index."""
+    """Units and their postings(uid, repo, kind, term, len, tf), with one ALL_DOCS row per unit."""
 
     units: DataFrame
     postings: DataFrame
-    corpus: DataFrame | None = None
 
 
 ALL_DOCS = ""  # pseudo-term carried by every unit, so one pass yields postings and corpus statistics
 
 
-def _tokens(units: DataFrame) -> DataFrame:
-    """(uid, len, term) of every token plus one ALL_DOCS row per unit."""
-    indexed = F.concat_ws(" ", "name", "qualified_name", "text")
-    terms = spread(units).select("uid", T.index_terms(indexed).alias("terms"))
-    return (terms.select("uid", F.size("terms").alias("len"),
-                         F.explode(F.concat(F.array(F.lit(ALL_DOCS)), "terms")).alias("term"))
-            .where(F.col("uid").isNotNull() & F.col("term").isNotNull()))
+def _counted(terms: Column) -> Column:
+    """(term, tf) of an array's distinct members: counted in their sorted order, within the row."""
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        return T.let(starts, lambda at: F.transform(at, lambda b, j: F.struct(
+            F.element_at(s, b).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s) + 1) - b).cast("long").alias("tf"))))
+    return T.let(F.sort_array(terms), runs)
 
 
 def build_index(units: DataFrame, vocabulary: DataFrame | None = None) -> Index:
     """Postings of all terms, or only of a vocabulary(term) when the queries are known up front.
 
-    Restricting the vocabulary happens before the shuffle, so only matching tokens move. Tokens are
-    placed by uid once; document frequencies, corpus statistics and scoring all read that one
-    exchange, and the per-(query, unit) sum needs no other.
+    A unit's terms are counted within its row and restricted to the vocabulary before anything is shuffled. uid is the units' key.
     """
-    tokens = _tokens(units)
+    indexed = F.concat_ws(" ", "name", "qualified_name", "text")
+    terms = spread(units).where(F.col("uid").isNotNull()).select("uid", "repo", "kind", T.index_terms(indexed).alias("terms"))
+    counted = terms.select("uid", "repo", "kind", F.size("terms").alias("len"), _counted(F.concat(F.array(F.lit(ALL_DOCS)), "terms")).alias("terms"))
+    postings = counted.select("uid", "repo", "kind", "len", F.explode("terms").alias("t")).select("uid", "repo", "kind", "t.term", "len", "t.tf")
     if vocabulary is not None:
         words = vocabulary.select("term").distinct()
         everyone = words.sparkSession.range(1).select(F.lit(ALL_DOCS).alias("term"))
         words = words.unionByName(everyone)
-        tokens = tokens.join(F.broadcast(words) if small(words) else words, "term", "left_semi")
-    postings = tokens.repartition("uid").groupBy("uid", "term", "len").agg(F.count("*").alias("tf"))
+        postings = postings.join(F.broadcast(words) if small(words) else words, "term", "left_semi")
     return Index(units, postings)
 
 
+def written(index: Index) -> Index:
+    """The index with its postings in the shared folder, so that several passes tokenise once."""
+    path = scratch_path(index.postings.sparkSession, "postings")
+    index.postings.write.parquet(path)
+    return replace(index, postings=index.postings.sparkSession.read.schema(index.postings.schema).parquet(path))
+
+
 def term_weights(index: Index) -> DataFrame:
-    """idf per term from the whole corpus; terms without positive weight get the floor."""
+    """(term, df, avg_len, idf) from the whole corpus; terms without positive weight get the floor."""
     freq = index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("total_len"))
     everyone = F.col("term") == ALL_DOCS
-    corpus = index.corpus if index.corpus is not None else freq.agg(
-        F.max(F.when(everyone, F.col("df"))).alias("n"), F.max(F.when(everyone, F.col("total_len") / F.col("df"))).alias("avg_len"))
+    corpus = freq.agg(F.max(F.when(everyone, F.col("df"))).alias("n"), F.max(F.when(everyone, F.col("total_len") / F.col("df"))).alias("avg_len"))
     stats = freq.withColumn("one", F.lit(1)).join(F.broadcast(corpus.withColumn("one", F.lit(1))), "one")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return stats.select("term", "avg_len", F.when(idf > 0, idf).otherwise(F.lit(V.BM25_MIN_IDF)).alias("idf"))
+    return stats.select("term", "df", "avg_len", F.when(idf > 0, idf).otherwise(F.lit(V.BM25_MIN_IDF)).alias("idf"))
 
 
 def query_vocabulary(queries: DataFrame) -> DataFrame:
@@ -71,17 +80,78 @@ def query_vocabulary(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(T.query_terms(F.col("query"))).alias("term"))
 
 
-def bm25(index: Index, terms: DataFrame) -> DataFrame:
-    """(qid, uid, score) of every unit matching any term of a query; terms is (qid, term)."""
-    weights = term_weights(index)
-    if small(terms):  # then the weights of those terms are small too
-        weighted = terms.join(weights, "term")
-        hits = index.postings.join(F.broadcast(weighted), "term")
-    else:
-        hits = salted_join(index.postings, salted_join(terms, weights, ["term"]), ["term"])
+def _part() -> Column:
+    """What a posting adds to a score."""
     norm = V.BM25_K1 * (F.lit(1 - V.BM25_B) + V.BM25_B * F.col("len") / F.col("avg_len"))
-    part = F.col("idf") * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + norm)
-    return hits.groupBy("qid", "uid").agg(F.round(-F.sum(part), 9).alias("score"))
+    return F.col("idf") * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + norm)
+
+
+def bm25(postings: DataFrame, weighted: DataFrame) -> DataFrame:
+    """(qid, uid, repo, score) of every unit matching any term of a query; weighted is (qid, term, avg_len, idf[, repo]).
+
+    A query with a repo meets only that repo's postings. Postings are dealt by unit over as many tasks as keep about PAIRS meetings in each.
+    """
+    on = ["term", "repo"] if "repo" in weighted.columns else ["term"]
+    asked = weighted.groupBy(*on).agg(F.count("*").alias("_asked"))
+    met = postings.groupBy(*on).agg(F.count("*").alias("_n")).join(asked, on).agg(F.sum(F.col("_n") * F.col("_asked"))).first()[0] or 0
+    tasks = max(postings.sparkSession.sparkContext.defaultParallelism, math.ceil(met / PAIRS))
+    if small(weighted):
+        hits = postings.repartition(tasks, "uid").join(F.broadcast(weighted), on)
+    else:
+        hits = salted_join(postings, weighted, on).repartition(tasks, "uid")
+    return hits.groupBy("qid", "uid", "repo").agg(F.round(-F.sum(_part()), 9).alias("score"))
+
+
+def _split(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """(qid, scope, t, own, rest) of rows(qid, scope, term, df): a query's (df, term) in rising order, how many of them are looked up for it alone,
+    and the name of what is left, which queries may share.
+
+    Of the first OWN_TERMS cuts the one is taken that meets the fewest units, those of shared terms being divided by the queries that share them.
+    """
+    lists = cut(rows.groupBy("qid", *scope).agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("t")))
+
+    def total(c: Column) -> Column:
+        return F.aggregate(c, F.lit(0.0), lambda s, x: s + x["df"])
+    cuts = lists.select("qid", *scope, "t", F.explode(F.sequence(F.lit(0), F.least(F.size("t"), F.lit(OWN_TERMS)))).alias("own"))
+    left = F.slice("t", F.col("own") + 1, F.size("t"))
+    named = cuts.select("qid", *scope, "own", F.sha1(F.array_join(F.transform(left, lambda x: x["term"]), "\0")).alias("rest"),
+                        (total(F.slice("t", 1, F.col("own"))) * F.size("t")).alias("alone"), total(left).alias("common"))
+    shares = named.groupBy("rest", *scope).agg(F.count("*").alias("_by"))
+    priced = join_sized(named, shares, ["rest", *scope])
+    best = priced.groupBy("qid", *scope).agg(F.min_by(F.struct("own", "rest"), F.struct(F.col("alone") + F.col("common") / F.col("_by"), "own")).alias("b"))
+    return lists.join(best, ["qid", *scope]).select("qid", *scope, "t", "b.own", "b.rest")
+
+
+def _best(index: Index, terms: DataFrame, k: int | None, repos: list[str] | None = None, kinds: list[str] | None = None, by_repo: bool = False) -> DataFrame:
+    """The k best units (qid, uid, repo, score, rank) per query, or per query and repo, of terms(qid, term[, repo]).
+
+    A query's rarest terms are looked up for it alone, and the units that hold one are scored in full; what queries have in common beyond those
+    is searched once for all of them. Every unit of the result is among the former or among the k best of the latter: a unit without own terms
+    scores the same there, and whatever is ahead of it there is ahead of it in the whole.
+    """
+    scope = ["repo"] if "repo" in terms.columns else []
+    by = ["qid", "repo"] if by_repo else ["qid"]
+    order = [F.col("score"), F.col("uid")]
+    index = written(index)
+    weights = cut(join_sized(term_weights(index), terms.select("term").distinct(), ["term"], "left_semi"))
+    postings = filter_units(index.postings.where(F.col("term") != ALL_DOCS), repos, kinds)
+    rows = cut(join_sized(terms, weights, ["term"]))
+    if k is None:
+        return top_k(bm25(postings, rows.drop("df")), None, by, order)
+    parts = cut(_split(rows, scope))
+    weights = weights.drop("df")
+    rest = parts.where(F.col("own") < F.size("t"))
+    sets = rest.groupBy("rest", *scope).agg(F.min_by(F.slice("t", F.col("own") + 1, F.size("t")), "qid").alias("t"))
+    asked = cut(join_sized(sets.select(F.col("rest").alias("qid"), *scope, F.explode("t.term").alias("term")), weights, ["term"]))
+    shared = cut(top_k(bm25(postings, asked), k, ["qid", "repo"] if scope else by, order).drop("rank"))
+    on = ["rest", *(["repo"] if scope else [])]
+    found = join_sized(rest.select("qid", *on), shared.withColumnRenamed("qid", "rest"), on).select("qid", "uid", "repo", "score")
+    own = parts.where("own > 0").select("qid", *scope, F.explode(F.slice("t.term", F.lit(1), F.col("own"))).alias("term"))
+    held = salted_join(postings, own, ["term", *scope]).select("qid", "uid").distinct()
+    wanted = held.join(rows.join(parts.where("own > 0").select("qid"), "qid", "left_semi").drop("df", *scope), "qid")
+    full = wanted.join(postings, ["uid", "term"]).groupBy("qid", "uid", "repo").agg(F.round(-F.sum(_part()), 9).alias("score"))
+    both = found.unionByName(full.select("qid", "uid", "repo", "score")).groupBy("qid", "uid", "repo").agg(F.min("score").alias("score"))
+    return top_k(both, k, by, order)
 
 
 def top_k(scored: DataFrame, k: int | None, by: list, order: list, name: str = "rank") -> DataFrame:
@@ -96,16 +166,13 @@ def keyword_search(index: Index, queries: DataFrame, k: int = 20, repos: list[st
     """Best k units per query(qid, query): (qid, uid, repo, kind, file, score, rank).
 
     repos / kinds filter the units after scoring, an empty list is no filter. scope names a column of
-    queries holding the one repo a query may see.
+    queries holding the one repo a query may see, whose postings alone it meets.
     """
     terms = query_vocabulary(queries)
-    scored = bm25(index, terms)
-    units = filter_units(index.units, repos, kinds).select("uid", "repo", "kind", "file")
-    scored = scored.join(units, "uid")
     if scope:
-        allowed = queries.select("qid", F.col(scope).alias("_scope"))
-        scored = join_sized(scored, allowed, ["qid"]).where(F.col("repo") == F.col("_scope")).drop("_scope")
-    return top_k(scored, k, ["qid"], [F.col("score"), F.col("uid")])
+        terms = join_sized(terms, queries.select("qid", F.col(scope).alias("repo")), ["qid"])
+    hits = cut(_best(index, terms, k, repos, kinds))
+    return hits.drop("repo").join(filter_units(index.units, repos, kinds).select("uid", "repo", "kind", "file"), "uid")
 
 
 def filter_units(units: DataFrame, repos: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
@@ -121,15 +188,17 @@ def token_hits(units: DataFrame, tokens: DataFrame, k: int = V.TOKEN_TOP_K, cata
     """Best k units of every distinct token: (token, uid, repo, kind, file, score, rank).
 
     Equal tokens of different cases are searched once. With catalogs(cat, repo), tokens is (token, cat) and the k best are those within the
-    token's catalog: every token is scored once, hits are then kept by (catalog, repo), and cut last. Result rows carry cat.
+    token's catalog: every token is searched once, its k best of each repo are kept and meet the catalogs, which cut last. Result rows carry cat.
     """
     asked = tokens.select("token").distinct().select(F.col("token").alias("qid"), F.col("token").alias("query"))
     index = build_index(units, query_vocabulary(asked))
     if catalogs is None:
         return keyword_search(index, asked, k).withColumnRenamed("qid", "token")
-    scored = bm25(index, query_vocabulary(asked)).join(units.select("uid", "repo", "kind", "file"), "uid").withColumnRenamed("qid", "token")
-    within = join_sized(scored, tokens.select("token", "cat").distinct(), ["token"]).join(catalogs.select("cat", "repo").distinct(), ["cat", "repo"], "left_semi")
-    return top_k(within, k, ["token", "cat"], [F.col("score"), F.col("uid")])
+    fleet = catalogs.select("cat", "repo").distinct()
+    hits = cut(_best(index, query_vocabulary(asked), k, by_repo=True).drop("rank").withColumnRenamed("qid", "token"))
+    catted = join_sized(tokens.select("token", "cat").distinct(), fleet, ["cat"])
+    best = top_k(join_sized(hits, catted, ["token", "repo"]), k, ["token", "cat"], [F.col("score"), F.col("uid")])
+    return best.drop("repo").join(units.select("uid", "repo", "kind", "file"), "uid")
 
 
 def search(units: DataFrame, queries: DataFrame, k: int = 20, **filters) -> DataFrame:
