@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from faultlens import fixed_values as V
 from faultlens.functions import logs as L
 from faultlens.functions import text as T
-from faultlens.operators import faults, grading, ranking, vectors
+from faultlens.operators import faults, grading, ranking
 from faultlens.plans import tables as D
-from faultlens.plans.vector_queries import rounded, sql_vec_ranking, sql_near, vec_cases, vec_ranking, vec_units
+from faultlens.plans.vector_queries import ranked, rounded, sql_near, sql_vec_ranking, vec_hits
 from faultlens.session import spread
 
 QUERIES, ORACLE = {}, {}
@@ -302,10 +302,8 @@ pr AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, re
 
 
 def prose_of(spark, d):
-    units, cases = vec_units(spark, d), vec_cases(spark, d)
-    cands = ranking.candidates(cases, units.select("repo").distinct())
-    hits = vectors.case_hits(units, cases, V.VECTOR_TOP_K, skip_self=True, cands=cands)
-    logs = vec_ranking(spark, d, 10)
+    hits, cands = vec_hits(spark, d, V.VECTOR_TOP_K)
+    logs = ranked(hits, cands, 10)
     return ranking.prose_ranking(hits, cands, logs), logs
 
 

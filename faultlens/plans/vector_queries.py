@@ -10,6 +10,7 @@ from faultlens.functions import text as T
 from faultlens.operators import fusion, grading, lexical, ranking, vectors
 from faultlens.plans import tables as D
 from faultlens.plans.lexical_queries import SCOPE_SQL, owner_ranking_of, scoped_queries
+from faultlens.session import cut
 
 QUERIES, ORACLE = {}, {}
 
@@ -72,10 +73,20 @@ def sql_vec_ranking(k: int, name: str) -> str:
   LEFT JOIN {name}_near n ON n.case_id = c.case_id AND n.repo = r.repo GROUP BY c.case_id, r.repo)"""
 
 
-def vec_ranking(spark, d, k: int):
+def vec_hits(spark, d, k: int):
+    """The k best hits of each case, and its candidates."""
     units, cases = vec_units(spark, d), vec_cases(spark, d)
     cands = ranking.candidates(cases, units.select("repo").distinct())
-    return ranking.vector_ranking(vectors.case_hits(units, cases, k, skip_self=True, cands=cands), cands)
+    return vectors.case_hits(units, cases, k, skip_self=True, cands=cands), cands
+
+
+def ranked(hits, cands, k: int):
+    """The ranking by the first k hits of each case: hits of a search for more hold them."""
+    return cut(ranking.vector_ranking(hits.where(F.col("rank") <= k), cands))
+
+
+def vec_ranking(spark, d, k: int):
+    return ranked(*vec_hits(spark, d, k), k)
 
 
 @query("vector_owner_ranking", f"WITH {sql_vec_ranking(50, 'r')} SELECT case_id, repo, round(score, 6) AS score, rank FROM r")
@@ -128,8 +139,9 @@ def vec_labels(spark, d):
 
 def vec_records(spark, d):
     margin, score = V.TAU_SEMANTIC
-    rounded = {k: vec_ranking(spark, d, k) for k in (50, 10)}
-    return ranking.run_arms({"semantic": (rounded[50], margin - 5e-10, score), "semantic_narrow": (rounded[10], margin - 5e-10, score)})
+    hits, cands = vec_hits(spark, d, 50)
+    arms = {"semantic": ranked(hits, cands, 50), "semantic_narrow": ranked(hits, cands, 10)}
+    return ranking.run_arms({arm: (rows, margin - 5e-10, score) for arm, rows in arms.items()})
 
 
 def vec_graded(spark, d):
