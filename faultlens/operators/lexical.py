@@ -49,7 +49,8 @@ def build_index(units: DataFrame, vocabulary: DataFrame | None = None) -> Index:
     indexed = F.concat_ws(" ", "name", "qualified_name", "text")
     terms = spread(units).where(F.col("uid").isNotNull()).select("uid", "repo", "kind", T.index_terms(indexed).alias("terms"))
     counted = terms.select("uid", "repo", "kind", F.size("terms").alias("len"), _counted(F.concat(F.array(F.lit(ALL_DOCS)), "terms")).alias("terms"))
-    postings = counted.select("uid", "repo", "kind", "len", F.explode("terms").alias("t")).select("uid", "repo", "kind", "t.term", "len", "t.tf")
+    # explode() would count once more, to leave out empty arrays; none is empty here
+    postings = counted.select("uid", "repo", "kind", "len", F.explode_outer("terms").alias("t")).select("uid", "repo", "kind", "t.term", "len", "t.tf")
     if vocabulary is not None:
         words = vocabulary.select("term").distinct()
         everyone = words.sparkSession.range(1).select(F.lit(ALL_DOCS).alias("term"))

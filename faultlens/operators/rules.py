@@ -30,7 +30,7 @@ def fired(ctx: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct (ctx_id, rule_id) of rules(rule_id, key, value) that hold in a context (ctx_id, repo, text, families...).
 
     Texts and tokens meet an index of the rules' rarest grams by their words; only what meets is verified, and all of it in the JVM. `all_text`
-    needs all of its distinct values. Values are compared in lower case with texts as they are and tokens in lower case. Unknown keys fail the job.
+    needs all of its distinct values: the rarest is looked for, the others where it holds. Values are compared in lower case with texts as they are and tokens in lower case. Unknown keys fail the job.
     """
     bad = F.raise_error(F.concat(F.lit("unknown predicate keys: "), F.col("key")))
     rows = cut(rules.select("rule_id", F.when(F.col("key").isin(VALID_KEYS), F.col("key")).otherwise(bad).alias("key"), F.col("value").cast("string").alias("value")))
@@ -46,15 +46,20 @@ def fired(ctx: DataFrame, rules: DataFrame) -> DataFrame:
         toks = F.transform(f, F.lower)
         fields.append(F.when(F.size(f) > 0, F.struct(F.lit(f).alias("field"), F.array_join(toks, "\0").alias("hay"), toks.alias("toks"))))
     parts = ctx.select("row", F.explode(F.array_compact(F.array(*fields))).alias("f")).select("row", "f.*")
-    held = matching.matches(parts, clauses.select("field", "kind", "value")).join(clauses.select("id", "rule_id", "key"), "id").select("row", "rule_id", "key")
-    need = clauses.where("key = 'all_text'").groupBy("rule_id").agg(F.count("*").alias("need"))
-    every = held.where("key = 'all_text'").groupBy("row", "rule_id").agg(F.count("*").alias("have")).join(need, "rule_id").where("have = need")
+    single, every = clauses.where("key <> 'all_text'"), clauses.where("key = 'all_text'")
+    every = every.join(every.where("value IS NULL").select("rule_id"), "rule_id", "left_anti")
+    held, proposed = matching.matches_and_groups(parts, single.select("field", "kind", "value"), every.select(F.col("rule_id").alias("group"), "field", "kind", "value"))
+    held = held.join(single.select("id", "rule_id"), "id").select("row", "rule_id")
+    # where the rarest value of a rule holds, the others are looked up in the text
+    opened = proposed.groupBy("row").agg(F.collect_list(F.struct("group", "others")).alias("open"))
+    whole = opened.join(parts.where("field = 'text'").select("row", "hay"), "row").select("row", F.explode_outer(F.filter(
+        "open", lambda r: F.forall(r["others"], lambda v: F.contains(F.col("hay"), v)))).alias("r")).where("r IS NOT NULL").select("row", F.col("r.group").alias("rule_id"))
     repos = rows.where("key = 'repo_in'").select("rule_id", F.lower("value").alias("name"))
     there = ctx.select("row", F.lower(F.coalesce("repo", F.lit(""))).alias("name")).join(repos, "name")
     always = rows.where("key = 'always' AND value <> 'false'").agg(F.collect_set("rule_id").alias("ids"))
     on = (ctx.select("row", F.pmod("row", F.lit(1)).cast("int").alias("zero")).join(F.broadcast(always.withColumn("zero", F.pmod(F.size("ids"), F.lit(1)))), "zero")
           .select("row", F.explode("ids").alias("rule_id")))  # one row of ids meets all
-    hits = held.where("key <> 'all_text'").select("row", "rule_id").unionByName(every.select("row", "rule_id")).unionByName(there.select("row", "rule_id")).unionByName(on).distinct()
+    hits = held.unionByName(whole).unionByName(there.select("row", "rule_id")).unionByName(on).distinct()
     return ctx.select("row", "ctx_id").join(hits, "row").select("ctx_id", "rule_id")
 
 
