@@ -3,108 +3,198 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import raw, store
+from faultlens.llm.common import store
 from faultlens.llm.substrings import text_batches
 from faultlens.session import ship, with_ordinal
 
 CAPACITY = 2048
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
-CACHED = 150_000  # pieces of text whose ids a task remembers, twice
+REMEMBERED = 64 << 20  # bytes that a task holds of pieces of text and their ids, about
+ENTRY = 200  # bytes that a remembered piece takes besides its own
+PIECES = 1 << 19  # pieces that are looked up at once
+ROWS_BYTES = 1 << 26  # of ids that a batch of rows has at most
 FILLINGS = 16  # fillings around a largest piece that are held at once
 STEPS = 1_000_000  # sets of pieces walked in all before the incumbent is taken; a filling tried counts as TRIED of them
 TRIED = 25
 
-# a blank with blank before it, and blank or nothing after: the only cut at a blank that changes the ids
-_UNSAFE = regex.compile(r"\s (?:\s|\Z)")
-_BLANKS = tuple(" " + c for c in map(chr, range(0x3001)) if c.isspace())
-
-
-def _safe(text: str) -> bool:
-    """Whether a text may be cut before every blank. Most texts have no blank before another, which is seen without the pattern."""
-    if not text.endswith(" ") and not any(b in text for b in (_BLANKS if not text.isascii() else _BLANKS[:11])):
-        return True
-    return _UNSAFE.search(text) is None
+LETTER, DIGIT, OTHER, QUOTE, SPACE, BLANK, UNSURE, ODD, NOTHING = range(9)
+# QUOTE may open 's or 'll. BLANK: tab to carriage return. UNSURE: not ASCII, no blank, and not known to be a letter. ODD: other blanks, or what some take for one.
+_CLASS = np.full(256, UNSURE, np.uint8)
+_CLASS[:128] = OTHER
+for _chars, _class in ((b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", LETTER), (b"0123456789", DIGIT), (b"'", QUOTE), (b" ", SPACE), (range(9, 14), BLANK), (range(28, 32), ODD)):
+    _CLASS[list(_chars)] = _class
+_ODD = [c.encode() for c in map(chr, range(128, 0x3001)) if c.isspace() or c == "\u180e"]
+_SOLID = np.isin(np.arange(9), (LETTER, DIGIT, OTHER, QUOTE, UNSURE))  # classes that are certainly no blank
+_CUT = np.zeros((9, 9), bool)  # classes before and after a place where ByteLevel's pattern always cuts
+_CUT[_SOLID, SPACE] = _CUT[_SOLID, BLANK] = True
+for _a, _b in ((LETTER, DIGIT), (LETTER, OTHER), (LETTER, QUOTE), (DIGIT, LETTER), (DIGIT, OTHER), (DIGIT, QUOTE), (OTHER, LETTER), (OTHER, DIGIT)):
+    _CUT[_a, _b] = True
+_PLAIN = re.compile(r" ?[^\s\u180e]+")  # pieces that a line feed parts from their neighbours and leaves as they are
+
+
+def _classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte of UTF-8 texts; Latin-1 letters are letters, further ones are UNSURE."""
+    got = _CLASS[data]
+    if (got == UNSURE).any():
+        at = np.flatnonzero(data[:-1] == 0xC3)
+        at = at[(data[at + 1] != 0x97) & (data[at + 1] != 0xB7)]
+        got[at] = got[at + 1] = LETTER
+        leads = {c[0]: np.flatnonzero(data[:1 - len(c)] == c[0]) for c in _ODD}
+        for c in _ODD:
+            at = leads[c[0]]
+            for k in range(1, len(c)):
+                at = at[data[at + k] == c[k]]
+            for k in range(len(c)):
+                got[at + k] = ODD
+    return got
+
+
+def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces of texts begin, ascending, in the bytes of texts one after another; starts: of texts that are not empty, ascending.
+
+    Only places count where ByteLevel's pattern cuts whatever stands further off, and where a piece alone is cut as in its text: between two kinds of
+    characters, before a run of blanks, before the last of a run that something follows, and after that one if it is no space.
+    """
+    here = _classes(data)
+    before, after = np.empty_like(here), np.empty_like(here)
+    before[1:], after[:-1] = here[:-1], here[1:]
+    before[starts], after[np.r_[starts[1:], len(data)] - 1] = NOTHING, NOTHING
+    cut = _CUT.ravel()[before * np.uint8(9) + here]
+    last = np.flatnonzero((here == SPACE) | (here == BLANK))
+    last = last[_SOLID[after[last]] & (before[last] != ODD)]
+    cut[last] = True
+    line = last[here[last] == BLANK]
+    cut[line + 1] = True
+    cut[starts] = True
+    return np.flatnonzero(cut)
+
+
+def gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[first:first + size] of each pair, one after another."""
+    ends = np.cumsum(size)
+    return values[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Tokens:
-    """Token ids of whole texts. Texts are cut before blanks, where the tokenizer always cuts, and the ids of a piece are remembered."""
+    """Token ids of whole texts. Texts are cut where the tokenizer always cuts, and the ids of a piece are remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
-        first = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
-        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that begin with a blank
-        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(first)]] = True
+        from tokenizers import Tokenizer, pre_tokenizers
+        t = self.tokenizer = Tokenizer.from_file(path)
+        kind = t.pre_tokenizer
+        self.cuts = (isinstance(kind, pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space
+                     and t.normalizer is None and t.truncation is None and t.padding is None)
+        self.special = [x.content for x in t.get_added_tokens_decoder().values()]
+        first = t.encode(" ", add_special_tokens=False).tokens
+        self.opens, self.lines = np.zeros((2, t.get_vocab_size()), bool)  # ids that begin with a space, and that of a line feed
+        self.opens[[i for x, i in t.get_vocab().items() if first and x.startswith(first[0])]] = True
+        self.lines[t.encode("\n", add_special_tokens=False).ids] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # piece -> its number
+        self.ids, self.ends, self.held = np.zeros(0, "<u4"), np.zeros(1, np.int64), 0  # ids of all pieces, and where those of each number end
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> Iterator[bytes]:
-        """Ids of each piece after its blank: pieces go through the tokenizer in runs, and its tokens tell where each begins."""
-        for at in range(0, len(pieces), 1024):
-            part = pieces[at:at + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            begins = np.flatnonzero(self.opens[ids])
-            if len(begins) == len(part) and not begins[0]:
-                data, ends = ids.tobytes(), (4 * np.r_[begins, len(ids)]).tolist()
-                yield from (data[a:b] for a, b in zip(ends, ends[1:]))
-            else:
-                yield from self.whole([" " + p for p in part])
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) > CACHED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        lost = []
-        for p in pieces:
-            ids = older.get(p)
-            if ids is None:
-                lost.append(p)
-            else:
-                known[p] = ids
-        plain = [p for p in lost if p and not p[0].isspace()]
-        known.update(zip(plain, self._pieces(plain)))
-        if len(plain) < len(lost):
-            odd = [p for p in lost if not p or p[0].isspace()]
-            known.update(zip(odd, self.whole([" " + p for p in odd])))
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece. Plain ones go through the tokenizer in runs, where its ids tell a space at the front, or a line feed put between, from the rest."""
+        texts = [p.decode() for p in pieces]
+        out: list[bytes | None] = [None] * len(texts)
+        runs: tuple[list[int], list[int]] = [], []
+        if self.cuts:
+            for i, t in enumerate(texts):
+                if _PLAIN.fullmatch(t):
+                    runs[t[0] != " "].append(i)
+        for plain, between, marks, skip in zip(runs, ("", "\n"), (self.opens, self.lines), (0, 1)):
+            for at in range(0, len(plain), 1024):
+                part = plain[at:at + 1024]
+                ids = np.array(self.tokenizer.encode_batch_fast([between.join([texts[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
+                begins = np.flatnonzero(marks[ids]) + skip
+                begins = np.r_[0, begins] if skip else begins
+                if len(begins) == len(part) and not begins[0]:
+                    data = ids.tobytes()
+                    for i, a, b in zip(part, (4 * begins).tolist(), (4 * np.r_[begins[1:] - skip, len(ids)]).tolist()):
+                        out[i] = data[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.whole([texts[i] for i in rest])):
+            out[i] = x
+        return out
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """The numbers of different pieces; new ones are learned. When too much is held, what is not among them is forgotten."""
+        got = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if self.held > REMEMBERED:
+            seen = np.flatnonzero(got >= 0)
+            first, size = self.ends[got[seen]], np.diff(self.ends)[got[seen]]
+            self.ids, self.ends = gathered(self.ids, first, size), np.r_[0, np.cumsum(size)]
+            self.known = {pieces[i]: k for k, i in enumerate(seen.tolist())}
+            self.held = 4 * len(self.ids) + sum(map(len, self.known)) + ENTRY * len(self.known)
+            got[seen] = np.arange(len(seen))
+        lost = np.flatnonzero(got < 0)
+        if len(lost):
+            new = [pieces[i] for i in lost.tolist()]
+            ids = self._encoded(new)
+            got[lost] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(new, got[lost].tolist()))
+            size, data = [len(x) // 4 for x in ids], b"".join(ids)
+            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(size)]
+            self.ids = np.r_[self.ids, np.frombuffer(data, "<u4")]
+            self.held += len(data) + sum(map(len, new)) + ENTRY * len(new)
+        return got
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's end; a null has none."""
+        texts = pc.fill_null(texts.cast(pa.binary()), b"")
+        _, places, held = texts.buffers()
+        at = np.frombuffer(places, np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        data = np.frombuffer(held, np.uint8)[at[0]:at[-1]] if held is not None else np.zeros(0, np.uint8)
+        at = at.astype(np.int64) - at[0]
+        full = np.flatnonzero(np.diff(at))
+        if not len(full):
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        starts = at[full]
+        begins = piece_starts(data, starts) if self.cuts else starts
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if special.any():  # uncut
+            of = np.searchsorted(starts, begins, "right") - 1
+            begins = begins[~special[full[of]] | (begins == starts[of])]
+        ends = np.r_[begins[1:], len(data)]
+        ids, size = [], np.empty(len(begins), np.int64)
+        for a in range(0, len(begins), PIECES):
+            b = min(a + PIECES, len(begins))
+            edges = np.r_[begins[a:b], ends[b - 1]].astype(np.int32)
+            coded = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+            number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            size[a:b] = np.diff(self.ends)[number]
+            ids.append(gathered(self.ids, self.ends[number], size[a:b]))
+        total = np.r_[0, np.cumsum(size)]
+        return np.concatenate(ids), total[np.searchsorted(begins, at[1:])]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; equal texts are looked at once."""
-        once = list(dict.fromkeys(texts))
-        if len(once) < len(texts):
-            return list(map(dict(zip(once, self(once))).__getitem__, texts))
-        cut, odd = [], []
-        for i, t in enumerate(texts):
-            if _safe(t):
-                cut.append(t.split(" "))
-            else:
-                odd.append(i)
-                cut.append([""])
-        new = set().union(*cut)  # the first pieces too, which are few
-        if len(self.known) > CACHED:
-            self._learn(new)
-        else:
-            self._learn(new.difference(self.known))
-        known = self.known
-        out = [first + b"".join(map(known.__getitem__, islice(c, 1, None))) for first, c in zip(self.whole([c[0] for c in cut]), cut)]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
-            out[i] = ids
-        return out
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        ids, ends = self.flat(pa.array(texts, pa.string()))
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _tokens(path: str) -> Tokens:
@@ -113,7 +203,7 @@ def _tokens(path: str) -> Tokens:
     if not hasattr(kept, path):
         setattr(kept, path, Tokens(path))
     tokens = getattr(kept, path)
-    tokens.known, tokens.older = {}, {}
+    tokens.forget()
     return tokens
 
 
@@ -128,25 +218,28 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = _tokens(path), np.array([END], "<u4").tobytes()
+        tokens = _tokens(path)
         for b in text_batches(batches):
-            rows, piece, start, length, ids = [], [], [], [], []
-            for i, got in enumerate(tokens([(t or b"").decode() for t in raw(b, "text")])):
-                got += end
-                n = len(got) // 4
-                at = 0
-                for k in range(-(-n // capacity)):
-                    to = n - (-(-n // capacity) - 1 - k) * capacity
-                    rows.append(i)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(to - at)
-                    ids.append(got[4 * at:4 * to])
-                    at = to
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "piece", "start", "length", "ids"])
-        tokens.known, tokens.older = {}, {}
+            ids, ends = tokens.flat(b.column("text"))
+            ids = np.insert(ids, ends, END)
+            ends = ends + np.arange(1, len(ends) + 1)
+            n = np.diff(ends, prepend=0)
+            many = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            start = np.maximum(0, n[row] - (many[row] - piece) * capacity)
+            length = n[row] - (many[row] - 1 - piece) * capacity - start
+            places = np.r_[0, np.cumsum(length)]
+            step = max(1, ROWS_BYTES // (4 * capacity))
+            for a in range(0, len(row), step):
+                rows = slice(a, a + step)
+                at = places[a:a + step + 1]
+                held = [None, pa.py_buffer((4 * (at - at[0])).astype(np.int32)), pa.py_buffer(ids[at[0]:at[-1]])]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(pa.array(row[rows])), pa.array(piece[rows], pa.int32()), pa.array(start[rows]), pa.array(length[rows]),
+                     pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, held)],
+                    ["doc_id", "piece", "start", "length", "ids"])
+        tokens.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 

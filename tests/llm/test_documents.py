@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on awkward rows and on empty tables."""
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -180,6 +181,62 @@ def test_tokens_of_awkward_blanks_equal_the_tokenizer():
     assert t(texts) == t.whole(texts)
 
 
+def test_tokens_of_random_texts_equal_the_tokenizer():
+    import public_tokenizers
+    t = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    blanks = [" ", " ", " ", "\n", "\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u3000", "\ufeff"]
+    others = [*"abzAZ019.,'!<|>_-$", "'s", "'ll", "'D", "é", "ß", "×", "÷", "ª", "e\u0301", "Ā", "日", "本", "д", "🙂", "²", "٣", "\x00", "\x7f", "\x80", "<|endoftext|>", "Ċ", "Ġ"]
+    for _ in range(30):
+        some, share = rng.sample(others, rng.choice((3, 8, len(others)))), rng.choice((0.1, 0.3, 0.6))
+        texts = ["".join(rng.choice(blanks if rng.random() < share else some) for _ in range(rng.randrange(30))) for _ in range(300)]
+        assert t(texts) == t.whole(texts)
+
+
+def test_a_word_goes_through_the_tokenizer_once_whatever_follows_it(monkeypatch):
+    import public_tokenizers
+    t = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeéou") for _ in range(9)) for _ in range(400)]
+    texts = [" ".join(w + mark for w in rng.sample(words, 400)) for mark in ("", ".", ",", "!", ";", ":", "$$$", "***", ".\nnext", "\n\nnext")]
+    want, seen, real = t.whole(texts), [0], t.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, got, **more):
+            seen[0] += sum(map(len, got))
+            return real.encode_batch_fast(got, **more)
+
+    monkeypatch.setattr(t, "tokenizer", Counted())
+    assert t(texts) == want and seen[0] < 2 * sum(map(len, words))
+    monkeypatch.setattr(packing, "REMEMBERED", 1)  # what is forgotten is learned again
+    assert t(texts[::-1]) == want[::-1] and t(texts[:1] * 3) == want[:1] * 3 and len(t.known) <= 401
+
+
+def test_tokens_of_other_pre_tokenizers_are_not_cut(tmp_path):
+    import json
+    import public_tokenizers
+    made = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    made["pre_tokenizer"]["use_regex"] = False
+    (tmp_path / "t.json").write_text(json.dumps(made))
+    t = packing.Tokens(str(tmp_path / "t.json"))
+    texts = ["the end. Of the\n day", "", "of the the", "the end. Of the\n day"]
+    assert t(texts) == t.whole(texts)
+
+
+def test_long_documents_are_cut_behind_the_first_piece(table):
+    rows = [(1, "a b " * 40), (2, None), (3, ""), (4, "it's  two\n"), (5, "x " * 7)]
+    got = sorted((r.doc_id, r.piece, r.start, r.length, bytes(r.ids)) for r in packing.tokenised(table(rows), capacity=7).collect())
+    import public_tokenizers
+    t = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, text in rows:
+        ids = t.whole([text or ""])[0] + bytes(4)
+        n = len(ids) // 4
+        edges = [0, *range(n % 7 or 7, n + 1, 7)]
+        want += [(i, k, a, b - a, ids[4 * a:4 * b]) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    assert got == want
+
+
 def test_bin_completion_uses_every_piece_and_beats_best_fit():
     rng = np.random.default_rng(2)
     better = 0
