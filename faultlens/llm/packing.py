@@ -114,29 +114,34 @@ class Tokens:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece. Plain ones go through the tokenizer in runs, where its ids tell a space at the front, or a line feed put between, from the rest."""
+    def _encoded(self, pieces: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """In which order pieces were encoded, all their ids in that order, and how many each has.
+
+        Plain ones go through the tokenizer in runs, where its ids tell a space at the front, or a line feed put between, from the rest.
+        """
         texts = [p.decode() for p in pieces]
-        out: list[bytes | None] = [None] * len(texts)
-        runs: tuple[list[int], list[int]] = [], []
-        if self.cuts:
-            for i, t in enumerate(texts):
-                if _PLAIN.fullmatch(t):
-                    runs[t[0] != " "].append(i)
-        for plain, between, marks, skip in zip(runs, ("", "\n"), (self.opens, self.lines), (0, 1)):
-            for at in range(0, len(plain), 1024):
-                part = plain[at:at + 1024]
-                ids = np.array(self.tokenizer.encode_batch_fast([between.join([texts[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
-                begins = np.flatnonzero(marks[ids]) + skip
-                begins = np.r_[0, begins] if skip else begins
+        spaced, bare, rest = [], [], []
+        for i, t in enumerate(texts):
+            (rest if not self.cuts or not _PLAIN.fullmatch(t) else spaced if t[0] == " " else bare).append(i)
+        order, ids, sizes = [], [], []
+        for run, between, marks in ((spaced, "", self.opens), (bare, "\n", self.lines)):
+            for at in range(0, len(run), 1024):
+                part = run[at:at + 1024]
+                got = np.array(self.tokenizer.encode_batch_fast([between.join([texts[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
+                begins = np.flatnonzero(marks[got])
+                if between:
+                    got, begins = got[~marks[got]], np.r_[0, begins - np.arange(len(begins))]
                 if len(begins) == len(part) and not begins[0]:
-                    data = ids.tobytes()
-                    for i, a, b in zip(part, (4 * begins).tolist(), (4 * np.r_[begins[1:] - skip, len(ids)]).tolist()):
-                        out[i] = data[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self.whole([texts[i] for i in rest])):
-            out[i] = x
-        return out
+                    order += part
+                    ids.append(got)
+                    sizes.append(np.diff(begins, append=len(got)))
+                else:
+                    rest += part
+        if rest:
+            data = self.whole([texts[i] for i in rest])
+            ids.append(np.frombuffer(b"".join(data), "<u4"))
+            sizes.append(np.array([len(x) // 4 for x in data]))
+        return order + rest, np.concatenate(ids), np.concatenate(sizes)
 
     def _numbers(self, pieces: list[bytes]) -> np.ndarray:
         """The numbers of different pieces; new ones are learned. When too much is held, what is not among them is forgotten."""
@@ -151,13 +156,12 @@ class Tokens:
         lost = np.flatnonzero(got < 0)
         if len(lost):
             new = [pieces[i] for i in lost.tolist()]
-            ids = self._encoded(new)
-            got[lost] = np.arange(len(self.known), len(self.known) + len(new))
+            order, ids, size = self._encoded(new)
+            got[lost[order]] = np.arange(len(self.known), len(self.known) + len(new))
             self.known.update(zip(new, got[lost].tolist()))
-            size, data = [len(x) // 4 for x in ids], b"".join(ids)
             self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(size)]
-            self.ids = np.r_[self.ids, np.frombuffer(data, "<u4")]
-            self.held += len(data) + sum(map(len, new)) + ENTRY * len(new)
+            self.ids = np.r_[self.ids, ids]
+            self.held += ids.nbytes + sum(map(len, new)) + ENTRY * len(new)
         return got
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +188,7 @@ class Tokens:
             b = min(a + PIECES, len(begins))
             edges = np.r_[begins[a:b], ends[b - 1]].astype(np.int32)
             coded = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
-            number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            number = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
             size[a:b] = np.diff(self.ends)[number]
             ids.append(gathered(self.ids, self.ends[number], size[a:b]))
         total = np.r_[0, np.cumsum(size)]
