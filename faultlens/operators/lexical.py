@@ -32,7 +32,7 @@ class Index:
 ALL_DOCS = ""  # pseudo-term carried by every unit, so one pass yields postings and corpus statistics
 
 
-def _counted(terms: Column) -> Column:
+def counted(terms: Column) -> Column:
     """(term, tf) of an array's distinct members: counted in their sorted order, within the row."""
     def runs(s: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
@@ -48,9 +48,9 @@ def build_index(units: DataFrame, vocabulary: DataFrame | None = None) -> Index:
     """
     indexed = F.concat_ws(" ", "name", "qualified_name", "text")
     terms = spread(units).where(F.col("uid").isNotNull()).select("uid", "repo", "kind", T.index_terms(indexed).alias("terms"))
-    counted = terms.select("uid", "repo", "kind", F.size("terms").alias("len"), _counted(F.concat(F.array(F.lit(ALL_DOCS)), "terms")).alias("terms"))
+    rows = terms.select("uid", "repo", "kind", F.size("terms").alias("len"), counted(F.concat(F.array(F.lit(ALL_DOCS)), "terms")).alias("terms"))
     # explode() would count once more, to leave out empty arrays; none is empty here
-    postings = counted.select("uid", "repo", "kind", "len", F.explode_outer("terms").alias("t")).select("uid", "repo", "kind", "t.term", "len", "t.tf")
+    postings = rows.select("uid", "repo", "kind", "len", F.explode_outer("terms").alias("t")).select("uid", "repo", "kind", "t.term", "len", "t.tf")
     if vocabulary is not None:
         words = vocabulary.select("term").distinct()
         everyone = words.sparkSession.range(1).select(F.lit(ALL_DOCS).alias("term"))

@@ -78,10 +78,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_round(df: DataFrame) -> DataFrame:
-    """Materialise a round of a loop as a table of the shared folder, read again.
+    """Materialise a round of a loop, or a large step, as a compressed table of the shared folder, read again.
 
     A checkpoint carries the constraints of its plan into the next one. Over rounds whose columns are worked out from those of the round before
-    they multiply, until planning takes longer than the work and fills the driver. A table read again has none.
+    they multiply, until planning takes longer than the work and fills the driver. A table read again has none. A checkpoint's rows are not packed.
     """
     path = scratch_path(df.sparkSession, "round")
     df.write.parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import types as Ty
 
 from faultlens.functions import text as T
 from faultlens.operators import blockmax, lexical
-from faultlens.session import cut
+from faultlens.session import cut_round
 from faultlens.sources import snapshots
 
 UNIT = ["uid", "repo", "kind", "name", "qualified_name", "file", "repo_head", "text", "meta"]
@@ -63,16 +63,17 @@ def write_index(units: DataFrame, path: str) -> str:
     once: a write that fails before leaves what readers see, and a repo written without vectors keeps none. Repos not in units stay in their versions.
     """
     spark, version = units.sparkSession, f"v{uuid.uuid4().hex}"
-    rows = cut(first_units(units))
+    rows = cut_round(first_units(units).repartitionByRange("repo", "uid").sortWithinPartitions("repo", "uid"))
 
     def put(df: DataFrame, name: str, *by: str) -> None:
         df.write.partitionBy(*by).parquet(f"{path}/{name}/version={version}") if by else df.write.parquet(f"{path}/{name}/version={version}")
 
-    put(rows.drop("vec").repartitionByRange("repo", "uid").sortWithinPartitions("repo", "uid"), "units")
+    put(rows.drop("vec"), "units")
     terms = rows.select("repo", "kind", "uid", T.index_terms(F.concat_ws(" ", "name", "qualified_name", "text")).alias("t")).withColumn("len", F.size("t"))
     put(terms.groupBy("repo").agg(F.count("*").alias("n"), F.sum("len").alias("total_len")).coalesce(1), "sizes")
-    put(blockmax.blocks(terms.select("repo", "kind", "uid", "len", F.explode("t").alias("term"))).withColumn("bucket", term_bucket(F.col("term")))
-        .repartition("bucket").sortWithinPartitions("bucket", "term", "repo", "kind", "block"), "postings", "bucket")
+    posted = cut_round(terms.select("repo", "kind", "uid", "len", F.explode(lexical.counted(F.col("t"))).alias("p"))
+                       .select("repo", "kind", "uid", "len", "p.term", F.col("p.tf").cast("int").alias("tf")))
+    put(blockmax.blocks(posted, term_bucket(F.col("term"))), "postings", "bucket")
     vectors = rows if "vec" in rows.columns else rows.withColumn("vec", F.lit(None).cast("array<double>"))
     put(vectors.where("vec IS NOT NULL").select("repo", "uid", "kind", "file", F.col("vec").cast("array<double>").alias("vec")), "vectors")
     snapshots.commit(spark, path, rows.select("repo").distinct(), version)

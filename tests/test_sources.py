@@ -167,6 +167,15 @@ def test_blocks_give_what_the_plain_search_gives(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_postings_are_shuffled_once_and_terms_not_copied(spark):
+    posted = spark.sql("SELECT concat('r', id % 1) AS repo, concat('k', id % 1) AS kind, concat('t', id % 3) AS term, concat('u', id) AS uid, 5 AS len, 1 AS tf FROM range(600)")
+    out = blockmax.blocks(posted, index_store.term_bucket(F.col("term")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "_salt" not in plan
+    rows = out.collect()
+    assert sum(r.n for r in rows) == 600 and {(r.term, r.bits) for r in rows} == {("t0", 1), ("t1", 1), ("t2", 1)} and all(len(r.uids) == r.n for r in rows)
+
+
 def test_fewer_blocks_are_opened_for_fewer_results(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(blockmax, "BLOCK", 16)
     units = some_units(spark, ["a"], 2000, ["w"] * 40 + ["needle"])
