@@ -80,27 +80,29 @@ def prefix_overlap(tokens: DataFrame, dictionary: DataFrame, cands: DataFrame) -
 
     A token counts when it equals an entry, extends it past a dot, is a prefix of it, or contains its
     first segment. Each test is an equi-join: dotted prefixes of the token, prefixes of the entry,
-    and the first segment found by fixed-length substrings of the token.
+    and the first segment found by fixed-length substrings of the token. Words are taken apart once, whatever repos and
+    tokens share them: prefixes are those of distinct entries, and a segment holds no dot, so only substrings of the tokens' distinct segments are met.
     """
+    tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # substrings outgrow the words they are made from
     toks = tokens.select("case_id", "token").distinct()
     asked = toks.select("token").distinct()
     parts = F.split("token", r"\.")
     dotted = asked.select("token", F.explode(F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))).alias("entry"))
-    extends = dotted.join(dictionary, "entry").select("token", "repo")
-    heads = dictionary.select("repo", F.explode(F.transform(
+    heads = dictionary.select("entry").distinct().repartition(tasks).select("entry", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("entry")), lambda i: F.substring(F.col("entry"), F.lit(1), i))).alias("token"))
-    begins = asked.join(heads.distinct(), "token").select("token", "repo")
+    met = dotted.unionByName(heads.join(asked, "token").select("token", "entry"))
+    whole = met.join(dictionary.select("repo", "entry"), "entry").select("token", "repo")
     firsts = dictionary.select("repo", F.substring_index("entry", ".", 1).alias("seg")).distinct()
     sizes = firsts.select(F.length("seg").alias("size")).distinct()
-    grams = (asked.withColumn("one", F.lit(1))
+    pieces = asked.select("token", F.explode(F.array_distinct(parts)).alias("part"))
+    fitting = F.filter("sizes", lambda n: n <= F.length("part"))
+    grams = (pieces.select("part").distinct().repartition(tasks).withColumn("one", F.lit(1))
              .join(F.broadcast(sizes.agg(F.collect_set("size").alias("sizes")).withColumn("one", F.lit(1))), "one")
-             .select("token", F.explode("sizes").alias("size")).where(F.col("size") <= F.length("token"))
-             .select("token", F.explode(F.transform(
-                 F.sequence(F.lit(1), F.length("token") - F.col("size") + 1),
-                 lambda i: F.substring(F.col("token"), i, F.col("size")))).alias("seg")).distinct())
-    holds = grams.join(firsts, "seg").select("token", "repo")
-    pairs = extends.unionByName(begins).unionByName(holds).distinct()
+             .select("part", F.explode(F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(
+                 F.sequence(F.lit(1), F.length("part") - n + 1), lambda i: F.substring(F.col("part"), i, n)))))).alias("seg")))
+    holds = grams.join(firsts, "seg").select("part", "repo").distinct().join(pieces, "part").select("token", "repo")
+    pairs = whole.unionByName(holds).distinct()
     votes = join_sized(pairs, toks, ["token"])
     scores = votes.groupBy("case_id", "repo").agg(
         F.count("*").cast("double").alias("score"), F.array_sort(F.collect_list("token")).alias("evidence"))

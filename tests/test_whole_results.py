@@ -10,7 +10,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 import __spark_entry__ as entry  # noqa: E402
 from check import rows_of  # noqa: E402
-from faultlens.operators import blockmax, context  # noqa: E402
+from faultlens.operators import blockmax, context, ranking  # noqa: E402
 from faultlens.sources import index_store  # noqa: E402
 
 
@@ -55,3 +55,14 @@ def test_equal_queries_are_searched_once(spark, tmp_path, monkeypatch):
     rows = got.groupBy("qid").agg(F.sort_array(F.collect_list("uid")).alias("u")).collect()
     assert seen == [2] and len(rows) == 50
     assert {tuple(r.u) for r in rows if r.qid % 2} == {("u0", "u3", "u6")}
+
+
+def test_substrings_are_made_of_distinct_segments(spark):
+    tokens = spark.createDataFrame([(1, "carton.user"), (1, "carton.bot"), (2, "car.t"), (3, "a.b")], "case_id int, token string")
+    words = spark.createDataFrame([("a", "art.en"), ("a", "car.de"), ("b", "car.txt"), ("b", "n.u")], "repo string, entry string")
+    cands = spark.createDataFrame([(c, r, p) for c in (1, 2, 3) for p, r in enumerate("ab")], "case_id int, repo string, pos int")
+    out = ranking.prefix_overlap(tokens, words, cands)
+    assert sorted((r.case_id, r.repo, int(r.score)) for r in out.collect()) == [(1, "a", 2), (1, "b", 2), (2, "a", 1), (2, "b", 1), (3, "a", 0), (3, "b", 0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Aggregate [token" in line and "seg" in line]
+    assert any("Aggregate [part" in line for line in plan)
