@@ -57,7 +57,8 @@ def calls(spark, d):
     callee = (F.when(v == 0, F.col("t_id")).when(v == 1, F.col("t_qn")).when(v == 2, D.cat("=X::", "t_name"))
               .when(v == 3, D.cat("=P", "l_suppkey", "=.", "t_name")).when(v == 4, F.col("t_name")).when(v == 5, "java.util.List")
               .when(v == 6, "std::vector").when(v == 7, "org.other.Thing.run").otherwise("ASSERT_OK"))
-    return join_large(join_large(li, src, ["l_partkey"]), dst, ["l_suppkey"]).select("caller", callee.alias("callee"), "pos")
+    named = join_large(li, dst, ["l_suppkey"]).select("l_partkey", callee.alias("callee"), "pos")
+    return join_large(named, src, ["l_partkey"]).select("caller", "callee", "pos")
 
 
 CALL_SQL = f"""{FUNC_SQL},
@@ -88,7 +89,7 @@ def resolved(spark, d):
 
 
 def live_calls(spark, d):
-    return graph.drop_external(resolved(spark, d), functions(spark, d))
+    return graph.live_calls(calls(spark, d), functions(spark, d))
 
 
 @query("resolved_calls", f"WITH {CALL_SQL} SELECT caller, callee, pos, resolved, is_resolved FROM res")
