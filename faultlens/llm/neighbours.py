@@ -108,40 +108,59 @@ class Tree:
         self.p = p
         self.low, self.high = (np.array([f(p[at], axis=0) for at in self.leaves]) for f in (np.min, np.max))
 
-    def nearest(self, q: np.ndarray, within: float) -> Iterator[tuple[float, np.ndarray]]:
-        """(squared distance of the nearest unseen leaf, its points), nearest leaf first; several leaves at a time."""
-        d = np.maximum(0, np.maximum(self.low - q, q - self.high))
-        gap = (d * d).sum(axis=1)
-        order = np.argsort(gap)
-        order = order[gap[order] <= within]
-        for at in range(0, len(order), 12):
-            part = order[at:at + 12]
-            yield float(gap[part[0]]), np.concatenate([self.leaves[i] for i in part])
-
-
-def search(tree: Tree, x: np.ndarray, q: np.ndarray, pq: np.ndarray, top: float, limit: float, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and inner products of the best k points that the search verified, best first.
-
-    Points are verified by exact inner product in order of projected distance; with d2 the squared distance of the k-th best so far, a point not
-    yet seen is nearer with a chance under 1 - SURE once its squared projected distance is over limit * d2. bound is a d2 known before.
+    def gaps(self, q: np.ndarray) -> np.ndarray:
+        """Squared distance of each row of q to each leaf."""
+        out = np.zeros((len(q), len(self.leaves)))
+        for a in range(q.shape[1]):
+            d = np.maximum(0, np.maximum(self.low[:, a] - q[:, a, None], q[:, a, None] - self.high[:, a]))
+            out += d * d
+        return out
+
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        """Squared distance of each row of q to each point."""
+        out = np.zeros((len(q), len(self.p)))
+        for a in range(q.shape[1]):
+            d = self.p[:, a] - q[:, a, None]
+            out += d * d
+        return out
+
+
+def verified(tree: Tree, scores: np.ndarray, far: np.ndarray, gap: np.ndarray, norm: float, limit: float, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and inner products of the best k points that the search of one query verifies, best first.
+
+    Points are verified by exact inner product in order of projected distance, several leaves at a time; with d2 the squared distance of the k-th
+    best so far, a point not yet seen is nearer with a chance under 1 - SURE once its squared projected distance is over limit * d2. bound is a d2
+    known before; scores and far are the inner products and squared projected distances of all points.
     """
-    norm = top + float(q @ q)
-    best, score = np.empty(0, np.int64), np.empty(0)
-    d2 = bound
-    for gap, at in tree.nearest(pq, limit * d2 if d2 < np.inf else np.inf):
-        if gap > limit * d2:
+    best, d2, worst = np.empty(0, np.int64), bound, -np.inf
+    order = np.argsort(gap)
+    order = order[:np.searchsorted(gap[order], limit * d2, "right")]
+    for at in range(0, len(order), 12):
+        part = order[at:at + 12]
+        if gap[part[0]] > limit * d2:
             break
-        r = tree.p[at] - pq
-        at = at[(r * r).sum(axis=1) <= limit * d2]
-        best, score = np.r_[best, at], np.r_[score, x[at] @ q]
-        if len(best) > k:
-            keep = np.argpartition(-score, k - 1)[:k]
-            keep = np.flatnonzero(score >= score[keep].min())  # ties at the end stay
-            best, score = best[keep], score[keep]
+        new = np.concatenate([tree.leaves[i] for i in part])
+        best = np.concatenate([best, new[(far[new] <= limit * d2) & (scores[new] >= worst)]])
         if len(best) >= k:
-            d2 = min(d2, max(0.0, norm - 2 * float(score.min())))
-    order = np.argsort(-score, kind="stable")
-    return best[order], score[order]
+            worst = np.partition(scores[best], len(best) - k)[len(best) - k]
+            best = best[scores[best] >= worst]  # ties at the end stay
+            d2 = min(d2, max(0.0, norm - 2 * float(worst)))
+    best = best[np.argsort(-scores[best], kind="stable")]
+    return best, scores[best]
+
+
+CELLS = 2_000_000  # inner products worked out at a time
+
+
+def search(tree: Tree, x: np.ndarray, q: np.ndarray, pq: np.ndarray, top: float, limit: float, k: int, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What is verified for each row of q in order. A few queries at a time meet all points of the shard by one matrix product."""
+    step = max(1, CELLS // max(1, len(x)))
+    for at in range(0, len(q), step):
+        some = slice(at, at + step)
+        scores, far, gaps = q[some] @ x.T, tree.distances(pq[some]), tree.gaps(pq[some])
+        norms = top + (q[some] * q[some]).sum(axis=1)
+        for i in range(len(scores)):
+            yield verified(tree, scores[i], far[i], gaps[i], norms[i], limit, k, bounds[some][i])
 
 
 def nearest(rows: DataFrame, every: int = 20, k: int = K) -> DataFrame:
@@ -187,8 +206,8 @@ def nearest(rows: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             x, q = matrix(left.column("vec"), dim), matrix(right.column("vec"), dim)
             tree = Tree(ix.project(x, False))
             pq, ids = ix.project(q, True), left.column("ids").to_pylist()
-            for i, (name, bound) in enumerate(zip(right.column("q").to_pylist(), right.column("bound").to_pylist())):
-                best, score = search(tree, x, q[i], pq[i], ix.top, limit, k + 1, bound)
+            bounds = right.column("bound").to_numpy()
+            for name, (best, score) in zip(right.column("q").to_pylist(), search(tree, x, q, pq, ix.top, limit, k + 1, bounds)):
                 got = sorted((-s, v) for at, s in zip(best.tolist(), score.tolist()) for v in ids[at])[:k + 1]
                 q_out += [name] * len(got)
                 id_out += [v for _, v in got]

@@ -71,6 +71,19 @@ def test_neighbours_against_all_pairs(spark, monkeypatch, shard):
     assert hits / total >= 0.95
 
 
+def test_queries_that_meet_a_shard_together_find_what_each_finds(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(900, 24)), rng.normal(size=(30, 24))
+    tree, top = neighbours.Tree(x[:, :8]), float((x * x).sum(axis=1).max())
+    monkeypatch.setattr(neighbours, "CELLS", 6_300)  # seven queries at a time
+    bounds = np.full(30, np.inf)
+    for limit, same in ((1e9, True), (0.02, False)):
+        found = list(neighbours.search(tree, x, q, q[:, :8], top, limit, 5, bounds))
+        alone = [next(neighbours.search(tree, x, q[i:i + 1], q[i:i + 1, :8], top, limit, 5, bounds[:1])) for i in range(30)]
+        assert len(found) == 30 and all((a[0] == b[0]).all() and np.allclose(a[1], b[1]) for a, b in zip(found, alone))
+        assert all((at == np.argsort(-(x @ v))[:5]).all() for (at, _), v in zip(found, q)) == same
+
+
 def test_few_and_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.nearest(none).count() == 0 and embedding_dedup.near_duplicates(none).count() == 0
