@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from faultlens.llm.common import bundled, merge_labels, raw, small_batches, store, unbundled
 from faultlens.llm.components import connected
-from faultlens.llm.substrings import _mix
+from faultlens.llm.substrings import _mix, _mix_here
 from faultlens.session import ship
 
 SHINGLE = 3
@@ -54,13 +54,18 @@ def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
 
 
 def fingerprint_row(text: bytes | None, many: int, n: int = SHINGLE) -> np.ndarray:
-    """`many` independent SimHashes of a text's n-word shingles, from hashes mixed anew for each; bits are counted byte by byte."""
+    """`many` independent SimHashes of a text's n-word shingles."""
+    return fingerprints_of(shingle_hashes(text, n), many)
+
+
+def fingerprints_of(hashes: Iterable[np.ndarray], many: int) -> np.ndarray:
+    """`many` independent SimHashes of shingle hashes, which are mixed anew for each; bits are counted byte by byte."""
     counts, total = np.zeros((many * 8, 256)), 0
     salt = (np.arange(1, many + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
     place = 256 * np.arange(many * 8)[None, :]
-    for h in shingle_hashes(text, n):
-        for at in range(0, len(h), 4096):
-            mixed = _mix(h[at:at + 4096, None] + salt)
+    for h in hashes:
+        for at in range(0, len(h), 1024):
+            mixed = _mix_here(h[at:at + 1024, None] + salt)
             counts += np.bincount((mixed.view(np.uint8).reshape(len(mixed), -1) + place).ravel(), minlength=counts.size).reshape(counts.shape)
         total += len(h)
     return np.packbits((2 * (counts @ _BITS) > total).ravel(), bitorder="little").view(np.uint64)
@@ -227,7 +232,11 @@ def text_key(text: bytes | None) -> bytes:
 
 def shingle_set(text: bytes | None, n: int = SIMILAR_SHINGLE) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted."""
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, n)]))
+    return distinct_hashes(shingle_hashes(text, n))
+
+
+def distinct_hashes(hashes: Iterable[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]))
 
 
 def bands(hashes: np.ndarray, many: int = BANDS, each: int = BAND) -> np.ndarray:
@@ -236,14 +245,20 @@ def bands(hashes: np.ndarray, many: int = BANDS, each: int = BAND) -> np.ndarray
         return np.zeros(many, np.uint64)
     salt = _mix(np.arange(1, many * each + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[None, :]
     least = np.full(many * each, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, _mix(hashes[at:at + 1024, None] ^ salt).min(axis=0), out=least)
+    for at in range(0, len(hashes), 256):  # few enough to stay in the cache of a core
+        np.minimum(least, _mix_here(hashes[at:at + 256, None] ^ salt).min(axis=0), out=least)
     out = np.zeros(many, np.uint64)
     for column in least.reshape(many, each).T:
         out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
     return out
 
 
+def proposals(text: bytes | None, tables: int = TABLES) -> np.ndarray:
+    """What a text may be brought together by, its shingles hashed once: `tables` fingerprints, then the keys of its bands."""
+    hashes = list(shingle_hashes(text, SIMILAR_SHINGLE))
+    return np.concatenate([fingerprints_of(hashes, tables), bands(distinct_hashes(hashes))])
+
+
 def confirm(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs (x of left, y of right) at a Jaccard similarity of 4/5 or more that join all that such pairs join; pairs with one label count as joined.
 
@@ -320,7 +335,7 @@ def similar_documents(docs: DataFrame, tables: int = TABLES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             texts = raw(b, "text")
-            rows = [np.r_[fingerprint_row(x, tables, SIMILAR_SHINGLE), bands(shingle_set(x))].view(np.int64) for x in texts]
+            rows = [proposals(x, tables).view(np.int64) for x in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([text_key(x) for x in texts], pa.binary()), pa.array(rows, pa.list_(pa.int64()))],
                                              ["doc_id", "key", "fps"])
 

@@ -46,6 +46,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _mix_here(x: np.ndarray) -> np.ndarray:
+    """_mix in the array's own place."""
+    t = x >> _U(30)
+    x ^= t
+    x *= _U(0xBF58476D1CE4E5B9)
+    np.right_shift(x, _U(27), out=t)
+    x ^= t
+    x *= _U(0x94D049BB133111EB)
+    np.right_shift(x, _U(31), out=t)
+    x ^= t
+    return x
+
+
 def _segments(data: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of about SEGMENT bytes that end at a blank."""
     at = 0

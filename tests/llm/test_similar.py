@@ -64,3 +64,11 @@ def test_pairs_below_the_threshold_do_not_link(table):
             v[at] = f"c{i}x{at}"
         rows.append((i, " ".join(v)))
     assert all(r.component_id == r.doc_id for r in simhash.similar_documents(table(rows)).collect())
+
+
+def test_shingles_are_hashed_once_for_all_proposals(monkeypatch):
+    texts = [None, b"", b"one", b"one two three four five", b"Some words that repeat " * 900]
+    want = [np.concatenate([simhash.fingerprint_row(x, 8, simhash.SIMILAR_SHINGLE), simhash.bands(simhash.shingle_set(x))]) for x in texts]
+    seen, hashes = [], simhash.shingle_hashes
+    monkeypatch.setattr(simhash, "shingle_hashes", lambda *a: seen.append(1) or hashes(*a))
+    assert all((simhash.proposals(x) == w).all() for x, w in zip(texts, want)) and len(seen) == len(texts)
